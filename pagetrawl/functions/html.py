@@ -1,73 +1,115 @@
-"""HTML to columns with regular expressions that survive malformed pages."""
+"""HTML to columns with regular expressions that survive malformed pages.
+
+Arguments are column names or SQL expressions; see :mod:`pagetrawl.functions.text`.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetrawl.functions.text import collapse, decode_entities, falsy, strip, truncate, col
-from pagetrawl.functions.urls import is_page_link, is_web_url, resolve_in, split_base
+from pagetrawl.functions.text import UNTIDY_SPACE, col, decode_sql, let, quote, strip, strip_sql, truncate
+from pagetrawl.functions.urls import is_page_link_sql, is_web_url_sql, resolve_in_sql, split_base_sql
 from pagetrawl.schemas import (
     DEFAULT_IMAGE_TITLE, MAX_IMAGES, MAX_LINKS, NOISE_IMAGE_MARKS, SNIPPET_CHARS,
 )
 
-_COMMENT = r"(?s)<!--.*?-->"
-_SCRIPT_OR_STYLE = r"(?is)<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|$)"
+_COMMENT_OR_SCRIPT = r"(?is)<!--.*?-->|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_BODY_START = r"(?i)<body[\s>]"
+_HEAD_END = r"(?i)</head\s*>"
+_TITLE_ELEMENT = r"(?is)<title[^>]*>[^<]*"
 _TAG_OR_COMMENT = r"(?s)<!--.*?-->|<[^>]*>"
+_TITLE = r"(?is)<title[^>]*>([^<]*)"
 _ATTRIBUTES = r"""((?:[^>"']+|"[^"]*"|'[^']*')*)>"""
 
 
-def _tags(html: Column, name: str) -> Column:
-    """The attribute text of every ``name`` tag outside comments and scripts."""
-    markup = F.regexp_replace(F.regexp_replace(html, _COMMENT, " "), _SCRIPT_OR_STYLE, " ")
-    return F.regexp_extract_all(markup, F.lit(rf"(?i)<{name}(?=[\s/>])" + _ATTRIBUTES), F.lit(1))
+def _without(text: str, pattern: str) -> str:
+    return f"regexp_replace({text}, {quote(pattern)}, ' ')"
+
+
+def markup(html: str) -> Column:
+    """The page without comments, scripts and styles: where tags are looked for."""
+    return F.expr(_without(html, _COMMENT_OR_SCRIPT))
 
 
-def _attribute(attributes: Column, name: str) -> Column:
+def _tags(markup_: str, name: str) -> str:
+    """The attribute text of every ``name`` tag."""
+    return f"regexp_extract_all({markup_}, {quote(rf'(?i)<{name}(?=[\s/>])' + _ATTRIBUTES)}, 1)"
+
+
+def _attribute(tag: str, name: str) -> str:
     """Value of an attribute, decoded; null if the tag does not have it."""
-    value = rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    found = F.concat(*(F.regexp_extract(attributes, value, i) for i in (1, 2, 3)))
-    return F.when(attributes.rlike(value), decode_entities(found))
+    pattern = rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    found = ", ".join(f"regexp_extract({tag}, {quote(pattern)}, {i})" for i in (1, 2, 3))
+    return f"CASE WHEN {tag} RLIKE {quote(pattern)} THEN {decode_sql(f'concat({found})')} END"
+
 
+def page_title(html: str) -> Column:
+    """Text of the first title element, stripped; empty if there is none."""
+    return F.expr(_page_title(html))
+
+
+def _page_title(html: str) -> str:
+    return strip_sql(decode_sql(f"regexp_extract({html}, {quote(_TITLE)}, 1)"))
 
-def extract_title(html, url) -> Column:
+
+def extract_title(html: str, url: str) -> Column:
     """Text of the first title element, or the URL if that is blank."""
-    return falsy(page_title(html), col(url))
+    return F.expr(f"coalesce(nullif({_page_title(html)}, ''), {url})")
 
 
-def page_title(html) -> Column:
-    """Text of the first title element, stripped; empty if there is none."""
-    return strip(decode_entities(F.regexp_extract(col(html), r"(?is)<title[^>]*>([^<]*)", 1)))
+def _body(html: str) -> str:
+    """The page from its body tag on, to its end because many pages never close it.
+
+    Without a body tag the text after the head counts, or all but the title.
+    """
+    def start(pattern: str) -> str:
+        return f"nullif(regexp_instr({html}, {quote(pattern)}), 0)"
+
+    return (
+        f"coalesce(substr({html}, {start(_BODY_START)}), substr({html}, {start(_HEAD_END)}), "
+        f"{_without(html, _TITLE_ELEMENT)})"
+    )
 
 
-def extract_content(html, drop_script_style: bool = False) -> Column:
+def extract_content(html: str, drop_script_style: bool = False) -> Column:
     """Text of the body with tags and comments as breaks and whitespace collapsed.
 
-    The body runs from its start tag to the end of the text, because many pages
-    never close it. Script and style text inside it counts unless dropped.
+    Script and style text in the body counts unless dropped.
     """
-    body = F.regexp_extract(col(html), r"(?is)<body(?:\s[^>]*)?>(.*)$", 1)
+    body = _body(html)
     if drop_script_style:
-        body = F.regexp_replace(F.regexp_replace(body, _COMMENT, " "), _SCRIPT_OR_STYLE, " ")
-    return collapse(decode_entities(F.regexp_replace(body, _TAG_OR_COMMENT, " ")))
+        body = _without(body, _COMMENT_OR_SCRIPT)
+    text = decode_sql(_without(body, _TAG_OR_COMMENT))
+    return F.expr(f"trim({_without(text, UNTIDY_SPACE)})")
+
+
+def description_in(markup_: str) -> Column:
+    """Content of the first description meta tag; null if there is none."""
+    return F.expr(_description(markup_))
+
+
+def _description(markup_: str) -> str:
+    described = f"filter({_tags(markup_, 'meta')}, a -> {_attribute('a', 'name')} = 'description')"
+    contents = f"transform({described}, a -> {_attribute('a', 'content')})"
+    return f"get(filter({contents}, c -> c IS NOT NULL), 0)"
 
 
-def meta_description(html) -> Column:
-    """Content of the first description meta tag; null or empty if there is none."""
-    tags = F.filter(_tags(col(html), "meta"), lambda a: _attribute(a, "name") == "description")
-    with_content = F.filter(tags, lambda a: _attribute(a, "content").isNotNull())
-    return F.get(F.transform(with_content, lambda a: _attribute(a, "content")), 0)
+def snippet_of(description, content) -> Column:
+    """The description if there is one, else the start of the content."""
+    return F.when(col(description) != "", strip(description)).otherwise(truncate(content, SNIPPET_CHARS))
 
 
-def extract_snippet(html, content) -> Column:
-    """The meta description if there is one, else the start of the content."""
-    described = meta_description(html)
-    return F.when(falsy(described, F.lit(None)).isNotNull(), strip(described)).otherwise(
-        truncate(content, SNIPPET_CHARS))
+def extract_snippet(html: str, content: str) -> Column:
+    """:func:`snippet_of` for a page given as HTML."""
+    return snippet_of(F.expr(_description(_without(html, _COMMENT_OR_SCRIPT))), content)
 
 
-def extract_hrefs(html) -> Column:
+def _hrefs(markup_: str) -> str:
+    return f"filter(transform({_tags(markup_, 'a')}, a -> {_attribute('a', 'href')}), h -> h IS NOT NULL)"
+
+
+def extract_hrefs(html: str) -> Column:
     """All link targets in document order, as written but decoded."""
-    values = F.transform(_tags(col(html), "a"), lambda a: _attribute(a, "href"))
-    return F.filter(values, lambda h: h.isNotNull())
+    return F.expr(_hrefs(_without(html, _COMMENT_OR_SCRIPT)))
 
 
 def cap_links(links, n: int = MAX_LINKS) -> Column:
@@ -75,42 +117,41 @@ def cap_links(links, n: int = MAX_LINKS) -> Column:
     return F.slice(F.array_distinct(col(links)), 1, n)
 
 
-def page_links_of(url, html, same_host: bool = False) -> Column:
+def links_in(url: str, markup_: str, same_host: bool = False) -> Column:
     """Resolved page links of one page, distinct and capped."""
-    base = split_base(url)
-    resolved = F.filter(resolve_in(base, extract_hrefs(html)), is_page_link)
+    wanted = is_page_link_sql("u")
     if same_host:
-        prefix = F.concat(base.scheme, F.lit("://"), base.netloc)
-        resolved = F.filter(resolved, lambda u: u.startswith(prefix))
-    return cap_links(resolved)
+        wanted += " AND startswith(u, concat(b.scheme, '://', b.netloc))"
+    links = f"filter({resolve_in_sql('b', _hrefs(markup_))}, u -> {wanted})"
+    return F.expr(f"slice(array_distinct({let(split_base_sql(url), 'b', links)}), 1, {MAX_LINKS})")
 
 
-def extract_images(html, url, title) -> Column:
+def images_in(url: str, markup_: str, title: str) -> Column:
     """Image records with resolved source and title chain; http(s) only."""
-    base = split_base(url)
-    tags = F.transform(_tags(col(html), "img"), lambda a: F.struct(
-        _attribute(a, "src").alias("src"),
-        F.coalesce(_attribute(a, "alt"), F.lit("")).alias("alt"),
-        _attribute(a, "title").alias("title"),
-    ))
-    with_source = F.filter(tags, lambda t: F.coalesce(t.src, F.lit("")) != "")
-    sources = resolve_in(base, F.transform(with_source, lambda t: t.src))
-    records = F.zip_with(with_source, sources, lambda t, src: F.struct(
-        src.alias("url"),
-        strip(t.alt).alias("alt_text"),
-        base.url.alias("source_url"),
-        strip(falsy(t.title, t.alt, col(title), F.lit(DEFAULT_IMAGE_TITLE))).alias("title"),
-    ))
-    return F.filter(records, lambda r: is_web_url(r.url))
-
-
-def filter_images(images, n: int = MAX_IMAGES) -> Column:
+    tags = (
+        f"transform({_tags(markup_, 'img')}, a -> struct({_attribute('a', 'src')} AS src, "
+        f"coalesce({_attribute('a', 'alt')}, '') AS alt, {_attribute('a', 'title')} AS title))"
+    )
+    name = f"coalesce(nullif(i.title, ''), nullif(i.alt, ''), nullif({title}, ''), {quote(DEFAULT_IMAGE_TITLE)})"
+    record = (
+        f"struct(s AS url, {strip_sql('i.alt')} AS alt_text, {url} AS source_url, {strip_sql(name)} AS title)"
+    )
+    sources = let(split_base_sql(url), "b", resolve_in_sql("b", "transform(k, i -> i.src)"))
+    records = let(f"filter({tags}, i -> i.src <> '')", "k", f"zip_with(k, {sources}, (i, s) -> {record})")
+    return F.expr(f"filter({records}, r -> {is_web_url_sql('r.url')})")
+
+
+def extract_images(html: str, url: str, title: str) -> Column:
+    """:func:`images_in` for a page given as HTML."""
+    return images_in(url, _without(html, _COMMENT_OR_SCRIPT), title)
+
+
+def filter_images(images: str, n: int = MAX_IMAGES) -> Column:
     """The first ``n`` images that are not layout, tracking or GIF files."""
-    marks = "|".join(NOISE_IMAGE_MARKS)
-    kept = F.filter(col(images), lambda i: ~F.lower(i.url).rlike(rf"{marks}|\.gif$"))
-    return F.slice(kept, 1, n)
+    marks = quote("|".join(NOISE_IMAGE_MARKS) + r"|\.gif$")
+    return F.expr(f"slice(filter({images}, i -> NOT lower(i.url) RLIKE {marks}), 1, {n})")
 
 
-def split_links(csv) -> Column:
+def split_links(csv: str) -> Column:
     """A comma-separated link list as an array without blanks."""
-    return F.filter(F.transform(F.split(col(csv), ","), strip), lambda x: x != "")
+    return F.expr(f"filter(transform(split({csv}, ','), x -> {strip_sql('x')}), x -> x <> '')")

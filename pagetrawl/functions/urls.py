@@ -7,7 +7,7 @@ a strict URI parser it has a result for every text, as web pages need.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagetrawl.functions.text import col
+from pagetrawl.functions.text import col, let, quote
 from pagetrawl.schemas import NON_PAGE_ENDINGS
 
 _SCHEME = r"^\s*([A-Za-z][A-Za-z0-9+.-]*):"
@@ -17,6 +17,27 @@ _QUERY = r"^[^?#]*\?([^#]*)"
 _FRAGMENT = r"^[^#]*#(.*)$"
 
 
+def _part(url: str, pattern: str) -> str:
+    return f"regexp_extract({url}, {quote(pattern)}, 1)"
+
+
+def scheme_sql(url: str) -> str:
+    """SQL form of :func:`scheme`."""
+    return f"lower({_part(url, _SCHEME)})"
+
+
+def is_web_url_sql(url: str) -> str:
+    """SQL form of :func:`is_web_url`."""
+    return f"{scheme_sql(url)} IN ('http', 'https')"
+
+
+def is_page_link_sql(url: str) -> str:
+    """SQL form of :func:`is_page_link`."""
+    endings = "|".join(e[1:] for e in NON_PAGE_ENDINGS)
+    ending = rf"\.(?:{endings})$"
+    return f"({is_web_url_sql(url)} AND NOT {_part(url, _PATH)} RLIKE {quote(ending)})"
+
+
 def url_id(url) -> Column:
     """Key of a page or an image: SHA-256 of its URL in hex."""
     return F.sha2(col(url), 256)
@@ -63,95 +84,73 @@ def starts_with_http(url) -> Column:
     return F.coalesce(col(url).startswith("http"), F.lit(False))
 
 
-def is_web_url(url) -> Column:
+def is_web_url(url: str) -> Column:
     """True for http and https URLs."""
-    return scheme(url).isin("http", "https")
+    return F.expr(is_web_url_sql(url))
 
 
-def is_page_link(url) -> Column:
+def is_page_link(url: str) -> Column:
     """True for http(s) URLs whose path has no file ending that rules out a page."""
-    endings = "|".join(e[1:] for e in NON_PAGE_ENDINGS)
-    return is_web_url(url) & ~path(url).rlike(rf"\.(?:{endings})$")
+    return F.expr(is_page_link_sql(url))
 
 
-def _drop_dots(segments: Column) -> Column:
-    """Path segments after ``.`` and ``..`` have been carried out."""
-    kept = F.aggregate(
-        segments,
-        F.slice(segments, 1, 0),
-        lambda done, s: F.when(s == ".", done)
-        .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .otherwise(F.concat(done, F.array(s))),
-    )
-    ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-    return F.when(ends_in_dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-
+def _merge_paths(base_path: str, path_: str) -> str:
+    """A relative or rooted path resolved against the path of a page.
 
-def _merge_paths(base_path: Column, path_: Column) -> Column:
-    """A relative or rooted path resolved against the path of a page."""
-    folder = F.regexp_extract(base_path, r"^(.*/)[^/]*$", 1)
-    joined = F.when(path_.startswith("/"), path_).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path_))
-    tidy = F.regexp_replace(joined, "(?<!^)/{2,}", "/")
-    dotted = tidy.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    resolved = F.array_join(_drop_dots(F.split(tidy, "/")), "/")
-    return F.when(dotted, F.when(resolved == "", F.lit("/")).otherwise(resolved)).otherwise(tidy)
+    ``.`` and ``..`` are carried out by a fold over the segments that drops the
+    last kept segment for every ``..``.
+    """
+    folder = f"coalesce(nullif(regexp_extract({base_path}, '^(.*/)[^/]*$', 1), ''), '/')"
+    joined = f"CASE WHEN startswith({path_}, '/') THEN {path_} ELSE concat({folder}, {path_}) END"
+    fold = (
+        "aggregate(s, CAST(array() AS ARRAY<STRING>), (done, x) -> CASE WHEN x = '.' THEN done "
+        "WHEN x = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) ELSE array_append(done, x) END)"
+    )
+    kept = f"CASE WHEN element_at(s, -1) IN ('.', '..') THEN array_append({fold}, '') ELSE {fold} END"
+    undotted = f"coalesce(nullif(array_join({let('split(j, chr(47))', 's', kept)}, '/'), ''), '/')"
+    dotted = quote(r"(?:^|/)\.\.?(?:/|$)")
+    tidy = f"regexp_replace({joined}, '(?<!^)/{{2,}}', '/')"
+    return let(tidy, "j", f"CASE WHEN j RLIKE {dotted} THEN {undotted} ELSE j END")
 
 
-def split_base(url) -> Column:
+def split_base_sql(url: str) -> str:
     """The parts of a page URL that resolving its links needs, as a struct."""
-    url = col(url)
-    return F.struct(
-        url.alias("url"),
-        scheme(url).alias("scheme"),
-        F.regexp_extract(url, _NETLOC, 1).alias("netloc"),
-        path(url).alias("path"),
-        F.regexp_extract(url, _QUERY, 1).alias("query"),
+    return (
+        f"struct({url} AS url, {scheme_sql(url)} AS scheme, {_part(url, _NETLOC)} AS netloc, "
+        f"{_part(url, _PATH)} AS path, {_part(url, _QUERY)} AS query)"
     )
 
 
-def resolve_in(base: Column, hrefs: Column) -> Column:
-    """An array of hrefs resolved against one page, see :func:`resolve_url`.
+def resolve_in_sql(base: str, hrefs: str) -> str:
+    """SQL of an array of hrefs resolved against one page, see :func:`resolve_url`.
 
-    Each step is one ``transform``, so that parts found once per href are not
-    computed again at every use.
+    ``base`` names the struct of :func:`split_base_sql`. Each step is one
+    ``transform``, so that parts found once per href are not computed again.
     """
-    cleaned = F.transform(hrefs, lambda h: F.regexp_replace(
-        F.regexp_replace(h, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", ""))
-
-    parts = F.transform(cleaned, lambda h: F.struct(
-        h.alias("href"),
-        scheme(h).alias("scheme"),
-        F.regexp_extract(h, _NETLOC, 1).alias("netloc"),
-        path(h).alias("path"),
-        F.regexp_extract(h, _QUERY, 1).alias("query"),
-        F.regexp_extract(h, _FRAGMENT, 1).alias("fragment"),
-    ))
-
-    def build(p: Column) -> Column:
-        same_scheme = (p.scheme == "") | (p.scheme == base.scheme)
-        stays_on_page = p.path == ""
-        new_path = (
-            F.when(p.netloc != "", p.path)
-            .when(stays_on_page, base.path)
-            .otherwise(_merge_paths(base.path, p.path))
-        )
-        new_query = F.when((p.netloc == "") & stays_on_page & (p.query == ""), base.query).otherwise(p.query)
-        authority = F.when(p.netloc != "", p.netloc).otherwise(base.netloc)
-        rebuilt = F.concat(
-            base.scheme, F.lit("://"), authority, new_path,
-            F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(F.lit("")),
-            F.when(p.fragment != "", F.concat(F.lit("#"), p.fragment)).otherwise(F.lit("")),
-        )
-        return (
-            F.when(p.href == "", base.url)
-            .when(~same_scheme | ~base.scheme.isin("http", "https"), p.href)
-            .otherwise(rebuilt)
-        )
-
-    return F.transform(parts, build)
-
-
-def resolve_url(base, href) -> Column:
+    trimmed = quote(r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]")
+    cleaned = f"transform({hrefs}, h -> regexp_replace(h, {trimmed}, ''))"
+    parts = (
+        f"transform({cleaned}, h -> struct(h AS href, {scheme_sql('h')} AS scheme, {_part('h', _NETLOC)} AS netloc, "
+        f"{_part('h', _PATH)} AS path, {_part('h', _QUERY)} AS query, {_part('h', _FRAGMENT)} AS fragment))"
+    )
+    path_ = (
+        f"CASE WHEN q.netloc <> '' THEN q.path WHEN q.path = '' THEN {base}.path "
+        f"ELSE {_merge_paths(f'{base}.path', 'q.path')} END"
+    )
+    query = f"CASE WHEN q.netloc = '' AND q.path = '' AND q.query = '' THEN {base}.query ELSE q.query END"
+    rebuilt = (
+        f"concat({base}.scheme, '://', coalesce(nullif(q.netloc, ''), {base}.netloc), {path_}, "
+        f"coalesce('?' || nullif({query}, ''), ''), coalesce('#' || nullif(q.fragment, ''), ''))"
+    )
+    resolved = (
+        f"CASE WHEN q.href = '' THEN {base}.url "
+        f"WHEN q.scheme NOT IN ('', {base}.scheme) OR {base}.scheme NOT IN ('http', 'https') THEN q.href "
+        f"ELSE {rebuilt} END"
+    )
+    return f"transform({parts}, q -> {resolved})"
+
+
+def resolve_url(base: str, href: str) -> Column:
     """An href resolved against the URL of its page."""
-    return F.element_at(resolve_in(split_base(base), F.array(col(href))), 1)
+    resolved = f"get({resolve_in_sql('b', f'array({href})')}, 0)"
+    return F.expr(let(split_base_sql(base), "b", resolved))

@@ -16,18 +16,24 @@ def require_url(df: DataFrame, url: str = "url") -> DataFrame:
 def extract_pages(raw: DataFrame, drop_script_style: bool = False, same_host: bool = False) -> DataFrame:
     """``url, title, content, snippet, links, images`` of raw pages ``url, html``."""
     read = require_url(raw).select(
-        "url", "html",
+        "url",
         H.page_title("html").alias("_title"),
         H.extract_content("html", drop_script_style).alias("content"),
-        H.page_links_of("url", "html", same_host).alias("links"),
+        H.markup("html").alias("_markup"),
+    )
+    parsed = read.select(
+        "url", "_title", "content",
+        H.description_in("_markup").alias("_description"),
+        H.links_in("url", "_markup", same_host).alias("links"),
+        H.images_in("url", "_markup", "_title").alias("images"),
     )
-    return read.select(
+    return parsed.select(
         "url",
         F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("url")).alias("title"),
         "content",
-        H.extract_snippet("html", "content").alias("snippet"),
+        H.snippet_of("_description", "content").alias("snippet"),
         "links",
-        H.filter_images(H.extract_images("html", "url", "_title")).alias("images"),
+        H.filter_images("images").alias("images"),
     )
 
 
