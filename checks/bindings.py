@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pagetrawl.functions.colour import dominant_colour
 from pagetrawl.functions.times import asctime
 from pagetrawl.functions.urls import netloc, url_id
-from pagetrawl.operators.extract import extract_pages
+from pagetrawl.operators.extract import extract_pages, page_links
 from pagetrawl.operators.graph import pages_with_backlinks
+from pagetrawl.operators.index import Index, read_index, write_index
+from pagetrawl.plans.lineage import new_folder
 from pagetrawl.schemas import STOP_WORDS
 
 EPOCH = 1704067200
@@ -20,6 +22,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> str:
+    """Path of a table or index that many queries read.
+
+    It is written to the shared folder by ``build(path)`` when it is first asked
+    for in an application, as pages, links and index are stored once by a crawl.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = new_folder(spark, name)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages")
 
@@ -34,14 +53,18 @@ def page_keys(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", url_id("url").alias("id"), "url", indexed_time().alias("indexed_time"))
 
 
+def crawled(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored pages with the text, links and images taken from their HTML."""
+    path = stored(spark, sf, "pages", lambda to: extract_pages(raw(spark, sf)).select(
+        url_id("url").alias("id"), "*").write.parquet(to))
+    return spark.read.parquet(path)
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored pages with the text taken from their HTML."""
-    extracted = extract_pages(raw(spark, sf))
-    return extracted.select(url_id("url").alias("id"), "url", "title", "content", "snippet")
+    return crawled(spark, sf).select("id", "url", "title", "content", "snippet")
 
 
-def links(spark: SparkSession, sf: str) -> DataFrame:
-    """Derived links between known pages; the real ones all leave the table."""
+def _derived_links(spark: SparkSession, sf: str) -> DataFrame:
     p = raw(spark, sf).select("page_id", "url")
     n = p.select(F.count(F.lit(1))).scalar()
     step = F.explode(F.array(F.lit(0), F.lit(1), F.lit(3)))
@@ -55,9 +78,15 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived links between known pages; the real ones all leave the table."""
+    path = stored(spark, sf, "links", lambda to: _derived_links(spark, sf).write.parquet(to))
+    return spark.read.parquet(path)
+
+
 def real_links(spark: SparkSession, sf: str) -> DataFrame:
-    from pagetrawl.operators.extract import page_links
-    return page_links(extract_pages(raw(spark, sf)))
+    """The links of the stored pages."""
+    return page_links(crawled(spark, sf))
 
 
 def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,6 +120,26 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def index(spark: SparkSession, sf: str) -> Index:
+    """Stored index of the corpus."""
+    path = stored(spark, sf, "index", lambda to: write_index(corpus(spark, sf), to, ("content",)))
+    return read_index(spark, path)
+
+
+def page_index(spark: SparkSession, sf: str) -> Index:
+    """Stored index of the page texts."""
+    path = stored(spark, sf, "page-index", lambda to: write_index(pages(spark, sf), to))
+    return read_index(spark, path)
+
+
+def nested_collections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a collection of the pages it links to, in one array."""
+    page = F.transform("links", lambda u: F.struct(
+        F.sha2(u, 256).alias("id"), u.alias("url"), u.alias("title"), F.lit("").alias("snippet")))
+    return crawled(spark, sf).select(
+        "id", F.col("title").alias("name"), F.lit("").alias("description"), page.alias("pages"))
+
+
 def title_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Page titles as searches."""
     from pagetrawl.functions.html import extract_title

@@ -18,7 +18,8 @@ def extract_content(spark, sf):
 
 
 def extract_snippet(spark, sf):
-    return B.pages(spark, sf).select("url", "snippet")
+    texts = B.raw(spark, sf).select("url", "html", H.extract_content("html").alias("content"))
+    return texts.select("url", H.extract_snippet("html", "content").alias("snippet"))
 
 
 def extract_pages(spark, sf):
@@ -48,9 +49,8 @@ def is_page_link(spark, sf):
 
 
 def cap_links(spark, sf):
-    links = B.links(spark, sf).groupBy("source_url").agg(
-        F.array_sort(F.collect_list("target_url")).alias("links"))
-    return links.select("source_url", F.array_join(H.cap_links("links", 2), " ").alias("links"))
+    return B.raw(spark, sf).select(
+        "url", F.array_join(H.cap_links(H.extract_hrefs("html"), 2), " ").alias("hrefs"))
 
 
 def split_links(spark, sf):
@@ -109,9 +109,12 @@ SQL = {
         SELECT url, href, regexp_extract(url,'^([a-z]+://[^/?#]*)',1) || href AS target FROM k""",
     "is_page_link": f"""WITH {B.IMAGES_SQL} SELECT url, NOT regexp_matches(url, '\\.(png|jpg|jpeg|gif|pdf|zip)$') AS image,
         NOT regexp_matches(source_url, '\\.(png|jpg|jpeg|gif|pdf|zip)$') AS page FROM im""",
-    "cap_links": f"""WITH {B.LINKS_SQL}, n AS (SELECT source_url, target_url,
-        row_number() OVER (PARTITION BY source_url ORDER BY target_url) AS i FROM l)
-        SELECT source_url, string_agg(target_url, ' ' ORDER BY target_url) AS links FROM n WHERE i <= 2 GROUP BY ALL""",
+    "cap_links": f"""WITH {B.REAL_LINKS_SQL}, e AS (
+        SELECT url, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS i FROM h),
+        m AS (SELECT url, href, min(i) AS i FROM e GROUP BY ALL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY i) AS k FROM m)
+        SELECT url, coalesce(string_agg({B.decoded('href')}, ' ' ORDER BY i) FILTER (WHERE k <= 2), '') AS hrefs
+        FROM pages LEFT JOIN n USING (url) GROUP BY url""",
     "split_links": f"""WITH {B.REAL_LINKS_SQL} SELECT url AS source_url, {B.decoded('href')} AS target_url FROM (
         SELECT url, trim(unnest(string_split(array_to_string(hrefs, ','), ','))) AS href FROM h) WHERE href <> ''
         UNION ALL SELECT url, url FROM pages""",

@@ -76,51 +76,56 @@ def number_range(spark, sf):
 
 
 def rank_bm25(spark, sf):
-    return S.rank(_index(spark, sf), ["was", "ther"])
+    return S.rank(B.index(spark, sf), ["was", "ther"])
 
 
 def rank_all(spark, sf):
-    return S.rank(_index(spark, sf), ["en", "de"], None)
+    return S.rank(B.index(spark, sf), ["en", "de"], None)
 
 
 def rank_batch(spark, sf):
-    ranked = S.rank_batch(B.title_queries(spark, sf), _index(spark, sf), 20)
+    ranked = S.rank_batch(B.title_queries(spark, sf), B.index(spark, sf), 20)
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def rank_passages(spark, sf):
     """Documents that hold every term of a benchmark passage."""
     asked = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return S.rank_batch(asked, _index(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
-
-
-def _scored_corpus(spark, sf):
-    """Pages searched by their own text, with times, links and likes."""
-    texts = B.pages(spark, sf)
-    return texts.join(B.scored_pages(spark, sf).drop("url"), "id")
+    return S.rank_batch(asked, B.index(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def search_batch(spark, sf):
-    texts = B.pages(spark, sf).select("id", "content")
     found = S.search_batch(
-        B.title_queries(spark, sf), I.build_index(texts), B.scored_pages(spark, sf), page=1, limit=10,
+        B.title_queries(spark, sf), B.page_index(spark, sf), B.scored_pages(spark, sf), page=1, limit=10,
         sort_by="backlinks_desc", min_links=1)
     return found.select("query_id", "id", "score", "backlinks", F.col("position").cast("bigint"))
 
 
+def index_appended(spark, sf):
+    """The index written as two batches, by language, and read as one."""
+    docs = B.table(spark, sf, "documents")
+
+    def write(to):
+        for batch, part in enumerate((docs.filter("lang = 'en'"), docs.filter("lang <> 'en'"))):
+            texts = part.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+            I.append_index(texts, to, batch, ("content",))
+
+    both = I.read_appended_index(spark, B.stored(spark, sf, "appended-index", write))
+    return S.rank(both, ["was", "ther"])
+
+
 def totals_batch(spark, sf):
-    return S.totals_batch(B.title_queries(spark, sf), _index(spark, sf), None)
+    return S.totals_batch(B.title_queries(spark, sf), B.index(spark, sf), None)
 
 
 def _hits(spark, sf, **options):
-    texts = B.pages(spark, sf).select("id", "content")
-    return S.hits(I.build_index(texts), B.scored_pages(spark, sf), "th of re", **options)
+    return S.hits(B.page_index(spark, sf), B.scored_pages(spark, sf), "th of re", **options)
 
 
 def search(spark, sf):
     texts = B.pages(spark, sf)
     pages = texts.drop("url", "content").join(B.scored_pages(spark, sf), "id")
-    found = S.search(I.build_index(texts), pages, "th of re", page=2, limit=5, sort_by="date_desc",
+    found = S.search(B.page_index(spark, sf), pages, "th of re", page=2, limit=5, sort_by="date_desc",
                      domain="example", min_links=1)
     return found.select("id", "url", "title", "snippet", "indexed_time", "backlinks", "score")
 
@@ -225,7 +230,7 @@ def project_hits(spark, sf):
 
 
 def _vocabulary(spark, sf):
-    return _index(spark, sf).term_stats.select("term", "df")
+    return B.index(spark, sf).term_stats.select("term", "df")
 
 
 def _lower_titles(spark, sf):
@@ -257,7 +262,7 @@ def prefix_suggest(spark, sf):
 QUERIES = {f.__name__: f for f in (
     term_stats, doc_len, postings, field_terms, match_all, match_any, match_none, match_phrase,
     match_phrase_repeated, match_prefix, match_wildcard, match_field, number_range, rank_bm25, rank_all, rank_batch,
-    rank_passages, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
+    rank_passages, index_appended, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
     substring_search, refine, sort_date_desc, sort_date_asc, sort_backlinks_desc, sort_likes_desc, sort_unknown,
     sort_local, top_liked, paginate, highlight, project_hits, suggest, spell_correct, spell_correct_always,
@@ -340,6 +345,7 @@ SQL = {
     "match_field": f"WITH {B.PAGES_SQL} SELECT id FROM p WHERE list_contains({B.terms_sql('title')}, 'th')",
     "number_range": f"WITH {B.SCORED_SQL} SELECT id, backlinks FROM s WHERE backlinks BETWEEN 2 AND 4",
     "rank_bm25": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc ORDER BY score DESC, id LIMIT 200",
+    "index_appended": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc ORDER BY score DESC, id LIMIT 200",
     "rank_all": f"WITH {_C}, {_one_query(['en', 'de'])} SELECT * FROM sc",
     "rank_batch": f"WITH {_C}, {_TITLES}, {_MATCHED}, {_RANKED} SELECT * FROM rk WHERE rank <= 20",
     "rank_passages": f"""WITH {_C}, {_queries_sql('benchmark', 'item_id', 'text')}, {_MATCHED}, {_RANKED}

@@ -1,4 +1,4 @@
-"""Epoch, display and schedule times. Epochs are seconds as doubles, in UTC sessions."""
+"""Epoch, display and schedule times. Epochs are seconds as doubles; texts are in UTC."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,8 @@ def epoch_now() -> Column:
 
 
 def _timestamp(epoch) -> Column:
-    return F.timestamp_seconds(F.floor(col(epoch)))
+    """Wall-clock time in UTC, whatever the zone of the session."""
+    return F.convert_timezone(None, F.lit("UTC"), F.timestamp_seconds(F.floor(col(epoch))))
 
 
 def asctime(epoch) -> Column:
@@ -37,11 +38,9 @@ def parse_time(text) -> Column:
     """Epoch seconds of a display time; null if the text is not one."""
     text = F.trim(F.regexp_replace(col(text), r"\s+", " "))
     without_weekday = F.regexp_replace(text, r"^[A-Za-z]{3} ", "")
-    parsed = F.coalesce(
-        F.try_to_timestamp(without_weekday, F.lit("MMM d HH:mm:ss yyyy")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
-    )
+    shapes = [(without_weekday, "MMM d HH:mm:ss yyyy"), (text, "yyyy-MM-dd HH:mm:ss"), (text, "yyyy-MM-dd")]
+    parsed = F.coalesce(*(
+        F.try_to_timestamp(F.concat(t, F.lit(" +00:00")), F.lit(f"{shape} XXX")) for t, shape in shapes))
     return F.unix_seconds(parsed).cast("double")
 
 

@@ -101,16 +101,17 @@ def _merge_paths(base_path: str, path_: str) -> str:
     last kept segment for every ``..``.
     """
     folder = f"coalesce(nullif(regexp_extract({base_path}, '^(.*/)[^/]*$', 1), ''), '/')"
-    joined = f"CASE WHEN startswith({path_}, '/') THEN {path_} ELSE concat({folder}, {path_}) END"
+    relative = f"regexp_replace(concat({folder}, {path_}), '(?<!^)/{{2,}}', '/')"
+    joined = f"CASE WHEN startswith({path_}, '/') THEN {path_} ELSE {relative} END"
     fold = (
         "aggregate(s, CAST(array() AS ARRAY<STRING>), (done, x) -> CASE WHEN x = '.' THEN done "
         "WHEN x = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) ELSE array_append(done, x) END)"
     )
     kept = f"CASE WHEN element_at(s, -1) IN ('.', '..') THEN array_append({fold}, '') ELSE {fold} END"
-    undotted = f"coalesce(nullif(array_join({let('split(j, chr(47))', 's', kept)}, '/'), ''), '/')"
+    joined_again = f"array_join({let('split(j, chr(47))', 's', kept)}, '/')"
+    undotted = let(joined_again, "r", "CASE WHEN startswith(r, '/') THEN r ELSE '/' || r END")
     dotted = quote(r"(?:^|/)\.\.?(?:/|$)")
-    tidy = f"regexp_replace({joined}, '(?<!^)/{{2,}}', '/')"
-    return let(tidy, "j", f"CASE WHEN j RLIKE {dotted} THEN {undotted} ELSE j END")
+    return let(joined, "j", f"CASE WHEN j RLIKE {dotted} THEN {undotted} ELSE j END")
 
 
 def split_base_sql(url: str) -> str:

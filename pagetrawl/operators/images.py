@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagetrawl.functions.colour import dominant_colour, image_terms
 from pagetrawl.functions.text import falsy
-from pagetrawl.plans.skew import salted_join, top_n
+from pagetrawl.plans.skew import hot_of, salted_join, top_n
 from pagetrawl.schemas import (
     DEFAULT_IMAGE_NAME, DEFAULT_IMAGE_SOURCE, IMAGE_LIMIT, IMAGE_SCAN_CAP, PALETTE,
 )
@@ -25,8 +25,9 @@ def _texts() -> list[Column]:
 def image_match(images: DataFrame, q: str) -> DataFrame:
     """Images with any keyword of ``q`` in alt text, title or URL."""
     terms = image_terms(F.lit(q))
-    any_text = [F.exists(terms, lambda k, t=text: t.contains(k)) for text in _texts()]
-    return images.filter(any_text[0] | any_text[1] | any_text[2])
+    alt, title, url = _texts()
+    return images.filter(F.exists(
+        terms, lambda k: alt.contains(k) | title.contains(k) | url.contains(k)))
 
 
 def _grams(text: Column, size: Column | int) -> Column:
@@ -65,7 +66,7 @@ def image_match_batch(images: DataFrame, queries: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("_r"))
         .select("keyword", F.col("_r.gram").alias("gram"))
     )
-    met = salted_join(grams, rarest, "gram", salt_by="id")
+    met = salted_join(grams, rarest, "gram", salt_by="id", hot=hot_of(counts, "gram", "_n"))
     holds = F.col("_a").contains(F.col("keyword")) | F.col("_t").contains(F.col("keyword")) \
         | F.col("_u").contains(F.col("keyword"))
     matched = met.filter(holds).select("keyword", "id")

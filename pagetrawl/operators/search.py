@@ -7,7 +7,7 @@ from pagetrawl.functions.text import analyse, analyse_literal, contains_text, fa
 from pagetrawl.functions.times import parse_time, preset_bounds
 from pagetrawl.functions.urls import netloc
 from pagetrawl.operators.index import Index
-from pagetrawl.plans.skew import salted_join, top_n
+from pagetrawl.plans.skew import hot_of, salted_join, top_n
 from pagetrawl.schemas import BM25_B, BM25_K1, CANDIDATE_CAP, PAGE_SIZE
 
 # --- Matching: ids of documents --------------------------------------------------------
@@ -146,8 +146,9 @@ def rank_batch(queries: DataFrame, index: Index, k: int | None = CANDIDATE_CAP,
         .filter("_unknown = 0").select("query_id", F.col("_rarest.term").alias("term"), "_terms")
     )
     found = _field(index.postings, field).join(asked, "term", "left_semi").select("term", "id", "tf", "dl")
-    candidates = salted_join(found.select("term", "id"), leads, "term", salt_by="id").select(
-        "query_id", "id", F.size("_terms").alias("n_terms"), F.inline("_terms"))
+    candidates = salted_join(
+        found.select("term", "id"), leads, "term", salt_by="id", hot=hot_of(stats, "term", "df"),
+    ).select("query_id", "id", F.size("_terms").alias("n_terms"), F.inline("_terms"))
     docs, average = _corpus(index, field)
     scored = (
         candidates.join(found, ["term", "id"])

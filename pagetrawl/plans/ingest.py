@@ -1,7 +1,7 @@
 """Ingest of raw pages: extract once, drop what is known, append to all tables."""
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrawl.functions.times import asctime, epoch_now
@@ -10,12 +10,28 @@ from pagetrawl.operators.extract import extract_pages, page_images, page_links,
 from pagetrawl.operators.graph import backlinks_as_of
 from pagetrawl.operators.history import run_row
 from pagetrawl.operators.index import append_index
-from pagetrawl.operators.store import add_backlinks, new_pages, prepare_images
+from pagetrawl.operators.store import add_backlinks, latest_pages, new_pages, prepare_images
 from pagetrawl.plans.skew import latest
 from pagetrawl.schemas import BACKLINKS, IMAGES, PAGES, RUN_LOG
 from pagetrawl.sources.tables import read_batches, write_batch
 
 
+def stored_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The current pages below ``root``."""
+    return latest_pages(read_batches(spark, PAGES, f"{root}/pages"))
+
+
+def stored_links(spark: SparkSession, root: str) -> DataFrame:
+    """All links below ``root``."""
+    return read_batches(spark, BACKLINKS, f"{root}/backlinks")
+
+
+def stored_images(spark: SparkSession, root: str) -> DataFrame:
+    """The images below ``root``: the row of the last batch for each."""
+    log = read_batches(spark, IMAGES, f"{root}/images", keep_batch=True)
+    return latest(log, "id", [F.desc("batch_id")]).drop("batch_id")
+
+
 def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, index: bool = True,
                  start_url: str = "N/A", triggered_by: str = "batch", now: float | None = None) -> None:
     """One batch of raw pages appended to the tables below ``root``.

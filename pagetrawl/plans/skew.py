@@ -15,10 +15,14 @@ def hot_keys(facts: DataFrame, on: str, rows: int = HOT_ROWS, keys: int = HOT_KE
     ``keys``-th of all rows, so it cannot overload a task. The counts are
     combined before they are shuffled.
     """
+    return hot_of(facts.groupBy(on).count(), on, "count", rows, keys)
+
+
+def hot_of(counts: DataFrame, on: str, count: str, rows: int = HOT_ROWS, keys: int = HOT_KEYS) -> DataFrame:
+    """:func:`hot_keys` where the rows per key are counted already."""
     return (
-        facts.groupBy(on).count()
-        .filter(F.col(on).isNotNull() & (F.col("count") >= rows))
-        .orderBy(F.desc("count"), on).limit(keys)
+        counts.filter(F.col(on).isNotNull() & (F.col(count) >= rows))
+        .orderBy(F.desc(count), on).limit(keys)
         .select(on, F.lit(True).alias("_hot"))
     )
 

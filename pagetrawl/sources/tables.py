@@ -70,7 +70,8 @@ def write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
 
 
-def read_batches(spark: SparkSession, schema: T.StructType, path: str, before: int | None = None) -> DataFrame:
+def read_batches(spark: SparkSession, schema: T.StructType, path: str, before: int | None = None,
+                 keep_batch: bool = False) -> DataFrame:
     """A table written batch by batch, or its batches before ``before``.
 
     A table that does not exist yet is empty. The batch condition prunes folders.
@@ -81,7 +82,7 @@ def read_batches(spark: SparkSession, schema: T.StructType, path: str, before: i
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], batched if keep_batch else schema)
     if before is not None:
         df = df.filter(F.col("batch_id") < before)
-    return df.drop("batch_id")
+    return df if keep_batch else df.drop("batch_id")
