@@ -14,6 +14,7 @@ from pagetrawl.operators.graph import pages_with_backlinks
 from pagetrawl.operators.index import Index, read_index, write_index
 from pagetrawl.plans.lineage import new_folder
 from pagetrawl.schemas import STOP_WORDS
+from pagetrawl.sources.tables import spread
 
 EPOCH = 1704067200
 
@@ -55,7 +56,7 @@ def page_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def crawled(spark: SparkSession, sf: str) -> DataFrame:
     """Stored pages with the text, links and images taken from their HTML."""
-    path = stored(spark, sf, "pages", lambda to: extract_pages(raw(spark, sf)).select(
+    path = stored(spark, sf, "pages", lambda to: extract_pages(spread(raw(spark, sf))).select(
         url_id("url").alias("id"), "*").write.parquet(to))
     return spark.read.parquet(path)
 
@@ -116,7 +117,7 @@ def like_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 

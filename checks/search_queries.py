@@ -11,8 +11,8 @@ from pagetrawl.operators import search as S
 from pagetrawl.operators import spell as P
 
 
-def _index(spark, sf, positions=False):
-    return I.build_index(B.corpus(spark, sf), positions=positions)
+def _index(spark, sf):
+    return I.build_index(B.corpus(spark, sf))
 
 
 def term_stats(spark, sf):
@@ -24,11 +24,11 @@ def doc_len(spark, sf):
 
 
 def postings(spark, sf):
-    table = _index(spark, sf, positions=True).postings
-    return table.select(
-        "id", "term", F.col("dl").cast("bigint"), F.col("tf").cast("bigint"),
-        F.col("positions")[0].cast("bigint").alias("first"),
-        F.element_at("positions", -1).cast("bigint").alias("last"))
+    return _index(spark, sf).postings.select("id", "term", F.col("dl").cast("bigint"), F.col("tf").cast("bigint"))
+
+
+def positions(spark, sf):
+    return _index(spark, sf).positions.select("id", "term", F.col("position").cast("bigint"))
 
 
 def field_terms(spark, sf):
@@ -47,15 +47,15 @@ def match_any(spark, sf):
 
 def match_none(spark, sf):
     docs = B.corpus(spark, sf)
-    return S.match_none(docs, I.postings(docs, positions=False), ["de", "ther"])
+    return S.match_none(docs, I.postings(docs), ["de", "ther"])
 
 
 def match_phrase(spark, sf):
-    return S.match_phrase(_index(spark, sf, positions=True).postings, ["de", "la"])
+    return S.match_phrase(B.index(spark, sf).positions, ["de", "la"])
 
 
 def match_phrase_repeated(spark, sf):
-    return S.match_phrase(_index(spark, sf, positions=True).postings, ["de", "la", "de"])
+    return S.match_phrase(B.index(spark, sf).positions, ["de", "la", "de"])
 
 
 def match_prefix(spark, sf):
@@ -67,7 +67,7 @@ def match_wildcard(spark, sf):
 
 
 def match_field(spark, sf):
-    table = I.postings(B.pages(spark, sf), ("title", "snippet", "content"), positions=False)
+    table = I.postings(B.pages(spark, sf), ("title", "snippet", "content"))
     return S.match_all(table, ["th"], field="title")
 
 
@@ -260,7 +260,7 @@ def prefix_suggest(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    term_stats, doc_len, postings, field_terms, match_all, match_any, match_none, match_phrase,
+    term_stats, doc_len, postings, positions, field_terms, match_all, match_any, match_none, match_phrase,
     match_phrase_repeated, match_prefix, match_wildcard, match_field, number_range, rank_bm25, rank_all, rank_batch,
     rank_passages, index_appended, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
@@ -325,8 +325,8 @@ _CORRECTED = """SELECT query_id, q, CASE WHEN bool_or(b.term IS NOT NULL)
 SQL = {
     "term_stats": f"WITH {_C} SELECT * FROM ts",
     "doc_len": f"WITH {_C} SELECT id, dl FROM dl",
-    "postings": f"""WITH {_C} SELECT id, term, dl, count(*) AS tf, min(pos) AS first, max(pos) AS last
-        FROM tk JOIN dl USING (id) GROUP BY ALL""",
+    "postings": f"WITH {_C} SELECT id, term, dl, tf FROM po JOIN dl USING (id)",
+    "positions": f"WITH {_C} SELECT id, term, pos AS position FROM tk",
     "field_terms": f"""WITH {B.PAGES_SQL}, f AS (
         SELECT id, 'title' AS field, unnest({B.terms_sql('title')}) AS term FROM p
         UNION ALL SELECT id, 'snippet', unnest({B.terms_sql('snippet')}) FROM p)

@@ -30,12 +30,11 @@ def image_match(images: DataFrame, q: str) -> DataFrame:
         terms, lambda k: alt.contains(k) | title.contains(k) | url.contains(k)))
 
 
-def _grams(text: Column, size: Column | int) -> Column:
-    """All substrings of ``size`` characters, each once."""
-    size = F.lit(size) if isinstance(size, int) else size
-    last = F.length(text) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+def _grams(df: DataFrame, text: str, sizes: str) -> DataFrame:
+    """``df`` with one row per substring ``gram`` of ``text``, for an array of sizes."""
+    sized = df.withColumn("_size", F.expr(f"explode({sizes})")).filter(f"length({text}) >= _size")
+    placed = sized.withColumn("_at", F.expr(f"explode(sequence(1, length({text}) - _size + 1))"))
+    return placed.withColumn("gram", F.expr(f"substr({text}, _at, _size)")).drop("_size", "_at")
 
 
 def image_match_batch(images: DataFrame, queries: DataFrame) -> DataFrame:
@@ -48,17 +47,14 @@ def image_match_batch(images: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(image_terms("q")).alias("keyword")).distinct()
     keywords = asked.select("keyword").distinct()
-    short = F.least(F.length("keyword"), F.lit(GRAM))
-    pieces = keywords.filter("keyword <> ''").select(
-        "keyword", F.explode(_grams(F.col("keyword"), short)).alias("gram"))
+    pieces = _grams(
+        keywords.filter("keyword <> ''"), "keyword", f"array(least(length(keyword), {GRAM}))").distinct()
     wanted = pieces.select("gram").distinct()
 
-    alt, title, url = _texts()
-    texts = images.select("id", alt.alias("_a"), title.alias("_t"), url.alias("_u"))
-    every = [_grams(F.col(c), n) for c in ("_a", "_t", "_u") for n in (1, 2, GRAM)]
-    grams = texts.select(
-        "id", "_a", "_t", "_u", F.explode(F.array_distinct(F.concat(*every))).alias("gram"))
-    grams = grams.join(wanted, "gram", "left_semi")
+    # One text per image; the separator occurs in no keyword.
+    texts = images.select("id", F.concat_ws("\x01", *_texts()).alias("_text"))
+    sizes = f"sequence(1, {GRAM})"
+    grams = _grams(texts, "_text", sizes).join(wanted, "gram", "left_semi").distinct()
 
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
@@ -67,9 +63,7 @@ def image_match_batch(images: DataFrame, queries: DataFrame) -> DataFrame:
         .select("keyword", F.col("_r.gram").alias("gram"))
     )
     met = salted_join(grams, rarest, "gram", salt_by="id", hot=hot_of(counts, "gram", "_n"))
-    holds = F.col("_a").contains(F.col("keyword")) | F.col("_t").contains(F.col("keyword")) \
-        | F.col("_u").contains(F.col("keyword"))
-    matched = met.filter(holds).select("keyword", "id")
+    matched = met.filter(F.col("_text").contains(F.col("keyword"))).select("keyword", "id")
     # An empty query has the empty keyword, which every image holds.
     has_blank = asked.filter("keyword = ''").exists()
     everything = images.where(has_blank).select(F.lit("").alias("keyword"), "id")

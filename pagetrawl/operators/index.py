@@ -12,16 +12,18 @@ TEXT_FIELDS = ("title", "content", "snippet")
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(field, term, id, dl, tf[, positions])``, ``doc_len(field, id, dl)``
-    and ``term_stats(field, term, df, cf)``.
+    """The tables of an index.
 
-    A posting carries the length of its document, so scoring needs no join to
-    ``doc_len``.
+    - ``postings(field, term, id, dl, tf)``: a posting carries the length of its
+      document, so scoring needs no join to ``doc_len``
+    - ``doc_len(field, id, dl)`` and ``term_stats(field, term, df, cf)``
+    - ``positions(field, term, id, position)``: one row per occurrence, for phrases
     """
 
     postings: DataFrame
     doc_len: DataFrame
     term_stats: DataFrame
+    positions: DataFrame
 
 
 def _analysed(pages: DataFrame, fields) -> DataFrame:
@@ -35,18 +37,19 @@ def doc_lengths(pages: DataFrame, fields=("content",)) -> DataFrame:
     return _analysed(pages, fields).select("field", "id", F.size("terms").alias("dl"))
 
 
-def postings(pages: DataFrame, fields=("content",), positions: bool = True) -> DataFrame:
-    """One row per document, field and term with its frequency and positions.
+def positions(pages: DataFrame, fields=("content",)) -> DataFrame:
+    """One row per occurrence of a term, counted from 0 within the field."""
+    return _analysed(pages, fields).select("field", "id", F.posexplode("terms").alias("position", "term"))
 
-    The rows of a document meet before the shuffle, since it starts in one
-    task; a group never holds more than the document it comes from.
+
+def postings(pages: DataFrame, fields=("content",)) -> DataFrame:
+    """One row per document, field and term with its frequency.
+
+    The terms of a document are counted in the task that reads it, so the
+    shuffle moves one row per posting.
     """
-    terms = _analysed(pages, fields).select(
-        "field", "id", F.size("terms").alias("dl"), F.posexplode("terms").alias("position", "term"))
-    measures = [F.count(F.lit(1)).cast("int").alias("tf")]
-    if positions:
-        measures.append(F.sort_array(F.collect_list("position")).alias("positions"))
-    return terms.groupBy("field", "term", "id", "dl").agg(*measures)
+    terms = _analysed(pages, fields).select("field", "id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return terms.groupBy("field", "term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def term_stats(postings_: DataFrame) -> DataFrame:
@@ -55,55 +58,56 @@ def term_stats(postings_: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def build_index(pages: DataFrame, fields=("content",), positions: bool = False) -> Index:
+def build_index(pages: DataFrame, fields=("content",)) -> Index:
     """Index of ``pages`` with an ``id`` and the given text fields."""
-    table = postings(pages, fields, positions)
-    return Index(table, doc_lengths(pages, fields), term_stats(table))
+    table = postings(pages, fields)
+    return Index(table, doc_lengths(pages, fields), term_stats(table), positions(pages, fields))
 
 
-def write_index(pages: DataFrame, path: str, fields=TEXT_FIELDS) -> None:
+def _by_term(table: DataFrame) -> DataFrame:
+    """A term in few files, a frequent one split over several, each sorted.
+
+    Row-group statistics then let a query for some terms skip all other files.
+    """
+    return table.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
+
+
+def write_index(pages: DataFrame, path: str, fields=TEXT_FIELDS, phrases: bool = True) -> None:
     """The index as Parquet, one folder per table, for a new ``path``.
 
-    Postings are range-partitioned by term and id: a term lies in few files, a
-    frequent term is split over several, and row-group statistics let a query
-    skip all others. Statistics are counted from the written postings.
+    Statistics are counted from the written postings.
     """
     spark = pages.sparkSession
-    table = postings(pages, fields, positions=True)
-    (
-        table.repartitionByRange("field", "term", "id")
-        .sortWithinPartitions("field", "term", "id")
-        .write.partitionBy("field").parquet(f"{path}/postings")
-    )
+    _by_term(postings(pages, fields)).write.partitionBy("field").parquet(f"{path}/postings")
     doc_lengths(pages, fields).write.partitionBy("field").parquet(f"{path}/doc_len")
     written = spark.read.parquet(f"{path}/postings")
-    (
-        term_stats(written).sortWithinPartitions("term")
-        .write.partitionBy("field").parquet(f"{path}/term_stats")
-    )
+    term_stats(written).sortWithinPartitions("term").write.partitionBy("field").parquet(f"{path}/term_stats")
+    if phrases:
+        _by_term(positions(pages, fields)).write.partitionBy("field").parquet(f"{path}/positions")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """An index written by :func:`write_index`."""
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_len", "term_stats")))
+    """An index written by :func:`write_index` with phrases."""
+    tables = ("postings", "doc_len", "term_stats", "positions")
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in tables))
 
 
 def append_index(pages: DataFrame, path: str, batch: int, fields=TEXT_FIELDS) -> None:
-    """Postings and lengths of new pages, added as batch ``batch``.
+    """The index tables of new pages, added as batch ``batch``.
 
     Writing a batch again replaces it. Term statistics of an appended index are
     counted when they are read, see :func:`read_appended_index`.
     """
-    table = postings(pages, fields, positions=True)
-    (
-        table.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
-        .write.mode("overwrite").parquet(f"{path}/postings/batch_id={batch}")
-    )
-    doc_lengths(pages, fields).write.mode("overwrite").parquet(f"{path}/doc_len/batch_id={batch}")
+    def write(df: DataFrame, table: str) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{table}/batch_id={batch}")
+
+    write(_by_term(postings(pages, fields)), "postings")
+    write(doc_lengths(pages, fields), "doc_len")
+    write(_by_term(positions(pages, fields)), "positions")
 
 
 def read_appended_index(spark: SparkSession, path: str) -> Index:
     """An index written batch by batch."""
-    table = spark.read.parquet(f"{path}/postings").drop("batch_id")
-    lengths = spark.read.parquet(f"{path}/doc_len").drop("batch_id")
-    return Index(table, lengths, term_stats(table))
+    table, lengths, places = (
+        spark.read.parquet(f"{path}/{t}").drop("batch_id") for t in ("postings", "doc_len", "positions"))
+    return Index(table, lengths, term_stats(table), places)

@@ -37,7 +37,7 @@ def match_none(docs: DataFrame, postings: DataFrame, terms: list[str], field: st
     return docs.select("id").join(match_any(postings, terms, field), "id", "left_anti")
 
 
-def match_phrase(postings: DataFrame, terms: list[str], field: str = "content") -> DataFrame:
+def match_phrase(positions: DataFrame, terms: list[str], field: str = "content") -> DataFrame:
     """Documents with the terms next to each other in this order.
 
     Every occurrence votes for the place where the phrase would start; a start
@@ -46,11 +46,10 @@ def match_phrase(postings: DataFrame, terms: list[str], field: str = "content")
     places = F.create_map(*(
         x for t in sorted(set(terms))
         for x in (F.lit(t), F.array(*(F.lit(i) for i, u in enumerate(terms) if u == t)))))
-    hits = _field(postings, field).filter(F.col("term").isin(sorted(set(terms))))
     votes = (
-        hits.select("id", "positions", F.explode(places[F.col("term")]).alias("_place"))
-        .select("id", F.explode("positions").alias("_position"), "_place")
-        .groupBy("id", (F.col("_position") - F.col("_place")).alias("_start"))
+        _field(positions, field).filter(F.col("term").isin(sorted(set(terms))))
+        .select("id", "position", F.explode(places[F.col("term")]).alias("_place"))
+        .groupBy("id", (F.col("position") - F.col("_place")).alias("_start"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     return votes.filter(F.col("_n") == len(terms)).select("id").distinct()

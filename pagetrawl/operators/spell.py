@@ -7,51 +7,75 @@ from pagetrawl.functions.text import words
 from pagetrawl.plans.skew import salted_join, top_n
 from pagetrawl.schemas import MAX_EDITS, SUGGESTIONS
 
-# A term is cut into one segment more than edits are allowed, so one stays whole.
-SEGMENTS = MAX_EDITS + 1
-SHORT = 2
+# A term is cut into two segments more than edits are allowed, so two stay whole.
+SEGMENTS = MAX_EDITS + 2
+# Terms too short to cut are looked up by their single letters.
+SHORT = SEGMENTS - 1
+# Texts this short are close whatever their letters are.
+ALWAYS_CLOSE = MAX_EDITS
 
 
-def _cut(length, i):
+def _cut(length: str, i: int) -> str:
     """Start of segment ``i`` of a term of the given length."""
-    return F.floor(length * i / SEGMENTS).cast("int")
+    return f"CAST(floor({length} * {i} / {SEGMENTS}) AS INT)"
+
+
+def _segment_pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
+
+
+def _shifts() -> list[tuple[int, int, int]]:
+    """How far two whole segments, and the end, can be moved by the allowed edits."""
+    reach = range(-MAX_EDITS, MAX_EDITS + 1)
+    return [
+        (a, b, end) for end in reach for a in reach for b in reach
+        if abs(a) + abs(b - a) + abs(end - b) <= MAX_EDITS
+    ]
 
 
 def _vocabulary_keys(vocabulary: DataFrame) -> DataFrame:
-    """Three keys per term: its length, a segment number and the segment's text."""
-    sized = vocabulary.withColumn("_l", F.length("term"))
-    split = sized.withColumn("_i", F.explode(F.array(*(F.lit(i) for i in range(SEGMENTS)))))
-    start, end = _cut(F.col("_l"), F.col("_i")), _cut(F.col("_l"), F.col("_i") + 1)
-    piece = F.substr(F.col("term"), start + 1, end - start)
-    return split.filter(end > start).select(
-        "term", "df", F.concat_ws(" ", "_l", "_i", piece).alias("_key"))
+    """Keys of a term: its length with each pair of its segments, or each letter if short."""
+    def piece(i: int) -> str:
+        return f"substr(term, {_cut('l', i)} + 1, {_cut('l', i + 1)} - {_cut('l', i)})"
+
+    pairs = ", ".join(f"concat_ws(' ', l, {i}, {j}, {piece(i)}, {piece(j)})" for i, j in _segment_pairs())
+    letters = f"transform(sequence(1, {SHORT}), p -> concat_ws(' ', l, p, substr(term, p, 1)))"
+    keys = f"CASE WHEN l > {SHORT} THEN array({pairs}) ELSE slice({letters}, 1, l) END"
+    sized = vocabulary.filter("term <> ''").withColumn("l", F.length("term"))
+    return sized.select("term", "df", F.explode(F.expr(keys)).alias("_key"))
 
 
 def _word_keys(asked: DataFrame) -> DataFrame:
     """The keys a word shares with every term at most ``MAX_EDITS`` edits away.
 
-    If a term of length l is close, one of its segments occurs in the word with
-    at most i edits before it and the rest after it (i = segment number), which
-    leaves few places to look at. Terms of two letters have an empty segment,
-    so all places near their letters count.
+    Two segments of a close term occur in the word, each moved by as much as the
+    insertions and deletions before it add up to; only shifts that the allowed
+    edits can bring about are looked at. A short term keeps a letter, if the
+    word is longer than ``ALWAYS_CLOSE``.
     """
-    sized = asked.withColumn("_m", F.length("word"))
-    lengths = sized.withColumn("_l", F.explode(F.sequence(
-        F.greatest(F.col("_m") - MAX_EDITS, F.lit(1)), F.col("_m") + MAX_EDITS)))
-    segments = lengths.withColumn("_i", F.explode(F.array(*(F.lit(i) for i in range(SEGMENTS)))))
-    length, i, shift = F.col("_l"), F.col("_i"), F.col("_m") - F.col("_l")
-    start, size = _cut(length, i), _cut(length, i + 1) - _cut(length, i)
-    free = length <= SHORT
-    before = F.when(free, MAX_EDITS).otherwise(i)
-    after = F.when(free, MAX_EDITS).otherwise(MAX_EDITS - i)
-    around = F.when(free, 0).otherwise(shift)
-    low = F.greatest(F.lit(0), start - before, start + around - after)
-    high = F.least(F.col("_m") - size, start + before, start + around + after)
-    placed = segments.withColumn("_low", low).withColumn("_high", high).withColumn("_size", size)
-    placed = placed.filter((F.col("_size") > 0) & (F.col("_low") <= F.col("_high")))
-    found = placed.withColumn("_p", F.explode(F.sequence("_low", "_high")))
-    text = F.substr(F.col("word"), (F.col("_p") + 1).cast("int"), F.col("_size"))
-    return found.select("word", F.concat_ws(" ", "_l", "_i", text).alias("_key")).distinct()
+    sized = asked.withColumn("m", F.length("word"))
+    places = ", ".join(
+        f"struct({i} AS i, {j} AS j, {a} AS a, {b} AS b, {end} AS e)"
+        for i, j in _segment_pairs() for a, b, end in _shifts())
+    moved = sized.select("word", "m", F.expr(f"inline(array({places}))")).withColumn("l", F.expr("m - e"))
+
+    def cut(of: str) -> str:
+        return f"CAST(floor(l * {of} / {SEGMENTS}) AS INT)"
+
+    spans = moved.filter(f"l > {SHORT}").selectExpr(
+        "word", "m", "l", "i", "j", f"{cut('i')} + a AS p", f"{cut('j')} + b AS q",
+        f"{cut('(i + 1)')} - {cut('i')} AS pn", f"{cut('(j + 1)')} - {cut('j')} AS qn")
+    inside = spans.filter("p >= 0 AND p + pn <= q AND q + qn <= m")
+    by_pair = inside.selectExpr(
+        "word", "concat_ws(' ', l, i, j, substr(word, p + 1, pn), substr(word, q + 1, qn)) AS _key")
+
+    lengths = sized.filter(F.col("m") <= SHORT + MAX_EDITS).select(
+        "word", "m", F.explode(F.sequence(F.lit(1), F.lit(SHORT))).alias("l")).filter(f"abs(m - l) <= {MAX_EDITS}")
+    letters = lengths.select("word", "m", "l", F.expr("explode(sequence(1, l))").alias("s")).select(
+        "word", "l", "s", F.expr(
+            f"explode(sequence(greatest(1, least(m, s - {MAX_EDITS})), least(m, s + {MAX_EDITS})))").alias("p"))
+    by_letter = letters.selectExpr("word", "concat_ws(' ', l, s, substr(word, p, 1)) AS _key")
+    return by_pair.unionByName(by_letter).distinct()
 
 
 def suggest(asked: DataFrame, vocabulary: DataFrame, n: int = SUGGESTIONS) -> DataFrame:
@@ -59,18 +83,18 @@ def suggest(asked: DataFrame, vocabulary: DataFrame, n: int = SUGGESTIONS) -> Da
 
     ``asked`` has ``word``, ``vocabulary`` has ``term, df``. Terms at most two
     edits away are ordered by distance, frequency and text; the word itself is
-    left out. Candidates come from equal segments, not from all pairs, and
-    every close term shares at least one.
+    left out. Candidates come from equal pieces, not from all pairs, and every
+    close term shares at least one.
     """
     wanted = asked.select("word").filter("word <> ''").distinct()
     pairs = salted_join(_vocabulary_keys(vocabulary), _word_keys(wanted), "_key", salt_by="term").drop("_key")
     # Any two texts of at most two letters are close, and those of one length that
     # share no letter are equally far. Of these the n most frequent are enough, one
     # more in case the word itself is among them: at most 2 (n + 1) rows in all.
-    short = vocabulary.withColumn("_l", F.length("term")).filter(F.col("_l") <= SHORT)
+    short = vocabulary.withColumn("_l", F.length("term")).filter(F.col("_l").between(1, ALWAYS_CLOSE))
     frequent = top_n(short, ["_l"], [F.desc("df"), F.asc("term")], n + 1).select(
         "term", "df", F.lit(True).alias("_short"))
-    short_words = wanted.filter(F.length("word") <= SHORT).withColumn("_short", F.lit(True))
+    short_words = wanted.filter(F.length("word") <= ALWAYS_CLOSE).withColumn("_short", F.lit(True))
     pairs = pairs.unionByName(short_words.join(F.broadcast(frequent), "_short").drop("_short"))
     distance = F.levenshtein("word", "term", MAX_EDITS)
     close = (

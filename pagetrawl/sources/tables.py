@@ -12,9 +12,19 @@ def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with work for every core, for work that costs more than moving the rows.
+
+    Files of few row groups give few tasks; only then the rows are dealt out
+    anew. A scan with enough splits, as every large one has, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages ``page_id, url, html``."""
-    return _read(spark, schemas.RAW_PAGES, path)
+    """Raw pages ``page_id, url, html``, spread over the cores for parsing."""
+    return spread(_read(spark, schemas.RAW_PAGES, path))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -36,7 +36,7 @@ def corpus(spark):
 
 @pytest.fixture(scope="module")
 def index(corpus):
-    return X.build_index(corpus, positions=True)
+    return X.build_index(corpus)
 
 
 def bm25(terms):
@@ -83,9 +83,9 @@ def test_match(index, corpus):
     assert sorted(rows(S.match_all(p, ["red", "dog"]))) == [(0,), (2,), (5,)]
     assert sorted(rows(S.match_any(p, ["blue", "nothing"]))) == [(1,), (3,)]
     assert sorted(rows(S.match_none(corpus, p, ["red", "blue"]))) == [(3,), (4,)]
-    assert sorted(rows(S.match_phrase(p, ["red", "fox"]))) == [(0,), (2,), (5,)]
-    assert sorted(rows(S.match_phrase(p, ["red", "dog", "red"]))) == [(2,), (5,)]
-    assert sorted(rows(S.match_phrase(p, ["fox", "red", "dog", "red", "fox"]))) == [(5,)]
+    assert sorted(rows(S.match_phrase(index.positions, ["red", "fox"]))) == [(0,), (2,), (5,)]
+    assert sorted(rows(S.match_phrase(index.positions, ["red", "dog", "red"]))) == [(2,), (5,)]
+    assert sorted(rows(S.match_phrase(index.positions, ["fox", "red", "dog", "red", "fox"]))) == [(5,)]
     assert sorted(rows(S.match_prefix(p, "JU"))) == [(2,)]
     assert sorted(rows(S.match_wildcard(p, "?o*"))) == [(0,), (1,), (2,), (3,), (5,)]
 
@@ -95,7 +95,7 @@ def test_written_index(spark, corpus, index):
     X.write_index(corpus, path, ("content",))
     stored = X.read_index(spark, path)
     assert rows(S.rank(stored, ["red", "fox"])) == bm25(["red", "fox"])
-    assert sorted(rows(S.match_phrase(stored.postings, ["red", "fox"]))) == [(0,), (2,), (5,)]
+    assert sorted(rows(S.match_phrase(stored.positions, ["red", "fox"]))) == [(0,), (2,), (5,)]
     for batch in (0, 1, 1):
         X.append_index(corpus.filter(F.col("id") % 2 == batch), path + "-b", batch, ("content",))
     assert rows(S.rank(X.read_appended_index(spark, path + "-b"), ["red", "fox"])) == bm25(["red", "fox"])
