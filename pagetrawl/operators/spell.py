@@ -34,12 +34,15 @@ def _shifts() -> list[tuple[int, int, int]]:
 
 
 def _vocabulary_keys(vocabulary: DataFrame) -> DataFrame:
-    """Keys of a term: its length with each pair of its segments, or each letter if short."""
+    """Keys of a term: its length with each pair of its segments, or each letter if short.
+
+    Keys are hashes: narrow to shuffle, and a collision only adds a candidate.
+    """
     def piece(i: int) -> str:
         return f"substr(term, {_cut('l', i)} + 1, {_cut('l', i + 1)} - {_cut('l', i)})"
 
-    pairs = ", ".join(f"concat_ws(' ', l, {i}, {j}, {piece(i)}, {piece(j)})" for i, j in _segment_pairs())
-    letters = f"transform(sequence(1, {SHORT}), p -> concat_ws(' ', l, p, substr(term, p, 1)))"
+    pairs = ", ".join(f"xxhash64(l, {i}, {j}, {piece(i)}, {piece(j)})" for i, j in _segment_pairs())
+    letters = f"transform(sequence(1, {SHORT}), p -> xxhash64(l, p, substr(term, p, 1)))"
     keys = f"CASE WHEN l > {SHORT} THEN array({pairs}) ELSE slice({letters}, 1, l) END"
     sized = vocabulary.filter("term <> ''").withColumn("l", F.length("term"))
     return sized.select("term", "df", F.explode(F.expr(keys)).alias("_key"))
@@ -67,14 +70,14 @@ def _word_keys(asked: DataFrame) -> DataFrame:
         f"{cut('(i + 1)')} - {cut('i')} AS pn", f"{cut('(j + 1)')} - {cut('j')} AS qn")
     inside = spans.filter("p >= 0 AND p + pn <= q AND q + qn <= m")
     by_pair = inside.selectExpr(
-        "word", "concat_ws(' ', l, i, j, substr(word, p + 1, pn), substr(word, q + 1, qn)) AS _key")
+        "word", "xxhash64(l, i, j, substr(word, p + 1, pn), substr(word, q + 1, qn)) AS _key")
 
     lengths = sized.filter(F.col("m") <= SHORT + MAX_EDITS).select(
         "word", "m", F.explode(F.sequence(F.lit(1), F.lit(SHORT))).alias("l")).filter(f"abs(m - l) <= {MAX_EDITS}")
     letters = lengths.select("word", "m", "l", F.expr("explode(sequence(1, l))").alias("s")).select(
         "word", "l", "s", F.expr(
             f"explode(sequence(greatest(1, least(m, s - {MAX_EDITS})), least(m, s + {MAX_EDITS})))").alias("p"))
-    by_letter = letters.selectExpr("word", "concat_ws(' ', l, s, substr(word, p, 1)) AS _key")
+    by_letter = letters.selectExpr("word", "xxhash64(l, s, substr(word, p, 1)) AS _key")
     return by_pair.unionByName(by_letter).distinct()
 
 
