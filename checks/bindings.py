@@ -307,7 +307,7 @@ hi AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS sessi
 
 RUNS_SQL = r"""
 ru AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS start_url, 'unknown' AS status,
-              CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS pages_crawled, 0 AS errors,
+              CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS pages_crawled, CAST(0 AS BIGINT) AS errors,
               'unknown' AS triggered_by, epoch_us(ts) / 1e6 AS "timestamp",
               strftime(ts, '%Y-%m-%d %H:%M:%S') AS time_str FROM events WHERE event_type = 'error')"""
 

@@ -236,13 +236,13 @@ SQL = {
         SELECT id, 'https://' || domain AS url, domain, 'discovered' AS source FROM s
         UNION ALL SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM s)""",
     "startup_summary": f"""WITH {_DOMAINS}, {_SEEDS}
-        SELECT count(*) AS added_from_pages, CASE WHEN count(*) = 0 THEN 3 ELSE 0 END AS added_defaults,
+        SELECT count(*) AS added_from_pages, CAST(CASE WHEN count(*) = 0 THEN 3 ELSE 0 END AS BIGINT) AS added_defaults,
           count(*) + CASE WHEN count(*) = 0 THEN 3 ELSE 0 END AS total_added FROM s""",
     "page_detail": f"""WITH {B.PAGES_SQL}, {B.LINKS_SQL}
         SELECT id, url, title, content, snippet FROM p WHERE url IN (SELECT target_url FROM l)""",
     "page_detail_or": f"""WITH {B.PAGES_SQL}, {B.LINKS_SQL}, {_COUNTS}
         SELECT id, url, title, snippet, CASE WHEN backlinks IS NULL THEN snippet ELSE 'stored' END AS content,
-          CASE WHEN backlinks IS NULL THEN 0 ELSE 7 END AS backlinks,
+          CAST(CASE WHEN backlinks IS NULL THEN 0 ELSE 7 END AS BIGINT) AS backlinks,
           CASE WHEN backlinks IS NULL THEN '' ELSE strftime(make_timestamp(({B.EPOCH} + page_id*3600)*1000000), '%a %b ')
             || lpad(CAST(day(make_timestamp(({B.EPOCH} + page_id*3600)*1000000)) AS VARCHAR), 2, ' ')
             || strftime(make_timestamp(({B.EPOCH} + page_id*3600)*1000000), ' %H:%M:%S %Y') END AS indexed_at

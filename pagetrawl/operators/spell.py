@@ -103,9 +103,13 @@ def suggest(asked: DataFrame, vocabulary: DataFrame, n: int = SUGGESTIONS) -> Da
     close = (
         pairs.filter(F.col("word") != F.col("term"))
         .withColumn("distance", distance).filter(F.col("distance") >= 0)
-        .select("word", "term", "distance", "df").distinct()
     )
-    return top_n(close, ["word"], [F.asc("distance"), F.desc("df"), F.asc("term")], n)
+    # A pair is met once per shared key at most, and equal rows sort side by side:
+    # so many rows hold the first n terms, and each task passes on no more per word.
+    order = [F.asc("distance"), F.desc("df"), F.asc("term")]
+    repeats = len(_segment_pairs()) + 1
+    first = top_n(close, ["word"], order, n * repeats).select("word", "term", "distance", "df").distinct()
+    return top_n(first, ["word"], order, n)
 
 
 def spell_correct(queries: DataFrame, vocabulary: DataFrame, keep_known: bool = True) -> DataFrame:
