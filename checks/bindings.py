@@ -165,7 +165,8 @@ def coloured_images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_time():
-    return F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    """The time of an event, which has no zone, taken as UTC in any session."""
+    return F.unix_micros(F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")) / F.lit(1e6)
 
 
 def event_k():
