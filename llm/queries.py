@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.packing import pack
 from llm.shared import table
+from llm.simhash import near_duplicates
 from llm.token_counts import token_counts
 
 
@@ -20,12 +21,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_token_counts": op9_token_counts,
 }
 SQL: dict[str, str] = {}
