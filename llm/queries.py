@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from llm import chat, decontaminate
 from llm.language import predict
+from llm.order_minhash import fingerprint_edits
 from llm.packing import pack
 from llm.shared import table
 from llm.simhash import near_duplicates
@@ -45,6 +46,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_order_minhash": op8_order_minhash,
     "op9_token_counts": op9_token_counts,
 }
 SQL: dict[str, str] = {
