@@ -54,6 +54,13 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Least key of every ``width`` consecutive ones."""
     n = len(keys)
+    if width < 64:
+        reach = 1
+        while reach < width:
+            step = min(reach, width - reach)
+            keys = np.minimum(keys[:len(keys) - step], keys[step:])
+            reach += step
+        return keys
     padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = keys
     rows = padded.reshape(-1, width)
