@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.shared import stored
-from llm.windows import contexts, mix, prefix, spans
+from llm.windows import anchor_of, contexts, mix, prefix, spans
 
 #: Distinct contexts of one anchor that an index takes.
 CROWD = 1000
@@ -162,7 +162,12 @@ def _indexed(texts: DataFrame, method: Method) -> DataFrame:
 
 
 def _blocks(texts: DataFrame, method: Method, windows: int) -> DataFrame:
-    """Crowded contexts cut into blocks of ``windows`` windows; the block's common core is its anchor."""
+    """Crowded contexts cut into blocks of ``windows`` windows; the block's common core is its anchor.
+
+    Blocks are counted from the context's anchor, so that a window lies in the same block wherever it
+    occurs; the core is that of a whole block, also where the context holds only part of it. Blocks of
+    several windows need contexts whose compact form is the text itself.
+    """
     size, kind = method.size, np.dtype(method.kind)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +175,13 @@ def _blocks(texts: DataFrame, method: Method, windows: int) -> DataFrame:
             which, anchors, hashes, first, bodies = [], [], [], [], []
             for i, body in enumerate(batch.column("tokens")):
                 tokens = np.frombuffer(body.as_buffer(), kind)
-                starts = np.arange(0, len(tokens) - size + 1, windows)
-                ends = np.minimum(starts + windows - 1 + size, len(tokens))
+                count = len(tokens) - size + 1
+                at = anchor_of(method.tokens(body.as_buffer().to_pybytes())[:size], method.k) if windows > 1 else 0
+                nominal = np.arange((at + 1) % windows - windows, count, windows)
+                nominal = nominal[nominal + windows > 0]
+                starts, ends = np.maximum(nominal, 0), np.minimum(nominal + windows, count) - 1 + size
                 sums = prefix(mix(tokens.astype(np.uint64) + np.uint64(1)))
-                anchors.append(spans(sums, ends - size, starts + size))
+                anchors.append(spans(sums, nominal + windows - 1, nominal + size))
                 hashes.append(spans(sums, starts, ends))
                 which += [i] * len(starts)
                 first.append(starts)

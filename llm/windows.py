@@ -70,6 +70,15 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
 
 
+def _grams(sums: np.ndarray, k: int) -> np.ndarray:
+    return mix((sums[k:] - sums[:-k]) * _power(_INVERSE, len(sums) - k))
+
+
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """Keys that order k-grams by hash, the rightmost first among equals; the position is in the low bits."""
+    return (grams & ~_POSITION) | (_POSITION - np.arange(len(grams)).astype(np.uint64))
+
+
 def contexts(tokens: np.ndarray, size: int, k: int):
     """(anchor hash, context hash, first window, last window) of every anchor occurrence, as arrays."""
     parts = [_contexts(tokens[i:i + SEGMENT + size - 1], size, k, i)
@@ -84,11 +93,14 @@ def _contexts(tokens: np.ndarray, size: int, k: int, offset: int):
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = prefix(tokens)
-    at = np.arange(len(tokens) - k + 1)
-    raw = (sums[k:] - sums[:-k]) * _power(_INVERSE, len(at))
-    grams = mix(raw)
-    keys = (grams & ~_POSITION) | (_POSITION - at.astype(np.uint64))
+    grams = _grams(sums, k)
+    keys = _keys(grams)
     anchor = (_POSITION - (_least(keys, size - k + 1) & _POSITION)).astype(np.int64)
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
     last = np.append(first[1:], n) - 1
     return grams[anchor[first]], spans(sums, first, last + size), first + offset, last + offset
+
+
+def anchor_of(window: np.ndarray, k: int) -> int:
+    """Position of the anchor in one window."""
+    return int(_keys(_grams(prefix(window), k)).argmin())
