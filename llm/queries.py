@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import automaton, chat, decontaminate, run_index
+from llm.block_labeller import extract
 from llm.language import predict
 from llm.order_minhash import fingerprint_edits
 from llm.packing import pack
@@ -30,6 +31,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_chats(chat.format_chats(turns)))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -64,6 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
