@@ -122,11 +122,12 @@ def _compact(text: bytes) -> np.ndarray:
 METHOD = Method(tokens=tokens, compact=_compact, kind="u4", size=SIZE, k=GRAM, ordered=True, index=_mark, levels=(1,))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, tidy: bool = True) -> DataFrame:
     """row, n_words, removed, kept for every row of ``docs`` (doc_id, text).
 
     ``row`` has the input's columns without text, ``removed`` the maximal removed runs (start, end) in
-    words, ``kept`` the words that remain, unchanged and joined by one space. A word goes if a window of
+    words, ``kept`` the words that remain, unchanged and joined by one space; without ``tidy``, a text that
+    loses nothing is left as it is. A word goes if a window of
     SIZE words that covers it also starts earlier: in a document of smaller id, or before it in its own.
     Removal looks at the input alone.
 
@@ -142,11 +143,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             counts, removed, kept = [], [], []
             for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
-                words = text.as_buffer().to_pybytes().split()
+                raw = text.as_buffer().to_pybytes()
+                words = raw.split()
                 gone = covered(starts.values, len(words), SIZE)
                 counts.append(len(words))
                 removed.append(runs(gone))
-                kept.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x] if len(removed[-1]) else words))
+                if removed[-1]:
+                    words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+                kept.append(b" ".join(words) if tidy or removed[-1] else raw)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(counts, pa.int64()), pa.array(removed, RUNS), pa.array(kept, pa.binary()).cast(pa.string())],
                 ["row", "n_words", "removed", "kept"])

@@ -161,6 +161,16 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
+def without_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that share no window with an item; all columns stay, whatever their names."""
+    found = hits(docs, items).where(F.size("spans") > 0).select(
+        F.isnull("doc_id").alias("null_"), F.coalesce("doc_id", F.lit(0)).alias("id_"), "text_hash")
+    rows = docs.select(
+        F.isnull("doc_id").alias("null_"), F.coalesce("doc_id", F.lit(0)).alias("id_"), F.xxhash64("text").alias("text_hash"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(found, ["null_", "id_", "text_hash"], "left_anti").select("row.*")
+
+
 #: The same rows in SQL: every window of every document against every window of every item.
 SQL = r"""
 WITH d AS (

@@ -10,9 +10,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
 #: Longest piece, in characters.
 PIECE = 6
@@ -186,8 +186,8 @@ class _Scores(dict):
 _workers: dict[int, _Scores] = {}
 
 
-def identify(docs: DataFrame, model: Model, path: str) -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs`` (doc_id, text).
+def identify(docs: DataFrame, model: Model, path: str, keep: list[str] | None = None) -> DataFrame:
+    """row, lang_pred, score for every row of ``docs`` (text and others); ``row`` has the columns ``keep``, or all.
 
     A word's probability in a language is the sum over all its segmentations into pieces of the public
     vocabulary at ``path`` (a forward pass); a text's score is the product over its words, and ``score``
@@ -195,8 +195,8 @@ def identify(docs: DataFrame, model: Model, path: str) -> DataFrame:
     of fixed size (vocabulary times languages), and words once scored are kept in a bounded table.
 
     Null text, or text without a letter, is ``und`` with score 0; so is everything if no language was
-    learned. Equal scores go to the first language by name. A null doc_id and repeated rows stay;
-    further columns are ignored; an empty table gives no rows.
+    learned. Equal scores go to the first language by name. Repeated rows and rows without an id stay;
+    columns of any name may stand in ``row``; an empty table gives no rows.
     """
     number = hash((model.langs, model.chance.tobytes()))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -223,11 +223,13 @@ def identify(docs: DataFrame, model: Model, path: str) -> DataFrame:
                     predicted.append(langs[best])
                     sure.append(float(1.0 / np.exp(total - total[best]).sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(predicted, pa.string()), pa.array(sure, pa.float64())],
-                    ["doc_id", "lang_pred", "score"])
+                    [part.column("row"), pa.array(predicted, pa.string()), pa.array(sure, pa.float64())],
+                    ["row", "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, lang_pred string, score double")
+    row = F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns))
+    read = docs.select(row.alias("row"), "text")
+    out = StructType().add("row", read.schema["row"].dataType).add("lang_pred", "string").add("score", "double")
+    return read.mapInArrow(of, out)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -238,4 +240,5 @@ def held_out(doc_id: Column) -> Column:
 def predict(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learn from the labelled rows that are not held out, then identify all."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), path)
-    return identify(docs, model, path).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = identify(docs, model, path, ["doc_id"])
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from llm import automaton, chat, decontaminate, run_index
 from llm.block_labeller import extract
 from llm.language import predict
 from llm.order_minhash import fingerprint_edits
 from llm.packing import pack
-from llm.shared import table
+from llm.shared import table, tokenizer
 from llm.simhash import near_duplicates
 from llm.token_counts import token_counts
 
 
-def tokenizer(name: str) -> str:
-    """Place of a public tokenizer file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     added = spark.range(2).select(
@@ -68,6 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_chat_formatting": op1_chat_formatting,
     "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,

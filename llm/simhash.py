@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.components import components
@@ -46,14 +46,20 @@ def simhash(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, print (the 64 bits as a bigint) for every row; null text has no words."""
+    """doc_id, mark (hash of the text), print (the 64 bits as a bigint) for every row; null text has no words."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [simhash(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.int64())], ["doc_id", "mark", "print"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, print long")
+    marked = docs.select("doc_id", _mark(docs).alias("mark"), "text")
+    return marked.mapInArrow(of, f"doc_id {kind}, mark long, print long")
+
+
+def _mark(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
 def _keys(value: Column) -> Column:
@@ -97,6 +103,13 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _classes(found: DataFrame) -> DataFrame:
+    """print, root: the component of every fingerprint."""
+    values = found.select("print").distinct()
+    roots = components(links(values)).withColumnRenamed("node", "print")
+    return values.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs`` (doc_id, text).
 
@@ -107,10 +120,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least unless all are null; repeated rows stay; further columns are ignored; no rows give no rows.
     """
     found = stored(fingerprints(docs))
-    nodes = found.groupBy("print").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(nodes)).withColumnRenamed("node", "print")
-    placed = nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = placed.join(least, "root").select("print", "component_id")
+    nodes = found.groupBy("print").agg(F.min("doc_id").alias("least_id")).join(_classes(found), "print")
+    least = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = nodes.join(least, "root").select("print", "component_id")
     return found.join(classes, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which one for each component stays: that of least doc_id.
+
+    All columns stay, whatever their names. A row without doc_id stays only if no other is in its component;
+    of rows with one doc_id the one whose text has the least hash stays, and one of wholly equal rows.
+    """
+    found = stored(fingerprints(docs))
+    key = F.struct(F.isnull("doc_id").alias("null_"), F.coalesce("doc_id", F.lit(0)).alias("id_"), "mark")
+    rooted = found.select("print", key.alias("key")).groupBy("print").agg(F.min("key").alias("key")).join(_classes(found), "print")
+    kept = rooted.groupBy("root").agg(F.min("key").alias("key")).select("key.*")
+    rows = docs.select(
+        F.isnull("doc_id").alias("null_"), F.coalesce("doc_id", F.lit(0)).alias("id_"), _mark(docs).alias("mark"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    keys = ["null_", "id_", "mark"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return rows.join(kept, keys, "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
