@@ -14,7 +14,6 @@ from pagetrawl.operators.graph import pages_with_backlinks
 from pagetrawl.operators.index import Index, read_index, write_index
 from pagetrawl.plans.lineage import new_folder
 from pagetrawl.schemas import STOP_WORDS
-from pagetrawl.sources.tables import spread
 
 EPOCH = 1704067200
 
@@ -23,6 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A test table, which is one row group, dealt out to all cores for work that costs more than moving it."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -56,7 +60,7 @@ def page_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def crawled(spark: SparkSession, sf: str) -> DataFrame:
     """Stored pages with the text, links and images taken from their HTML."""
-    path = stored(spark, sf, "pages", lambda to: extract_pages(spread(raw(spark, sf))).select(
+    path = stored(spark, sf, "pages", lambda to: extract_pages(dealt(raw(spark, sf))).select(
         url_id("url").alias("id"), "*").write.parquet(to))
     return spark.read.parquet(path)
 
@@ -117,7 +121,7 @@ def like_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents")).select(
+    return dealt(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
@@ -247,9 +251,7 @@ u AS (SELECT url AS source_url, regexp_extract(url,'^([a-z]+://[^/?#]*)',1) || "
       FROM (SELECT url, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS i FROM h)),
 d AS (SELECT source_url, target_url, min(i) AS i FROM u
       WHERE NOT regexp_matches(target_url, '\.(png|jpg|jpeg|gif|pdf|zip)$') GROUP BY ALL),
-r AS (SELECT source_url, target_url, position FROM (
-        SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY i) - 1 AS position FROM d)
-      WHERE position < 15)"""
+r AS (SELECT source_url, target_url, row_number() OVER (PARTITION BY source_url ORDER BY i) - 1 AS position FROM d)"""
 
 SCORED_SQL = KEYS_SQL + "," + LINKS_SQL + """,
 b AS (SELECT target_url AS url, count(*) AS backlinks FROM l GROUP BY ALL),

@@ -7,6 +7,7 @@ from pagetrawl import schemas
 from pagetrawl.operators.history import recent_history
 from pagetrawl.plans.ingest import ingest_batch, stored_images, stored_links, stored_pages
 from pagetrawl.plans.lineage import new_folder
+from pagetrawl.sources import tables
 from pagetrawl.sources.tables import read_batches, stream_raw
 from pagetrawl.streaming.jobs import history_stream, ingest_stream
 
@@ -27,6 +28,14 @@ def stream_links(spark, sf):
     return stored_links(spark, _streamed(spark, sf)).select("id", "source_url", "target_url")
 
 
+def read_pages(spark, sf):
+    return tables.read_pages(spark, _streamed(spark, sf) + "/pages").select("id", "url", "title", "snippet")
+
+
+def read_backlinks(spark, sf):
+    return tables.read_backlinks(spark, _streamed(spark, sf) + "/backlinks").select("source_url", "target_url")
+
+
 def stream_runs(spark, sf):
     return read_batches(spark, schemas.RUN_LOG, _streamed(spark, sf) + "/runs").select(
         "status", "pages_crawled", "errors", "triggered_by")
@@ -72,12 +81,14 @@ def stream_history(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_ingest, stream_links, stream_runs, ingest_replayed, ingest_images, stream_history)}
+    stream_ingest, stream_links, read_pages, read_backlinks, stream_runs, ingest_replayed, ingest_images, stream_history)}
 
 SQL = {
     "stream_ingest": f"""WITH {B.PAGES_SQL} SELECT id, url, title, content, snippet, CAST(0 AS BIGINT) AS backlinks FROM p""",
     "stream_links": f"""WITH {B.REAL_LINKS_SQL} SELECT sha256(source_url || '->' || target_url) AS id, source_url, target_url
         FROM r WHERE source_url <> target_url""",
+    "read_pages": f"WITH {B.PAGES_SQL} SELECT id, url, title, snippet FROM p",
+    "read_backlinks": f"WITH {B.REAL_LINKS_SQL} SELECT source_url, target_url FROM r WHERE source_url <> target_url",
     "stream_runs": """SELECT 'completed' AS status, count(*) AS pages_crawled, CAST(0 AS BIGINT) AS errors,
         'stream' AS triggered_by FROM pages""",
     "ingest_replayed": f"WITH {B.PAGES_SQL} SELECT id, url, title FROM p",

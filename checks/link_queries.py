@@ -93,9 +93,12 @@ def seed_summary(spark, sf):
 
 
 def default_seeds(spark, sf):
-    """Seeds of pages that nothing was found on, that is none, so the defaults apply."""
-    none = S.seed_rows(S.distinct_domains(B.raw(spark, sf).filter("length(html) = 0")))
-    return S.default_seeds(none)
+    """The defaults for the stored seeds of all hosts, and for the seeds that these lack."""
+    domains = S.distinct_domains(B.raw(spark, sf))
+    stored = S.seed_rows(domains)
+    lacking = S.add_seeds(stored, domains)
+    return S.default_seeds(stored).withColumn("of", F.lit("stored")).unionByName(
+        S.default_seeds(lacking).withColumn("of", F.lit("lacking")))
 
 
 def startup_seeds(spark, sf):
@@ -230,8 +233,10 @@ SQL = {
         SELECT count(*) FILTER (WHERE id NOT IN (SELECT id FROM c)) AS added,
           (SELECT count(*) FROM d) AS total_discovered,
           (SELECT count(*) FROM d) - count(*) FILTER (WHERE id NOT IN (SELECT id FROM c)) AS already_present FROM s""",
-    "default_seeds": f"""WITH {_DEFAULTS} SELECT * FROM v
-        WHERE NOT EXISTS (SELECT 1 FROM pages WHERE length(html) = 0)""",
+    "default_seeds": f"""WITH {_DOMAINS}, {_SEEDS}, {_DEFAULTS}
+        SELECT *, 'stored' AS of FROM v WHERE NOT EXISTS (SELECT 1 FROM d)
+        UNION ALL SELECT *, 'lacking' FROM v
+        WHERE NOT EXISTS (SELECT 1 FROM d WHERE translate(domain, './:', '___') NOT IN (SELECT translate(domain, './:', '___') FROM d))""",
     "startup_seeds": f"""WITH {_DOMAINS}, {_SEEDS}, {_DEFAULTS}
         SELECT id, 'https://' || domain AS url, domain, 'discovered' AS source FROM s
         UNION ALL SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM s)""",

@@ -24,8 +24,22 @@ def extract_snippet(spark, sf):
 
 def extract_pages(spark, sf):
     return E.extract_pages(B.raw(spark, sf)).select(
-        "url", "title", F.length("content").cast("bigint").alias("characters"), "snippet",
-        F.array_join("links", " ").alias("links"), F.size("images").cast("bigint").alias("images"))
+        "url", "title", "content", "snippet", F.array_join("links", " ").alias("links"),
+        F.size("images").cast("bigint").alias("images"))
+
+
+def extract_wrapped(spark, sf):
+    """Products as pages full of traps: markup in comments and attributes, a stray quote, very long tags."""
+    page = F.concat(
+        F.lit("<!-- <title>old</title><body>no --><titlebar>x</titlebar><title>"), "p_name",
+        F.lit("</title><body><script>for(i=0;i<n;i++){x()} if(a>b)y()</script><img alt='Next > page' "),
+        F.repeat(F.lit('data-x="1 > 0" '), 3000), F.lit(" src='/i/"), "p_partkey", F.lit(".jpg'>"), "p_type",
+        F.lit(" <a href=/p title=Bob\"s onclick=\"if(a>b)go()\">"), "p_brand", F.lit("</a>"),
+        F.repeat(F.lit('<p class="x">'), 2000))
+    shops = B.table(spark, sf, "part").select(
+        F.concat(F.lit("http://shop.example.com/"), "p_partkey").alias("url"), page.alias("html"))
+    return E.extract_pages(shops).select(
+        "url", "title", "content", F.array_join("links", " ").alias("links"), F.get("images", F.lit(0))["url"].alias("image"))
 
 
 def extract_hrefs(spark, sf):
@@ -88,7 +102,7 @@ def text_functions(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    extract_title, extract_content, extract_snippet, extract_pages, extract_hrefs, page_links, resolve_url,
+    extract_title, extract_content, extract_snippet, extract_pages, extract_wrapped, extract_hrefs, page_links, resolve_url,
     is_page_link, cap_links, split_links, url_ids, url_parts, text_stats, require_url, text_functions)}
 
 SQL = {
@@ -97,9 +111,12 @@ SQL = {
     "extract_snippet": f"WITH {B.PAGES_SQL} SELECT url, snippet FROM p",
     "extract_pages": f"""WITH {B.PAGES_SQL}, {B.REAL_LINKS_SQL},
         a AS (SELECT source_url, string_agg(target_url, ' ' ORDER BY position) AS links FROM r GROUP BY ALL)
-        SELECT url, title, length(content) AS characters, snippet, coalesce(links, '') AS links,
+        SELECT url, title, content, snippet, coalesce(links, '') AS links,
                CAST(0 AS BIGINT) AS images
         FROM p LEFT JOIN a ON a.source_url = p.url""",
+    "extract_wrapped": """SELECT 'http://shop.example.com/' || p_partkey AS url, p_name AS title,
+        'for(i=0;i<n;i++){x()} if(a>b)y() ' || p_type || ' ' || p_brand AS content,
+        'http://shop.example.com/p' AS links, 'http://shop.example.com/i/' || p_partkey || '.jpg' AS image FROM part""",
     "extract_hrefs": f"""WITH {B.REAL_LINKS_SQL}, k AS (
         SELECT url, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS position FROM h)
         SELECT url, position, {B.decoded('href')} AS href FROM k""",

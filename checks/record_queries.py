@@ -10,10 +10,14 @@ from pagetrawl.operators import collections as L
 from pagetrawl.operators import graph as G
 from pagetrawl.operators import history as H
 from pagetrawl.operators import images as I
+from pagetrawl.plans.lineage import new_folder
+from pagetrawl.schemas import HISTORY, IMAGE_SCAN_CAP
+from pagetrawl.sources.tables import read_batches, write_batch
 
 
 def scan_images(spark, sf):
-    return I.scan_images(B.images(spark, sf)).select("id", "url")
+    """The scan with its usual cap."""
+    return I.scan_images(B.images(spark, sf), IMAGE_SCAN_CAP).select("id", "url")
 
 
 def image_match(spark, sf):
@@ -92,8 +96,8 @@ def collection_add_nested(spark, sf):
 def collection_remove_nested(spark, sf):
     """The page with the smallest id leaves the collection with the largest."""
     nested = B.nested_collections(spark, sf)
-    page = L.flatten(nested).agg(F.min("page_id")).first()[0]
-    return _flat(L.remove_page_nested(nested, nested.agg(F.max("id")).first()[0], page))
+    page = L.flatten(nested).select(F.min("page_id")).scalar()
+    return _flat(L.remove_page_nested(nested, nested.select(F.max("id")).scalar(), page))
 
 
 def collection_total_nested(spark, sf):
@@ -174,7 +178,22 @@ def cleared_counts(spark, sf):
 
 
 def append_history(spark, sf):
-    return H.history_rows(B.history(spark, sf))
+    """Searches stored as two batches, the second one twice, with how many rows share an id."""
+    path = new_folder(spark, "history")
+    events = B.history(spark, sf).drop("id")
+    for batch in (0, 1, 1):
+        H.append_history(events.filter(F.col("timestamp").cast("bigint") % 2 == batch), path, batch)
+    stored = read_batches(spark, HISTORY, path)
+    same = stored.groupBy("id").agg(F.count(F.lit(1)).alias("same_id"))
+    return stored.join(same, "id").select("session_id", "query", "timestamp", "same_id")
+
+
+def history_cleared(spark, sf):
+    """A stored history and its copy without the failed sessions."""
+    path, to = new_folder(spark, "history"), new_folder(spark, "cleared")
+    write_batch(B.history(spark, sf), path, 0)
+    H.write_cleared(spark, path, _failed_sessions(spark, sf), to)
+    return read_batches(spark, HISTORY, to).select("id", "session_id")
 
 
 def recent_runs(spark, sf):
@@ -239,7 +258,7 @@ QUERIES = {f.__name__: f for f in (
     colour_bucket, colour_filter, colour_facets, query_topic, image_terms, flatten_collections, filter_collections,
     filter_collections_nested, collection_add_nested, collection_remove_nested, collection_total_nested,
     filter_collections_by_page, collection_add, collection_create, collection_delete, collection_remove, saved_in,
-    saved_pairs, collection_total, recent_history, mru_queries, clear_history, cleared_counts, append_history,
+    saved_pairs, collection_total, recent_history, mru_queries, clear_history, cleared_counts, append_history, history_cleared,
     recent_runs, project_runs, run_summary, schedule, next_run, asctime, calendar_text, parse_time, number_casts,
     clamp, default_chain)}
 
@@ -289,8 +308,8 @@ SQL = {
     "image_match": f"""WITH {_I} SELECT id, title FROM im WHERE regexp_matches(
         lower(alt_text) || chr(10) || lower(title) || chr(10) || lower(url), 'blue|hot')""",
     "image_match_batch": f"WITH {_I}, {_KEYWORDS}, {_HITS} SELECT query_id, id FROM ht",
-    "image_search": f"""WITH {_COLOURED}, s AS (SELECT * FROM ci ORDER BY id LIMIT 100)
-        SELECT id, url, alt_text, source_url, title, dominant_color FROM s
+    "image_search": f"""WITH {_COLOURED}
+        SELECT id, url, alt_text, source_url, title, dominant_color FROM ci
         WHERE contains(lower(title), 'blue') ORDER BY id LIMIT 12""",
     "image_search_batch": f"""WITH {_I}, {_KEYWORDS}, {_HITS}, r AS (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM ht)
@@ -336,6 +355,9 @@ SQL = {
         SELECT * FROM r WHERE rank <= 10""",
     "clear_history": f"""WITH {B.HISTORY_SQL}, {_FAILED}
         SELECT id, session_id FROM hi WHERE session_id NOT IN (SELECT session_id FROM fs)""",
+    "history_cleared": f"""WITH {B.HISTORY_SQL}, {_FAILED}
+        SELECT id, session_id FROM hi WHERE session_id NOT IN (SELECT session_id FROM fs)""",
+    "append_history": f"""WITH {B.HISTORY_SQL} SELECT session_id, query, "timestamp", CAST(1 AS BIGINT) AS same_id FROM hi""",
     "cleared_counts": f"""WITH {B.HISTORY_SQL}, {_FAILED}
         SELECT session_id, count(*) AS deleted FROM hi JOIN fs USING (session_id) GROUP BY ALL""",
     "recent_runs": f"""WITH {B.RUNS_SQL} SELECT * FROM ru ORDER BY "timestamp" DESC, id LIMIT 15""",

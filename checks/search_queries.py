@@ -91,7 +91,7 @@ def rank_batch(spark, sf):
 def rank_passages(spark, sf):
     """Documents that hold every term of a benchmark passage."""
     asked = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return S.rank_batch(asked, B.index(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
+    return S.rank_batch(asked, B.index(spark, sf)).select("query_id", "id", "score")
 
 
 def search_batch(spark, sf):
@@ -114,8 +114,33 @@ def index_appended(spark, sf):
     return S.rank(both, ["was", "ther"])
 
 
+def _refreshed(spark, sf):
+    """Half the documents indexed with other words, then all as they are, and that batch once more."""
+    docs = B.corpus(spark, sf)
+
+    def write(to):
+        old = docs.filter("id % 2 = 0").select("id", F.concat(F.lit("was missing ther "), F.reverse("content")).alias("content"))
+        for batch, pages in ((0, old), (1, docs), (1, docs)):
+            I.append_index(pages, to, batch, ("content",))
+
+    return B.stored(spark, sf, "refreshed-index", write)
+
+
+def index_refreshed(spark, sf):
+    """Postings, document frequency and scores after every other page was replaced."""
+    index = I.read_appended_index(spark, _refreshed(spark, sf))
+    found = index.postings.filter("term = 'was'").select("id", "term", F.col("tf").cast("bigint"))
+    return found.join(index.term_stats, "term").join(S.rank(index, ["was", "ther"]), "id", "left").select(
+        "id", "tf", "df", "score")
+
+
+def index_compacted(spark, sf):
+    path = B.stored(spark, sf, "compacted-index", lambda to: I.compact_index(spark, _refreshed(spark, sf), to))
+    return S.rank(I.read_index(spark, path), ["was", "ther"])
+
+
 def totals_batch(spark, sf):
-    return S.totals_batch(B.title_queries(spark, sf), B.index(spark, sf), None)
+    return S.totals_batch(B.title_queries(spark, sf), B.index(spark, sf))
 
 
 def _hits(spark, sf, **options):
@@ -136,7 +161,7 @@ def search_capped(spark, sf):
 
 
 def total_hits(spark, sf):
-    return S.total_hits(_hits(spark, sf, min_links=2, candidate_cap=None))
+    return S.total_hits(_hits(spark, sf, min_links=2))
 
 
 def domain_filter(spark, sf):
@@ -262,7 +287,7 @@ def prefix_suggest(spark, sf):
 QUERIES = {f.__name__: f for f in (
     term_stats, doc_len, postings, positions, field_terms, match_all, match_any, match_none, match_phrase,
     match_phrase_repeated, match_prefix, match_wildcard, match_field, number_range, rank_bm25, rank_all, rank_batch,
-    rank_passages, index_appended, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
+    rank_passages, index_appended, index_refreshed, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
     substring_search, refine, sort_date_desc, sort_date_asc, sort_backlinks_desc, sort_likes_desc, sort_unknown,
     sort_local, top_liked, paginate, highlight, project_hits, suggest, spell_correct, spell_correct_always,
@@ -344,23 +369,25 @@ SQL = {
     "match_wildcard": f"WITH {_C} SELECT DISTINCT id FROM po WHERE term LIKE 'th_a%tion'",
     "match_field": f"WITH {B.PAGES_SQL} SELECT id FROM p WHERE list_contains({B.terms_sql('title')}, 'th')",
     "number_range": f"WITH {B.SCORED_SQL} SELECT id, backlinks FROM s WHERE backlinks BETWEEN 2 AND 4",
-    "rank_bm25": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc ORDER BY score DESC, id LIMIT 200",
-    "index_appended": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc ORDER BY score DESC, id LIMIT 200",
+    "rank_bm25": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc",
+    "index_appended": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc",
+    "index_refreshed": f"""WITH {_C}, {_one_query(['was', 'ther'])}
+        SELECT po.id, tf, df, score FROM po JOIN ts USING (term) LEFT JOIN sc ON sc.id = po.id WHERE term = 'was'""",
+    "index_compacted": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc",
     "rank_all": f"WITH {_C}, {_one_query(['en', 'de'])} SELECT * FROM sc",
     "rank_batch": f"WITH {_C}, {_TITLES}, {_MATCHED}, {_RANKED} SELECT * FROM rk WHERE rank <= 20",
     "rank_passages": f"""WITH {_C}, {_queries_sql('benchmark', 'item_id', 'text')}, {_MATCHED}, {_RANKED}
-        SELECT * FROM rk WHERE rank <= 200""",
+        SELECT query_id, id, score FROM rk""",
     "search_batch": f"""WITH {_PC}, {_SCORED}, {_TITLES}, {_MATCHED}, {_RANKED},
         fl AS (SELECT query_id, id, score, backlinks, row_number() OVER (
             PARTITION BY query_id ORDER BY backlinks DESC, score DESC, id) AS position
-          FROM rk JOIN s USING (id) WHERE rank <= 200 AND backlinks >= 1)
+          FROM rk JOIN s USING (id) WHERE backlinks >= 1)
         SELECT * FROM fl WHERE position <= 10""",
     "totals_batch": f"""WITH {_C}, {_TITLES}, {_MATCHED} SELECT page_id AS query_id, count(sc.id) AS total
         FROM pages LEFT JOIN sc ON sc.query_id = pages.page_id GROUP BY ALL""",
     "search": f"""WITH {_PC}, {_SCORED}, {_one_query(['th', 're'])},
-        cd AS (SELECT * FROM sc ORDER BY score DESC, id LIMIT 200)
         SELECT id, s.url, title, snippet, s.indexed_time, backlinks, score
-        FROM cd JOIN s USING (id) JOIN p USING (id)
+        FROM sc JOIN s USING (id) JOIN p USING (id)
         WHERE contains(lower(regexp_extract(s.url, '://([^/?#]*)', 1)), 'example') AND backlinks >= 1
         ORDER BY s.indexed_time DESC, score DESC, id LIMIT 5 OFFSET 5""",
     "search_capped": f"""WITH {_PC}, {_SCORED}, {_one_query(['th', 're'])},
@@ -393,8 +420,11 @@ SQL = {
     "sort_local": f"""WITH {B.SCORED_SQL} SELECT id, likes FROM s ORDER BY coalesce(likes, 0) DESC, id LIMIT 10""",
     "top_liked": f"""WITH {B.SCORED_SQL} SELECT id, likes FROM s ORDER BY coalesce(likes, 0) DESC, id LIMIT 10""",
     "paginate": f"WITH {B.KEYS_SQL} SELECT id, url FROM p ORDER BY id LIMIT 10 OFFSET 20",
-    "highlight": r"""WITH c AS (SELECT doc_id AS id, regexp_extract(text, '(?is)(.{0,80}(?:ther|de).{0,80})', 1) AS cut
-        FROM documents) SELECT id, regexp_replace(cut, '(ther|de)', '<b>\1</b>', 'gi') AS snippet FROM c WHERE cut <> ''""",
+    "highlight": r"""WITH c AS (SELECT doc_id AS id, regexp_extract(text,
+        '(?is)((?:.{0,79}[^\p{L}\p{N}]|^)(?:ther|de)(?:[^\p{L}\p{N}].{0,79}|$))', 1) AS cut FROM documents)
+        SELECT id, array_to_string(list_transform(regexp_extract_all(cut, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'),
+            lambda w: CASE WHEN lower(w) IN ('ther', 'de') THEN '<b>' || w || '</b>' ELSE w END), '') AS snippet
+        FROM c WHERE cut <> ''""",
     "project_hits": f"""WITH {B.SCORED_SQL} SELECT id, url, url AS title, '' AS snippet, '' AS indexed_at, indexed_time,
         backlinks FROM s""",
     "suggest": f"""WITH {_C}, {_VOCABULARY}, {_LOWER}, {_ASKED}, {_suggested('wd')}

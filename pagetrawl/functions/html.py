@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 from pagetrawl.functions.text import UNTIDY_SPACE, col, decode_sql, let, quote, strip, strip_sql, truncate
 from pagetrawl.functions.urls import is_page_link_sql, is_web_url_sql, resolve_in_sql, split_base_sql
 from pagetrawl.schemas import (
-    DEFAULT_IMAGE_TITLE, MAX_IMAGES, MAX_LINKS, NOISE_IMAGE_MARKS, SNIPPET_CHARS,
+    DEFAULT_IMAGE_TITLE, MAX_LINKS, NOISE_IMAGE_MARKS, SNIPPET_CHARS,
 )
 
+#: One attribute after the other: a name, then maybe a quoted or bare value. Possessive, so that the
+#: matcher neither recurses nor goes back over a long tag; a quote inside a bare value belongs to it.
+_ATTRIBUTE = r"""[\s/]++|{other}[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|="""
+_ATTRIBUTES = "((?:" + _ATTRIBUTE.format(other="") + ")*+)>"
+
+_COMMENT = r"(?s)<!--.*?-->"
 _COMMENT_OR_SCRIPT = r"(?is)<!--.*?-->|<(script|style)\b.*?(?:</\1\s*>|\z)"
 _BODY_START = r"(?i)<body[\s>]"
 _HEAD_END = r"(?i)</head\s*>"
-_TITLE_ELEMENT = r"(?is)<title[^>]*>[^<]*"
-_TAG_OR_COMMENT = r"(?s)<!--.*?-->|<[^>]*>"
-_TITLE = r"(?is)<title[^>]*>([^<]*)"
-_ATTRIBUTES = r"""((?:[^>"']+|"[^"]*"|'[^']*')*)>"""
+_TITLE = r"(?is)<title(?=[\s>])[^>]*>([^<]*)"
+#: Comments and tags; of a script or style element its text, the third group, stays. A tag that does
+#: not end by the rules ends at the next ">".
+_TAG_OR_COMMENT = (
+    r"(?is)<!--.*?-->|<(script|style)(?=[\s/>])" + _ATTRIBUTES + r"(.*?)(?:</\1\s*>|\z)"
+    + r"|</?[a-z][^\s/>]*+" + _ATTRIBUTES + r"|<[^>]*>")
 
 
 def _without(text: str, pattern: str) -> str:
@@ -30,6 +38,11 @@ def markup(html: str) -> Column:
     return F.expr(_without(html, _COMMENT_OR_SCRIPT))
 
 
+def title_in(markup_: str) -> Column:
+    """:func:`page_title` of a page whose comments and scripts are gone already."""
+    return F.expr(_title_text(markup_))
+
+
 def _tags(markup_: str, name: str) -> str:
     """The attribute text of every ``name`` tag."""
     return f"regexp_extract_all({markup_}, {quote(rf'(?i)<{name}(?=[\s/>])' + _ATTRIBUTES)}, 1)"
@@ -37,18 +50,23 @@ def _tags(markup_: str, name: str) -> str:
 
 def _attribute(tag: str, name: str) -> str:
     """Value of an attribute, decoded; null if the tag does not have it."""
-    pattern = rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    before = "(?:" + _ATTRIBUTE.format(other=rf"(?!{name}\s*+=)") + ")*+"
+    pattern = rf"""(?is)^{before}{name}\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
     found = ", ".join(f"regexp_extract({tag}, {quote(pattern)}, {i})" for i in (1, 2, 3))
     return f"CASE WHEN {tag} RLIKE {quote(pattern)} THEN {decode_sql(f'concat({found})')} END"
 
 
 def page_title(html: str) -> Column:
-    """Text of the first title element, stripped; empty if there is none."""
+    """Text of the first title element outside comments and scripts, stripped; empty if there is none."""
     return F.expr(_page_title(html))
 
 
 def _page_title(html: str) -> str:
-    return strip_sql(decode_sql(f"regexp_extract({html}, {quote(_TITLE)}, 1)"))
+    return _title_text(_without(html, _COMMENT_OR_SCRIPT))
+
+
+def _title_text(markup_: str) -> str:
+    return strip_sql(decode_sql(f"regexp_extract({markup_}, {quote(_TITLE)}, 1)"))
 
 
 def extract_title(html: str, url: str) -> Column:
@@ -66,19 +84,18 @@ def _body(html: str) -> str:
 
     return (
         f"coalesce(substr({html}, {start(_BODY_START)}), substr({html}, {start(_HEAD_END)}), "
-        f"{_without(html, _TITLE_ELEMENT)})"
+        f"{_without(html, _TITLE)})"
     )
 
 
 def extract_content(html: str, drop_script_style: bool = False) -> Column:
     """Text of the body with tags and comments as breaks and whitespace collapsed.
 
-    Script and style text in the body counts unless dropped.
+    Script and style text in the body counts, as it stands, unless dropped. Neither a body tag nor text
+    inside a comment counts.
     """
-    body = _body(html)
-    if drop_script_style:
-        body = _without(body, _COMMENT_OR_SCRIPT)
-    text = decode_sql(_without(body, _TAG_OR_COMMENT))
+    body = _body(_without(html, _COMMENT_OR_SCRIPT if drop_script_style else _COMMENT))
+    text = decode_sql(f"regexp_replace({body}, {quote(_TAG_OR_COMMENT)}, ' $3 ')")
     return F.expr(f"trim({_without(text, UNTIDY_SPACE)})")
 
 
@@ -117,13 +134,16 @@ def cap_links(links, n: int = MAX_LINKS) -> Column:
     return F.slice(F.array_distinct(col(links)), 1, n)
 
 
-def links_in(url: str, markup_: str, same_host: bool = False) -> Column:
-    """Resolved page links of one page, distinct and capped."""
+def links_in(url: str, markup_: str, same_host: bool = False, n: int | None = None) -> Column:
+    """Resolved page links of one page, distinct, in order; the first ``n`` if given.
+
+    With ``same_host`` only those whose authority is the page's, in any case.
+    """
     wanted = is_page_link_sql("u")
     if same_host:
-        wanted += " AND startswith(u, concat(b.scheme, '://', b.netloc))"
-    links = f"filter({resolve_in_sql('b', _hrefs(markup_))}, u -> {wanted})"
-    return F.expr(f"slice(array_distinct({let(split_base_sql(url), 'b', links)}), 1, {MAX_LINKS})")
+        wanted += " AND lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)) = lower(b.netloc)"
+    links = f"array_distinct({let(split_base_sql(url), 'b', f'filter({resolve_in_sql("b", _hrefs(markup_))}, u -> {wanted})')})"
+    return F.expr(links if n is None else f"slice({links}, 1, {int(n)})")
 
 
 def images_in(url: str, markup_: str, title: str) -> Column:
@@ -146,10 +166,11 @@ def extract_images(html: str, url: str, title: str) -> Column:
     return images_in(url, _without(html, _COMMENT_OR_SCRIPT), title)
 
 
-def filter_images(images: str, n: int = MAX_IMAGES) -> Column:
-    """The first ``n`` images that are not layout, tracking or GIF files."""
+def filter_images(images: str, n: int | None = None) -> Column:
+    """The images that are not layout, tracking or GIF files; the first ``n`` if given."""
     marks = quote("|".join(NOISE_IMAGE_MARKS) + r"|\.gif$")
-    return F.expr(f"slice(filter({images}, i -> NOT lower(i.url) RLIKE {marks}), 1, {n})")
+    kept = f"filter({images}, i -> NOT lower(i.url) RLIKE {marks})"
+    return F.expr(kept if n is None else f"slice({kept}, 1, {int(n)})")
 
 
 def split_links(csv: str) -> Column:

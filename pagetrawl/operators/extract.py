@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagetrawl.functions import html as H
 from pagetrawl.functions.text import strip
-from pagetrawl.functions.urls import link_id, url_id
+from pagetrawl.functions.urls import link_id
 
 
 def require_url(df: DataFrame, url: str = "url") -> DataFrame:
@@ -13,18 +13,21 @@ def require_url(df: DataFrame, url: str = "url") -> DataFrame:
     return df.filter(F.col(url).isNotNull() & (F.col(url) != ""))
 
 
-def extract_pages(raw: DataFrame, drop_script_style: bool = False, same_host: bool = False) -> DataFrame:
-    """``url, title, content, snippet, links, images`` of raw pages ``url, html``."""
+def extract_pages(raw: DataFrame, drop_script_style: bool = False, same_host: bool = False,
+                  max_links: int | None = None, max_images: int | None = None) -> DataFrame:
+    """``url, title, content, snippet, links, images`` of raw pages ``url, html``.
+
+    All links and images are kept unless a limit is given.
+    """
     read = require_url(raw).select(
         "url",
-        H.page_title("html").alias("_title"),
         H.extract_content("html", drop_script_style).alias("content"),
         H.markup("html").alias("_markup"),
-    )
+    ).withColumn("_title", H.title_in("_markup"))
     parsed = read.select(
         "url", "_title", "content",
         H.description_in("_markup").alias("_description"),
-        H.links_in("url", "_markup", same_host).alias("links"),
+        H.links_in("url", "_markup", same_host, max_links).alias("links"),
         H.images_in("url", "_markup", "_title").alias("images"),
     )
     return parsed.select(
@@ -33,7 +36,7 @@ def extract_pages(raw: DataFrame, drop_script_style: bool = False, same_host: bo
         "content",
         H.snippet_of("_description", "content").alias("snippet"),
         "links",
-        H.filter_images("images").alias("images"),
+        H.filter_images("images", max_images).alias("images"),
     )
 
 
@@ -55,11 +58,6 @@ def page_images(pages: DataFrame) -> DataFrame:
     return pages.select(F.inline("images"))
 
 
-def as_page_rows(extracted: DataFrame) -> DataFrame:
-    """Extracted pages with their key, without links and images."""
-    return extracted.select(url_id("url").alias("id"), "url", "title", "content", "snippet")
-
-
 def as_link_rows(links: DataFrame) -> DataFrame:
     """Links with their key; links of a page to itself are dropped."""
     tidy = links.withColumn("target_url", strip("target_url"))

@@ -1,6 +1,6 @@
 """Search history, run log and crawl schedule."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrawl.functions.text import falsy
@@ -8,8 +8,9 @@ from pagetrawl.functions.times import calendar_text, epoch_now, next_run
 from pagetrawl.operators.store import without_keys
 from pagetrawl.plans.skew import top_n
 from pagetrawl.schemas import (
-    DEFAULT_INTERVAL, DEFAULT_START_URL, HISTORY_LIMIT, MRU_LIMIT, RUNS_LIMIT,
+    DEFAULT_INTERVAL, DEFAULT_START_URL, HISTORY, HISTORY_LIMIT, MRU_LIMIT, RUNS_LIMIT,
 )
+from pagetrawl.sources.tables import read_batches, write_batch
 
 
 def history_rows(searches: DataFrame) -> DataFrame:
@@ -19,9 +20,15 @@ def history_rows(searches: DataFrame) -> DataFrame:
         F.uuid().alias("id"), "session_id", "query", time.cast("double").alias("timestamp"))
 
 
-def append_history(searches: DataFrame, path: str) -> None:
-    """Searches appended to the history table at ``path``."""
-    history_rows(searches).write.mode("append").parquet(path)
+def append_history(searches: DataFrame, path: str, batch: int) -> None:
+    """Searches written as batch ``batch`` of the history at ``path``; a repeated batch replaces itself."""
+    write_batch(history_rows(searches), path, batch)
+
+
+def write_cleared(spark: SparkSession, path: str, sessions: DataFrame, to: str) -> None:
+    """The history at ``path`` without the listed sessions, stored as a new history at ``to``."""
+    kept = clear_history(read_batches(spark, HISTORY, path), sessions)
+    write_batch(kept.select(*HISTORY.fieldNames()), to, 0)
 
 
 def recent_history(history: DataFrame, n: int = HISTORY_LIMIT) -> DataFrame:
@@ -64,9 +71,9 @@ def run_row(batch: DataFrame, start_url: str, triggered_by: str, now=None) -> Da
         time.alias("timestamp"), calendar_text(time).alias("time_str"))
 
 
-def append_run_log(batch: DataFrame, path: str, start_url: str, triggered_by: str, now=None) -> None:
-    """The run-log row of a crawl batch appended to the table at ``path``."""
-    run_row(batch, start_url, triggered_by, now).write.mode("append").parquet(path)
+def append_run_log(batch: DataFrame, path: str, number: int, start_url: str, triggered_by: str, now=None) -> None:
+    """The run-log row of a crawl batch, as batch ``number`` of the table at ``path``."""
+    write_batch(run_row(batch, start_url, triggered_by, now), path, number)
 
 
 def project_runs(runs: DataFrame) -> DataFrame:

@@ -7,14 +7,14 @@ from pagetrawl.functions.colour import dominant_colour, image_terms
 from pagetrawl.functions.text import falsy
 from pagetrawl.plans.skew import hot_of, salted_join, top_n
 from pagetrawl.schemas import (
-    DEFAULT_IMAGE_NAME, DEFAULT_IMAGE_SOURCE, IMAGE_LIMIT, IMAGE_SCAN_CAP, PALETTE,
+    DEFAULT_IMAGE_NAME, DEFAULT_IMAGE_SOURCE, IMAGE_LIMIT, PALETTE,
 )
 
 GRAM = 3
 
 
-def scan_images(images: DataFrame, cap: int | None = IMAGE_SCAN_CAP) -> DataFrame:
-    """The first ``cap`` images by id, all of them without a cap."""
+def scan_images(images: DataFrame, cap: int | None = None) -> DataFrame:
+    """All images, or the first ``cap`` by id (``IMAGE_SCAN_CAP`` is the usual one)."""
     return images.orderBy("id").limit(cap) if cap else images
 
 
@@ -85,7 +85,7 @@ def project_images(images: DataFrame) -> DataFrame:
 
 
 def image_search(images: DataFrame, q: str, limit: int = IMAGE_LIMIT,
-                 cap: int | None = IMAGE_SCAN_CAP) -> DataFrame:
+                 cap: int | None = None) -> DataFrame:
     """The first ``limit`` matches by id among the scanned images, projected."""
     found = image_match(scan_images(images, cap), q).orderBy("id").limit(limit)
     return project_images(found)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrawl.functions.text import analyse
+from pagetrawl.sources.tables import write_batch
 
 TEXT_FIELDS = ("title", "content", "snippet")
 
@@ -18,12 +19,14 @@ class Index:
       document, so scoring needs no join to ``doc_len``
     - ``doc_len(field, id, dl)`` and ``term_stats(field, term, df, cf)``
     - ``positions(field, term, id, position)``: one row per occurrence, for phrases
+    - ``corpus(field, docs, average)``: one row per field, stored by ``write_index``
     """
 
     postings: DataFrame
     doc_len: DataFrame
     term_stats: DataFrame
     positions: DataFrame
+    corpus: DataFrame
 
 
 def _analysed(pages: DataFrame, fields) -> DataFrame:
@@ -58,10 +61,16 @@ def term_stats(postings_: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """Number of documents and their average length per field."""
+    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("average"))
+
+
 def build_index(pages: DataFrame, fields=("content",)) -> Index:
     """Index of ``pages`` with an ``id`` and the given text fields."""
     table = postings(pages, fields)
-    return Index(table, doc_lengths(pages, fields), term_stats(table), positions(pages, fields))
+    lengths = doc_lengths(pages, fields)
+    return Index(table, lengths, term_stats(table), positions(pages, fields), corpus_stats(lengths))
 
 
 def _by_term(table: DataFrame) -> DataFrame:
@@ -75,39 +84,71 @@ def _by_term(table: DataFrame) -> DataFrame:
 def write_index(pages: DataFrame, path: str, fields=TEXT_FIELDS, phrases: bool = True) -> None:
     """The index as Parquet, one folder per table, for a new ``path``.
 
-    Statistics are counted from the written postings.
+    Statistics are counted from the written tables and stored, so that a search
+    reads one row of them; terms are sorted over the files here as well.
     """
     spark = pages.sparkSession
     _by_term(postings(pages, fields)).write.partitionBy("field").parquet(f"{path}/postings")
     doc_lengths(pages, fields).write.partitionBy("field").parquet(f"{path}/doc_len")
     written = spark.read.parquet(f"{path}/postings")
-    term_stats(written).sortWithinPartitions("term").write.partitionBy("field").parquet(f"{path}/term_stats")
+    stats = term_stats(written).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+    stats.write.partitionBy("field").parquet(f"{path}/term_stats")
+    corpus_stats(spark.read.parquet(f"{path}/doc_len")).write.parquet(f"{path}/corpus")
     if phrases:
         _by_term(positions(pages, fields)).write.partitionBy("field").parquet(f"{path}/positions")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     """An index written by :func:`write_index` with phrases."""
-    tables = ("postings", "doc_len", "term_stats", "positions")
+    tables = ("postings", "doc_len", "term_stats", "positions", "corpus")
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in tables))
 
 
 def append_index(pages: DataFrame, path: str, batch: int, fields=TEXT_FIELDS) -> None:
-    """The index tables of new pages, added as batch ``batch``.
+    """The index tables of a batch of pages, one row per id, new or refreshed.
 
-    Writing a batch again replaces it. Term statistics of an appended index are
-    counted when they are read, see :func:`read_appended_index`.
+    A page that an earlier batch holds is replaced: its id goes to the narrow
+    table of dead entries, and readers leave those out. Only earlier batches are
+    looked at and writing a batch again replaces it, so a repeated batch changes
+    nothing. Statistics of an appended index are counted when it is read; see
+    :func:`compact_index` for a copy that has them stored.
     """
+    spark = pages.sparkSession
+
     def write(df: DataFrame, table: str) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{table}/batch_id={batch}")
+        write_batch(df, f"{path}/{table}", batch)
 
     write(_by_term(postings(pages, fields)), "postings")
     write(doc_lengths(pages, fields), "doc_len")
     write(_by_term(positions(pages, fields)), "positions")
+    write(pages.select("id"), "entries")
+    ids = spark.read.parquet(f"{path}/entries/batch_id={batch}")
+    entries = spark.read.parquet(f"{path}/entries").filter(F.col("batch_id") < batch)
+    write(entries.join(ids, "id", "left_semi").select("id", F.col("batch_id").alias("old_batch")), "dead")
 
 
 def read_appended_index(spark: SparkSession, path: str) -> Index:
-    """An index written batch by batch."""
-    table, lengths, places = (
-        spark.read.parquet(f"{path}/{t}").drop("batch_id") for t in ("postings", "doc_len", "positions"))
-    return Index(table, lengths, term_stats(table), places)
+    """An index written batch by batch, with the newest entry of every page."""
+    dead = spark.read.parquet(f"{path}/dead").select("id", "old_batch").distinct()
+
+    def live(table: str) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{table}")
+        gone = (rows["id"] == dead["id"]) & (rows["batch_id"] == dead["old_batch"])
+        return rows.join(dead, gone, "left_anti").drop("batch_id")
+
+    table, lengths = live("postings"), live("doc_len")
+    return Index(table, lengths, term_stats(table), live("positions"), corpus_stats(lengths))
+
+
+def compact_index(spark: SparkSession, path: str, to: str) -> None:
+    """The live entries of an appended index as one index at the new path ``to``, with stored statistics.
+
+    Read it with :func:`read_index`; further batches go to the appended index.
+    """
+    live = read_appended_index(spark, path)
+    _by_term(live.postings).write.partitionBy("field").parquet(f"{to}/postings")
+    live.doc_len.write.partitionBy("field").parquet(f"{to}/doc_len")
+    _by_term(live.positions).write.partitionBy("field").parquet(f"{to}/positions")
+    stats = term_stats(spark.read.parquet(f"{to}/postings"))
+    stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{to}/term_stats")
+    corpus_stats(spark.read.parquet(f"{to}/doc_len")).write.parquet(f"{to}/corpus")

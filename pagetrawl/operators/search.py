@@ -87,14 +87,11 @@ def _bm25(docs: Column, average: Column) -> Column:
 
 def _corpus(index: Index, field: str) -> tuple[Column, Column]:
     """Number of documents and average length, as scalar subqueries."""
-    lengths = index.doc_len.filter(F.col("field") == field)
-    return (
-        lengths.select(F.count(F.lit(1))).scalar(),
-        lengths.select(F.avg("dl")).scalar(),
-    )
+    stored = index.corpus.filter(F.col("field") == field)
+    return stored.select("docs").scalar(), stored.select("average").scalar()
 
 
-def rank(index: Index, terms: list[str], k: int | None = CANDIDATE_CAP, field: str = "content") -> DataFrame:
+def rank(index: Index, terms: list[str], k: int | None = None, field: str = "content") -> DataFrame:
     """``id, score`` of the documents with all terms, the best ``k`` by BM25.
 
     Ties go to the smaller id. Without ``k`` every match is returned.
@@ -112,13 +109,7 @@ def rank(index: Index, terms: list[str], k: int | None = CANDIDATE_CAP, field: s
     return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
 
 
-def query_terms(queries: DataFrame, q: str = "q") -> DataFrame:
-    """``query_id, term, n_terms``: the distinct terms of each query."""
-    terms = queries.select("query_id", F.array_distinct(analyse(q)).alias("_terms"))
-    return terms.select("query_id", F.size("_terms").alias("n_terms"), F.explode("_terms").alias("term"))
-
-
-def rank_batch(queries: DataFrame, index: Index, k: int | None = CANDIDATE_CAP,
+def rank_batch(queries: DataFrame, index: Index, k: int | None = None,
                field: str = "content") -> DataFrame:
     """``query_id, id, score, rank`` for a table of queries ``query_id, q``.
 
@@ -127,8 +118,32 @@ def rank_batch(queries: DataFrame, index: Index, k: int | None = CANDIDATE_CAP,
     these, so a frequent term does not meet every query that holds it. Ranks
     start at 1; without ``k`` there is no rank.
     """
-    signatures = queries.select(
+    signatures = _signatures(queries)
+    _, found, candidates = _candidates(signatures, index, field)
+    docs, average = _corpus(index, field)
+    scored = (
+        candidates.join(found, ["term", "id"])
+        .groupBy("query_id", "id", "n_terms")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum(_bm25(docs, average)).alias("score"))
+        .filter(F.col("_n") == F.col("n_terms"))
+        .select("query_id", "id", F.round("score", 6).alias("score"))
+    )
+    order = [F.desc("score"), F.asc("id")]
+    ranked = top_n(scored, ["query_id"], order, k) if k else scored.withColumn("rank", F.lit(None).cast("int"))
+    asked_by = signatures.select(F.col("_key"), F.col("query_id").alias("_query"))
+    return salted_join(
+        asked_by, ranked.withColumnRenamed("query_id", "_key"), "_key", salt_by="_query",
+    ).select(F.col("_query").alias("query_id"), "id", "score", "rank")
+
+
+def _signatures(queries: DataFrame) -> DataFrame:
+    """``query_id, _key``: the sorted distinct terms of each query as one text."""
+    return queries.select(
         "query_id", F.array_join(F.array_sort(F.array_distinct(analyse("q"))), " ").alias("_key"))
+
+
+def _candidates(signatures: DataFrame, index: Index, field: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For every set of terms: statistics, postings of asked terms, and the documents with the rarest term."""
     distinct = signatures.select(F.col("_key").alias("query_id")).filter("query_id <> ''").distinct()
     terms = distinct.select("query_id", F.explode(F.split("query_id", " ")).alias("term"))
 
@@ -148,20 +163,7 @@ def rank_batch(queries: DataFrame, index: Index, k: int | None = CANDIDATE_CAP,
     candidates = salted_join(
         found.select("term", "id"), leads, "term", salt_by="id", hot=hot_of(stats, "term", "df"),
     ).select("query_id", "id", F.size("_terms").alias("n_terms"), F.inline("_terms"))
-    docs, average = _corpus(index, field)
-    scored = (
-        candidates.join(found, ["term", "id"])
-        .groupBy("query_id", "id", "n_terms")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(_bm25(docs, average)).alias("score"))
-        .filter(F.col("_n") == F.col("n_terms"))
-        .select("query_id", "id", F.round("score", 6).alias("score"))
-    )
-    order = [F.desc("score"), F.asc("id")]
-    ranked = top_n(scored, ["query_id"], order, k) if k else scored.withColumn("rank", F.lit(None).cast("int"))
-    asked_by = signatures.select(F.col("_key"), F.col("query_id").alias("_query"))
-    return salted_join(
-        asked_by, ranked.withColumnRenamed("query_id", "_key"), "_key", salt_by="_query",
-    ).select(F.col("_query").alias("query_id"), "id", "score", "rank")
+    return stats, found, candidates
 
 
 # --- Filters on pages ------------------------------------------------------------------
@@ -260,8 +262,9 @@ def top_liked(pages: DataFrame, n: int = PAGE_SIZE) -> DataFrame:
 
 
 def highlight(content, terms: list[str], around: int = 80) -> Column:
-    """The text around the first match of any term, with matches in bold."""
+    """The text around the first match of any term as a whole word, with matches in bold."""
     either = "|".join(rf"\Q{t}\E" for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    either = rf"(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}])"
     content = F.col(content) if isinstance(content, str) else content
     cut = F.regexp_extract(content, rf"(?ius)(.{{0,{around}}}(?:{either}).{{0,{around}}})", 1)
     return F.regexp_replace(cut, rf"(?iu)({either})", "<b>$1</b>")
@@ -288,12 +291,11 @@ def _filtered(df: DataFrame, domain, date_from, date_to, min_links) -> DataFrame
 
 
 def hits(index: Index, pages: DataFrame, q: str, domain: str | None = None, date_from=None, date_to=None,
-         min_links: int | None = None, candidate_cap: int | None = CANDIDATE_CAP) -> DataFrame:
+         min_links: int | None = None, candidate_cap: int | None = None) -> DataFrame:
     """All filtered matches of a query with their page and score, unordered.
 
-    With ``candidate_cap`` only that many best matches reach the filters. With
-    None the filters apply first and no match is lost, which is the mode for
-    selective filters on large corpora.
+    The filters apply first and no match is lost. With ``candidate_cap`` (the usual
+    one is ``CANDIDATE_CAP``) only that many best matches reach the filters.
     """
     ranked = rank(index, analyse_literal(q), candidate_cap)
     if candidate_cap:
@@ -314,7 +316,7 @@ def search(index: Index, pages: DataFrame, q: str, page: int = 1, limit: int = P
 
 
 def search_batch(queries: DataFrame, index: Index, pages: DataFrame, page: int = 1, limit: int = PAGE_SIZE,
-                 sort_by: str | None = None, candidate_cap: int | None = CANDIDATE_CAP,
+                 sort_by: str | None = None, candidate_cap: int | None = None,
                  domain: str | None = None, date_from=None, date_to=None,
                  min_links: int | None = None) -> DataFrame:
     """One page of the answer to every query, with its ``position`` in the answer.
@@ -330,9 +332,18 @@ def search_batch(queries: DataFrame, index: Index, pages: DataFrame, page: int =
     return top_n(found, ["query_id"], order, limit, "position", (page - 1) * limit)
 
 
-def totals_batch(queries: DataFrame, index: Index, candidate_cap: int | None = CANDIDATE_CAP) -> DataFrame:
-    """``query_id, total`` of every query, 0 if nothing matches."""
-    counted = rank_batch(queries, index, candidate_cap).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("total"))
-    return queries.select("query_id").join(counted, "query_id", "left").select(
+def totals_batch(queries: DataFrame, index: Index, field: str = "content") -> DataFrame:
+    """``query_id, total`` of every query, 0 if nothing matches.
+
+    Documents are counted once for each set of terms, without scores, and the
+    counts then go to the queries.
+    """
+    signatures = _signatures(queries)
+    _, found, candidates = _candidates(signatures, index, field)
+    matched = (
+        candidates.join(found.select("term", "id"), ["term", "id"]).groupBy("query_id", "id", "n_terms")
+        .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == F.col("n_terms"))
+    )
+    counted = matched.groupBy(F.col("query_id").alias("_key")).agg(F.count(F.lit(1)).alias("total"))
+    return salted_join(signatures, counted, "_key", "left", salt_by="query_id").select(
         "query_id", F.coalesce("total", F.lit(0)).alias("total"))

@@ -1,6 +1,5 @@
 """Ingest of raw pages: extract once, drop what is known, append to all tables."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,22 +32,29 @@ def stored_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, index: bool = True,
+                 same_host: bool = False, max_links: int | None = None, max_images: int | None = None,
                  start_url: str = "N/A", triggered_by: str = "batch", now: float | None = None) -> None:
     """One batch of raw pages appended to the tables below ``root``.
 
-    Repeats within the batch give one page. Known pages are dropped before
-    they are parsed, together with their links and images; with ``refresh``
-    they are stored again as a newer row. All reads see earlier batches only
+    Repeats within the batch give one page. Known pages are dropped by their keys
+    before their HTML is moved or parsed; with ``refresh`` they are stored again
+    as a newer row, also in the index. The parsed batch is stored once with the
+    tables, where a lost executor does not take it away. All links and images
+    are kept unless ``max_links`` or ``max_images`` is given. All reads see earlier batches only
     and every write replaces the folder of this batch, so a batch that is run
     again leaves the tables as they were.
     """
     spark = raw.sparkSession
+    parsed = f"{root}/parsed/batch_id={batch}"
     time = epoch_now() if now is None else F.lit(float(now))
-    keyed = require_url(raw).select("url", "html", url_id("url").alias("id"))
-    once = latest(keyed, "id", [F.xxhash64("html")])
-    stored = read_batches(spark, PAGES, f"{root}/pages", before=batch)
-    fresh = once if refresh else new_pages(once, stored)
-    extracted = extract_pages(fresh).persist(StorageLevel.DISK_ONLY)
+    keyed = require_url(raw).select("url", url_id("url").alias("id"), F.xxhash64("html").alias("hash"))
+    known = read_batches(spark, PAGES, f"{root}/pages", before=batch)
+    fresh = keyed if refresh else new_pages(keyed, known)
+    once = latest(fresh, "id", [F.asc("hash")]).select("url", "hash")
+    rows = require_url(raw).withColumn("hash", F.xxhash64("html")).join(once, ["url", "hash"], "left_semi")
+    extract_pages(rows, same_host=same_host, max_links=max_links, max_images=max_images).dropDuplicates(["url"]).write.mode(
+        "overwrite").parquet(parsed)
+    extracted = spark.read.parquet(parsed)
 
     known_links = read_batches(spark, BACKLINKS, f"{root}/backlinks", before=batch)
     stamped = extracted.select(
@@ -71,4 +77,3 @@ def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, i
     if index:
         written = spark.read.schema(PAGES).parquet(f"{root}/pages/batch_id={batch}")
         append_index(written, f"{root}/index", batch)
-    extracted.unpersist()

@@ -12,56 +12,21 @@ def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with work for every core, for work that costs more than moving the rows.
-
-    Files of few row groups give few tasks; only then the rows are dealt out
-    anew. A scan with enough splits, as every large one has, is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw pages ``page_id, url, html``, spread over the cores for parsing."""
-    return spread(_read(spark, schemas.RAW_PAGES, path))
+    """Raw pages ``page_id, url, html``; ``spark.sql.files.maxPartitionBytes`` sets how many a task parses."""
+    return _read(spark, schemas.RAW_PAGES, path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages."""
+    """Stored pages, all batches."""
     return _read(spark, schemas.PAGES, path)
 
 
 def read_backlinks(spark: SparkSession, path: str) -> DataFrame:
-    """Stored links."""
+    """Stored links, all batches."""
     return _read(spark, schemas.BACKLINKS, path)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Stored images."""
-    return _read(spark, schemas.IMAGES, path)
-
-
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Search history."""
-    return _read(spark, schemas.HISTORY, path)
-
-
-def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """Crawl seeds."""
-    return _read(spark, schemas.SEEDS, path)
-
-
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run log."""
-    return _read(spark, schemas.RUN_LOG, path)
-
-
-def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """Nested collections."""
-    return _read(spark, schemas.COLLECTIONS, path)
-
-
 def stream_raw(spark: SparkSession, folder: str, glob: str = "*.parquet", files: int | None = None) -> DataFrame:
     """Raw pages as a stream over the files that arrive in ``folder``."""
     reader = spark.readStream.schema(schemas.RAW_PAGES).option("pathGlobFilter", glob)

@@ -110,9 +110,10 @@ def test_links(spark):
     home = "http://Host.example.com:80"
     assert extract(spark, html).links == [f"{home}/a/b/x.PDF", f"{home}/y", f"{home}/q?a=1&b=2"]
     many = "".join(f"<a href='/{i % 18}'>" for i in range(40))
-    assert extract(spark, many).links == [f"{home}/{i}" for i in range(15)]
-    away = extract(spark, "<a href='//o.org/x'><a href='/x'>", same_host=True).links
-    assert away == [f"{home}/x"]
+    assert extract(spark, many).links == [f"{home}/{i}" for i in range(18)]
+    assert extract(spark, many, max_links=15).links == [f"{home}/{i}" for i in range(15)]
+    near = "<a href='//o.org/x'><a href='/x'><a href='http://HOST.example.com:80/y'><a href='http://Host.example.com:80.evil.org/'>"
+    assert extract(spark, near, same_host=True).links == [f"{home}/x", "http://HOST.example.com:80/y"]
 
 
 def test_images(spark):
@@ -122,10 +123,28 @@ def test_images(spark):
     images = extract(spark, html).images
     assert [(i.url.rsplit("/")[-1], i.alt_text, i.title) for i in images[:3]] == [
         ("1.png", "A", "N"), ("2.png", "A", "A"), ("3.png", "", "T")]
-    assert len(images) == 12 and all(i.source_url == PAGE for i in images)
+    assert len(images) == 17 and all(i.source_url == PAGE for i in images)
+    assert extract(spark, html, max_images=12).images == images[:12]
     assert extract(spark, "<img src='1.png'>").images[0].title == "Scraped Image"
 
 
+def test_pages_full_of_traps(spark):
+    home = "http://Host.example.com:80"
+    long = extract(spark, "<body><a " + 'x="y" ' * 20_000 + "href=/z>far</a>")
+    assert (long.links, long.content) == ([f"{home}/z"], "far")
+    stray = extract(spark, '<body><a href=/x title=Bob"s>l</a>' + '<p class="x">y' * 3_000)
+    assert (stray.links, stray.content) == ([f"{home}/x"], "l" + " y" * 3_000)
+    quoted = '<body><img alt="Next > page" src="/a.jpg">text <a onclick="if(a>b)go()" title="href=/no" href=/yes>go</a>'
+    found = extract(spark, quoted)
+    assert (found.content, found.links, found.images[0].url) == ("text go", [f"{home}/yes"], f"{home}/a.jpg")
+    hidden = "<!-- <title>old</title><body>no --><titlebar>x</titlebar><title>real</title><body>yes <!-- <p>no</p> -->"
+    assert extract(spark, hidden)[1:3] == ("real", "yes")
+    script = "<body><script>for(i=0;i<n;i++){x()} if(a>b)y();</script>t"
+    assert extract(spark, script).content == "for(i=0;i<n;i++){x()} if(a>b)y(); t"
+    assert extract(spark, script, drop_script_style=True).content == "t"
+    assert extract(spark, "<body>a <b c <d>e</d> < f").content == "a e < f"
+
+
 def test_links_and_lists(spark):
     lists = spark.createDataFrame([("s", " a ,, b,s , ")], "source_url string, links string")
     links = E.links_from_lists(lists)

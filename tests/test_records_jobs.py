@@ -18,7 +18,7 @@ from pagetrawl.plans import skew
 from pagetrawl.plans.ingest import ingest_batch, stored_images, stored_links, stored_pages
 from pagetrawl.plans.lineage import new_folder
 from pagetrawl.schemas import HASH_COLOURS, HISTORY, RAW_PAGES, RUN_LOG
-from pagetrawl.sources.tables import read_batches, read_history, stream_raw, stream_table
+from pagetrawl.sources.tables import read_batches, stream_raw, stream_table
 from pagetrawl.streaming.jobs import history_stream, ingest_stream
 
 
@@ -61,9 +61,9 @@ def test_clear_history(spark, heat, history):
 
 def test_append_history(spark, history):
     path = new_folder(spark, "history")
-    for _ in range(2):
-        H.append_history(history.drop("id"), path)
-    stored = read_history(spark, path)
+    for batch in (0, 1, 1):
+        H.append_history(history.drop("id"), path, batch)
+    stored = read_batches(spark, HISTORY, path)
     assert stored.count() == 52 == stored.select("id").distinct().count()
     assert H.history_rows(spark.createDataFrame([("s", "q")], "session_id string, query string")).first().timestamp > 1.7e9
 
@@ -74,9 +74,10 @@ def test_runs(spark):
     assert (run.pages_crawled, run.errors, run.time_str, run.status) == (1, 2, "1970-01-01 00:00:00", "completed")
     path = new_folder(spark, "runs")
     for now in range(20):
-        H.run_row(batch, "s", "t", now).coalesce(1).write.mode("append").parquet(path)
-    H.append_run_log(batch, path, "s", "t", 99)
-    recent = H.recent_runs(spark.read.schema(RUN_LOG).parquet(path))
+        H.append_run_log(batch, path, now, "s", "t", now)
+    for _ in range(2):
+        H.append_run_log(batch, path, 20, "s", "t", 99)
+    recent = H.recent_runs(read_batches(spark, RUN_LOG, path))
     assert [r.timestamp for r in recent.collect()] == [99.0, *map(float, range(19, 5, -1))]
     empty = spark.createDataFrame([("i",) + (None,) * 7], RUN_LOG)
     assert rows(H.project_runs(empty)) == [("i", "N/A", "unknown", 0, 0, "unknown", 0.0, "")]
@@ -208,6 +209,11 @@ def test_known_pages_are_skipped_or_refreshed(spark):
     assert rows(stored_pages(spark, root).select("title", "indexed_time")) == [("new", 3.0)]
     assert rows(stored_links(spark, root).select("target_url")) == [("http://h/a",), ("http://h/b",)]
     assert stored_images(spark, root).count() == 2
+    indexed = new_folder(spark, "ingest")
+    ingest_batch(raw("old words", "/a"), indexed, 0, now=1.0)
+    ingest_batch(raw("new words", "/b"), indexed, 1, now=2.0, refresh=True)
+    index = read_appended_index(spark, f"{indexed}/index")
+    assert [rank(index, [t], field="title").count() for t in ("old", "new", "words")] == [0, 1, 1]
     ingest_batch(spark.createDataFrame([(4, "http://h/b", "")], RAW_PAGES), root, 3, index=False)
     assert rows(stored_pages(spark, root).filter("url like '%b'").select("backlinks", "title")) == [(1, "http://h/b")]
 

@@ -117,10 +117,37 @@ def test_candidate_cap_loses_hits(many):
     assert S.hits(index, pages, "word", min_links=1, candidate_cap=None).count() == 10
 
 
+def test_nothing_is_capped_by_default(many, spark):
+    index, pages = many
+    asked = spark.createDataFrame([(1, "word"), (2, "word"), (3, "nothing"), (4, "")], "query_id long, q string")
+    assert S.hits(index, pages, "word").count() == 250
+    assert sorted(rows(S.totals_batch(asked, index))) == [(1, 250), (2, 250), (3, 0), (4, 0)]
+    assert S.rank_batch(asked, index).count() == 500
+
+
+def test_refreshed_pages_replace_their_entries(spark):
+    path = new_folder(spark, "refreshed")
+    page = lambda *texts: spark.createDataFrame(list(texts), "id long, content string")
+    X.append_index(page((1, "apple old"), (2, "apple pear"), (3, "plum")), path, 0, ("content",))
+    for _ in range(2):
+        X.append_index(page((1, "apple newer"), (3, "")), path, 1, ("content",))
+    compact = new_folder(spark, "compact")
+    X.compact_index(spark, path, compact)
+    for index in (X.read_appended_index(spark, path), X.read_index(spark, compact)):
+        ids = lambda *terms: sorted(r[0] for r in S.rank(index, list(terms)).collect())  # noqa: B023, E731
+        assert (ids("old"), ids("apple"), ids("apple", "newer"), ids("plum"), ids("apple", "missing")) == ([], [1, 2], [1], [], [])
+        stats = {r.term: (r.df, r.cf) for r in index.term_stats.collect()}
+        assert stats == {"apple": (2, 2), "newer": (1, 1), "pear": (1, 1)}
+        assert index.corpus.select("docs").first()[0] == 3
+        assert sorted(r.position for r in index.positions.collect()) == [0, 0, 1, 1]
+    X.append_index(page((1, "third")), path, 2, ("content",))
+    assert {r.term for r in X.read_appended_index(spark, path).term_stats.collect()} == {"apple", "pear", "third"}
+
+
 def test_pages_make_up_the_whole(many):
     index, pages = many
     seen = [r.id for page in range(1, 5) for r in S.search(index, pages, "word", page, 60, domain="H1").collect()]
-    assert len(seen) == len(set(seen)) == 100 == S.hits(index, pages, "word", domain="h1").count()
+    assert len(seen) == len(set(seen)) == 125 == S.hits(index, pages, "word", domain="h1").count()
     assert S.search(index, pages, "word", 9, 60).count() == 0
     by_date = [r.id for r in S.search(index, pages, "word", sort_by="date_desc").collect()]
     assert by_date == list(range(199, 189, -1))
@@ -153,6 +180,8 @@ def test_highlight_and_projection(spark):
     df = spark.createDataFrame([(1, "u", "t", "", "x" * 90 + " Fox\nand " + "y" * 90)], "id long, url string, title string, snippet string, content string")
     cut = df.select(S.highlight("content", ["fox"])).first()[0]
     assert cut == "x" * 79 + " <b>Fox</b>\nand " + "y" * 75
+    inner = spark.createDataFrame([("under de Den, de de",)], "content string")
+    assert inner.select(S.highlight("content", ["de"])).first()[0] == "under <b>de</b> Den, <b>de</b> <b>de</b>"
     full = df.withColumns({"indexed_at": F.lit(None).cast("string"), "indexed_time": F.lit(None).cast("double"), "backlinks": F.lit(None).cast("long")})
     assert rows(S.project_hits(full, ["fox"])) == [(1, "u", "t", cut, "", 0.0, 0)]
 
