@@ -96,8 +96,8 @@ def collection_add_nested(spark, sf):
 def collection_remove_nested(spark, sf):
     """The page with the smallest id leaves the collection with the largest."""
     nested = B.nested_collections(spark, sf)
-    page = L.flatten(nested).select(F.min("page_id")).scalar()
-    return _flat(L.remove_page_nested(nested, nested.select(F.max("id")).scalar(), page))
+    page = L.flatten(nested).agg(F.min("page_id")).first()[0]  # a scalar subquery can't stand in a lambda
+    return _flat(L.remove_page_nested(nested, nested.agg(F.max("id")).first()[0], page))
 
 
 def collection_total_nested(spark, sf):

@@ -7,78 +7,26 @@ from pagetrawl.functions.text import words
 from pagetrawl.plans.skew import salted_join, top_n
 from pagetrawl.schemas import MAX_EDITS, SUGGESTIONS
 
-# A term is cut into two segments more than edits are allowed, so two stay whole.
-SEGMENTS = MAX_EDITS + 2
-# Terms too short to cut are looked up by their single letters.
-SHORT = SEGMENTS - 1
+# Letters of a text whose deletions are looked at; with more, only the first ones are.
+PREFIX = 10
 # Texts this short are close whatever their letters are.
 ALWAYS_CLOSE = MAX_EDITS
 
 
-def _cut(length: str, i: int) -> str:
-    """Start of segment ``i`` of a term of the given length."""
-    return f"CAST(floor({length} * {i} / {SEGMENTS}) AS INT)"
+def _deletions(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``_key``: hashes of the first letters of ``text`` with up to two of them left out.
 
-
-def _segment_pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
-
-
-def _shifts() -> list[tuple[int, int, int]]:
-    """How far two whole segments, and the end, can be moved by the allowed edits."""
-    reach = range(-MAX_EDITS, MAX_EDITS + 1)
-    return [
-        (a, b, end) for end in reach for a in reach for b in reach
-        if abs(a) + abs(b - a) + abs(end - b) <= MAX_EDITS
-    ]
-
-
-def _vocabulary_keys(vocabulary: DataFrame) -> DataFrame:
-    """Keys of a term: its length with each pair of its segments, or each letter if short.
-
-    Keys are hashes: narrow to shuffle, and a collision only adds a candidate.
-    """
-    def piece(i: int) -> str:
-        return f"substr(term, {_cut('l', i)} + 1, {_cut('l', i + 1)} - {_cut('l', i)})"
-
-    pairs = ", ".join(f"xxhash64(l, {i}, {j}, {piece(i)}, {piece(j)})" for i, j in _segment_pairs())
-    letters = f"transform(sequence(1, {SHORT}), p -> xxhash64(l, p, substr(term, p, 1)))"
-    keys = f"CASE WHEN l > {SHORT} THEN array({pairs}) ELSE slice({letters}, 1, l) END"
-    sized = vocabulary.filter("term <> ''").withColumn("l", F.length("term"))
-    return sized.select("term", "df", F.explode(F.expr(keys)).alias("_key"))
-
-
-def _word_keys(asked: DataFrame) -> DataFrame:
-    """The keys a word shares with every term at most ``MAX_EDITS`` edits away.
-
-    Two segments of a close term occur in the word, each moved by as much as the
-    insertions and deletions before it add up to; only shifts that the allowed
-    edits can bring about are looked at. A short term keeps a letter, if the
-    word is longer than ``ALWAYS_CLOSE``.
+    Two texts at most ``MAX_EDITS`` = 2 edits apart become equal if at most two letters
+    of each are left out, and so do their first ``PREFIX`` letters: an insertion
+    shifts a letter out of one side's prefix, which is one deletion on the other.
+    A text has at most 56 keys. A collision only adds a candidate.
     """
-    sized = asked.withColumn("m", F.length("word"))
-    places = ", ".join(
-        f"struct({i} AS i, {j} AS j, {a} AS a, {b} AS b, {end} AS e)"
-        for i, j in _segment_pairs() for a, b, end in _shifts())
-    moved = sized.select("word", "m", F.expr(f"inline(array({places}))")).withColumn("l", F.expr("m - e"))
-
-    def cut(of: str) -> str:
-        return f"CAST(floor(l * {of} / {SEGMENTS}) AS INT)"
-
-    spans = moved.filter(f"l > {SHORT}").selectExpr(
-        "word", "m", "l", "i", "j", f"{cut('i')} + a AS p", f"{cut('j')} + b AS q",
-        f"{cut('(i + 1)')} - {cut('i')} AS pn", f"{cut('(j + 1)')} - {cut('j')} AS qn")
-    inside = spans.filter("p >= 0 AND p + pn <= q AND q + qn <= m")
-    by_pair = inside.selectExpr(
-        "word", "xxhash64(l, i, j, substr(word, p + 1, pn), substr(word, q + 1, qn)) AS _key")
-
-    lengths = sized.filter(F.col("m") <= SHORT + MAX_EDITS).select(
-        "word", "m", F.explode(F.sequence(F.lit(1), F.lit(SHORT))).alias("l")).filter(f"abs(m - l) <= {MAX_EDITS}")
-    letters = lengths.select("word", "m", "l", F.expr("explode(sequence(1, l))").alias("s")).select(
-        "word", "l", "s", F.expr(
-            f"explode(sequence(greatest(1, least(m, s - {MAX_EDITS})), least(m, s + {MAX_EDITS})))").alias("p"))
-    by_letter = letters.selectExpr("word", "xxhash64(l, s, substr(word, p, 1)) AS _key")
-    return by_pair.unionByName(by_letter).distinct()
+    pairs = ", ".join(f"struct({i} AS i, {j} AS j)" for j in range(PREFIX + 1) for i in range(max(1, j)))
+    placed = df.withColumn("_start", F.substring(text, 1, PREFIX)).withColumn("_at", F.expr(f"explode(array({pairs}))"))
+    key = """xxhash64(CASE WHEN _at.j = 0 THEN _start WHEN _at.i = 0 THEN concat(substr(_start, 1, _at.j - 1), substr(_start, _at.j + 1))
+        ELSE concat(substr(_start, 1, _at.i - 1), substr(_start, _at.i + 1, _at.j - _at.i - 1), substr(_start, _at.j + 1)) END)"""
+    nothing = "length(_start) > CASE WHEN _at.j = 0 THEN 0 WHEN _at.i = 0 THEN 1 ELSE 2 END"
+    return placed.filter(f"_at.j <= length(_start) AND {nothing}").withColumn("_key", F.expr(key)).drop("_start", "_at")
 
 
 def suggest(asked: DataFrame, vocabulary: DataFrame, n: int = SUGGESTIONS) -> DataFrame:
@@ -86,11 +34,13 @@ def suggest(asked: DataFrame, vocabulary: DataFrame, n: int = SUGGESTIONS) -> Da
 
     ``asked`` has ``word``, ``vocabulary`` has ``term, df``. Terms at most two
     edits away are ordered by distance, frequency and text; the word itself is
-    left out. Candidates come from equal pieces, not from all pairs, and every
-    close term shares at least one.
+    left out. Candidates come from equal deletion neighbours, not from all pairs,
+    and every close term shares at least one with the word.
     """
     wanted = asked.select("word").filter("word <> ''").distinct()
-    pairs = salted_join(_vocabulary_keys(vocabulary), _word_keys(wanted), "_key", salt_by="term").drop("_key")
+    terms = _deletions(vocabulary.select("term", "df"), "term")
+    pairs = terms.join(_deletions(wanted, "word"), "_key").filter(
+        F.abs(F.length("word") - F.length("term")) <= MAX_EDITS).select("word", "term", "df")
     # Any two texts of at most two letters are close, and those of one length that
     # share no letter are equally far. Of these the n most frequent are enough, one
     # more in case the word itself is among them: at most 2 (n + 1) rows in all.
@@ -104,12 +54,8 @@ def suggest(asked: DataFrame, vocabulary: DataFrame, n: int = SUGGESTIONS) -> Da
         pairs.filter(F.col("word") != F.col("term"))
         .withColumn("distance", distance).filter(F.col("distance") >= 0)
     )
-    # A pair is met once per shared key at most, and equal rows sort side by side:
-    # so many rows hold the first n terms, and each task passes on no more per word.
     order = [F.asc("distance"), F.desc("df"), F.asc("term")]
-    repeats = len(_segment_pairs()) + 1
-    first = top_n(close, ["word"], order, n * repeats).select("word", "term", "distance", "df").distinct()
-    return top_n(first, ["word"], order, n)
+    return top_n(close.select("word", "term", "distance", "df").distinct(), ["word"], order, n)
 
 
 def spell_correct(queries: DataFrame, vocabulary: DataFrame, keep_known: bool = True) -> DataFrame:

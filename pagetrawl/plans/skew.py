@@ -3,28 +3,26 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
-HOT_ROWS = 100_000
-SALTS = 128
+#: Rows of one key that a task takes; a key with more is split over several salts.
+TARGET_ROWS = 100_000
+#: Salts that rows with a null key are dealt to; they match nothing.
+NULL_SALTS = 128
 
 
-def hot_keys(facts: DataFrame, on: str, rows: int = HOT_ROWS, keys: int = HOT_KEYS) -> DataFrame:
-    """The most frequent keys of ``facts``: at most ``keys`` rows, so safe to broadcast.
+def hot_keys(facts: DataFrame, on: str, target: int = TARGET_ROWS) -> DataFrame:
+    """``on, _salts``: every key of ``facts`` with more rows than ``target``.
 
-    A key outside the result has fewer than ``rows`` rows or less than one
-    ``keys``-th of all rows, so it cannot overload a task. The counts are
-    combined before they are shuffled.
+    Counts are combined before they are shuffled. There are fewer such keys than
+    all rows by ``target``, so the list is small beside its table, but it is not
+    taken to be small enough for a broadcast.
     """
-    return hot_of(facts.groupBy(on).count(), on, "count", rows, keys)
+    return hot_of(facts.groupBy(on).count(), on, "count", target)
 
 
-def hot_of(counts: DataFrame, on: str, count: str, rows: int = HOT_ROWS, keys: int = HOT_KEYS) -> DataFrame:
+def hot_of(counts: DataFrame, on: str, count: str, target: int = TARGET_ROWS) -> DataFrame:
     """:func:`hot_keys` where the rows per key are counted already."""
-    return (
-        counts.filter(F.col(on).isNotNull() & (F.col(count) >= rows))
-        .orderBy(F.desc(count), on).limit(keys)
-        .select(on, F.lit(True).alias("_hot"))
-    )
+    return counts.filter(F.col(on).isNotNull() & (F.col(count) > target)).select(
+        on, F.ceil(F.col(count) / target).cast("int").alias("_salts"))
 
 
 def salted_join(
@@ -34,29 +32,27 @@ def salted_join(
     how: str = "inner",
     salt_by: str | None = None,
     hot: DataFrame | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """``facts`` joined to ``dim`` on ``on`` with the hot keys of ``facts`` spread out.
 
-    Rows of a hot key get one of ``salts`` salts from a hash of ``salt_by``,
-    which must vary within the key; the rows of ``dim`` for these keys are
-    repeated once per salt. Salts come from a hash, not a random number, so a
-    task that is run again gives the same rows. ``how`` may be inner, left,
-    left_semi or left_anti: all rows of ``facts`` with a null key are spread
-    like a hot key.
+    A row of a hot key gets a salt from a hash of ``salt_by``, which must vary
+    within the key; there are as many salts as its rows need at ``TARGET_ROWS``
+    each, and the rows of ``dim`` for the key are repeated once per salt. Salts
+    come from a hash, not a random number, so a task that is run again gives the
+    same rows. ``how`` may be inner, left, left_semi or left_anti: rows of
+    ``facts`` with a null key are spread as well.
     """
     hot = hot_keys(facts, on) if hot is None else hot
-    spread = F.pmod(F.xxhash64(salt_by or on), F.lit(salts)).cast("int")
+    hashed = F.xxhash64(salt_by or on)
     salted = (
-        facts.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | F.col(on).isNull(), spread).otherwise(F.lit(0)))
-        .drop("_hot")
+        facts.join(hot, on, "left")
+        .withColumn("_salt", F.pmod(hashed, F.when(F.col(on).isNull(), NULL_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))).cast("int"))
+        .drop("_salts")
     )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     repeated = (
-        dim.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        dim.join(hot, on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_salts")
     )
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")
 

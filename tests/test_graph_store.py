@@ -18,8 +18,8 @@ def rows(df):
 def heat(request, monkeypatch):
     """Runs a test as it is and with salting of every key."""
     if request.param == "hot":
-        monkeypatch.setattr(skew.hot_of, "__defaults__", (1, 1000))
-        monkeypatch.setattr(skew.hot_keys, "__defaults__", (1, 1000))
+        monkeypatch.setattr(skew.hot_of, "__defaults__", (1,))
+        monkeypatch.setattr(skew.hot_keys, "__defaults__", (1,))
     return request.param
 
 
@@ -45,10 +45,11 @@ def test_salted_join_is_a_join(spark, heat, how):
 
 def test_salting_spreads_and_is_bounded(spark, heat):
     facts = spark.range(2000).select(F.lit("hub").alias("k"), "id")
-    hot = skew.hot_keys(facts, "k", rows=100, keys=1)
-    assert rows(hot) == [("hub", True)]
-    many = spark.range(50).select(F.col("id").cast("string").alias("k"))
-    assert skew.hot_keys(many, "k", rows=1, keys=5).count() == 5
+    assert rows(skew.hot_keys(facts, "k", 100)) == [("hub", 20)]
+    assert rows(skew.hot_keys(facts, "k", 2000)) == []
+    many = spark.range(6000).select((F.col("id") % 2000).cast("string").alias("k"))
+    assert skew.hot_keys(many, "k", 2).count() == 2000
+    assert {r[0] for r in skew.hot_keys(many, "k", 2).select("_salts").collect()} == {2}
 
 
 def test_backlinks_and_nodes(heat, pages, links):

@@ -29,8 +29,8 @@ def rows(df):
 @pytest.fixture(params=["cold", "hot"])
 def heat(request, monkeypatch):
     if request.param == "hot":
-        monkeypatch.setattr(skew.hot_of, "__defaults__", (1, 1000))
-        monkeypatch.setattr(skew.hot_keys, "__defaults__", (1, 1000))
+        monkeypatch.setattr(skew.hot_of, "__defaults__", (1,))
+        monkeypatch.setattr(skew.hot_keys, "__defaults__", (1,))
 
 
 # --- History and runs ----------------------------------------------------------------------
