@@ -55,15 +55,18 @@ def match_phrase(spark, sf):
 
 
 def match_phrase_repeated(spark, sf):
-    return S.match_phrase(B.index(spark, sf).positions, ["de", "la", "de"])
+    index = B.index(spark, sf)
+    return S.match_phrase(index.positions, ["de", "la", "de"], postings=index.postings)
 
 
 def match_prefix(spark, sf):
-    return S.match_prefix(_index(spark, sf).postings, "theat")
+    index = B.index(spark, sf)
+    return S.match_prefix(index.postings, "theat", dictionary=index.term_stats)
 
 
 def match_wildcard(spark, sf):
-    return S.match_wildcard(_index(spark, sf).postings, "th?a*tion")
+    index = B.index(spark, sf)
+    return S.match_wildcard(index.postings, "th?a*tion", dictionary=index.term_stats)
 
 
 def match_field(spark, sf):
@@ -79,6 +82,12 @@ def rank_bm25(spark, sf):
     return S.rank(B.index(spark, sf), ["was", "ther"])
 
 
+def rank_structured(spark, sf):
+    """A must, a phrase, a prefix, optional and forbidden terms in one query."""
+    return S.rank_structured(B.index(spark, sf), must=["la"], should=["en", "es"], must_not=["por"],
+                             phrases=[["de", "la"]], prefixes=["ci"])
+
+
 def rank_all(spark, sf):
     return S.rank(B.index(spark, sf), ["en", "de"], None)
 
@@ -287,7 +296,7 @@ def prefix_suggest(spark, sf):
 QUERIES = {f.__name__: f for f in (
     term_stats, doc_len, postings, positions, field_terms, match_all, match_any, match_none, match_phrase,
     match_phrase_repeated, match_prefix, match_wildcard, match_field, number_range, rank_bm25, rank_all, rank_batch,
-    rank_passages, index_appended, index_refreshed, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
+    rank_structured, rank_passages, index_appended, index_refreshed, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
     substring_search, refine, sort_date_desc, sort_date_asc, sort_backlinks_desc, sort_likes_desc, sort_unknown,
     sort_local, top_liked, paginate, highlight, project_hits, suggest, spell_correct, spell_correct_always,
@@ -374,6 +383,12 @@ SQL = {
     "index_refreshed": f"""WITH {_C}, {_one_query(['was', 'ther'])}
         SELECT po.id, tf, df, score FROM po JOIN ts USING (term) LEFT JOIN sc ON sc.id = po.id WHERE term = 'was'""",
     "index_compacted": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc",
+    "rank_structured": f"""WITH {_C}, m AS (
+        SELECT id, round(sum({B.BM25_SQL}), 6) AS score FROM po JOIN ts USING (term) JOIN dl USING (id)
+        WHERE term IN ('la', 'de', 'en', 'es') GROUP BY id HAVING count(*) FILTER (term IN ('la', 'de')) = 2)
+        SELECT id, score FROM m WHERE id NOT IN (SELECT id FROM po WHERE term = 'por')
+        AND id IN (SELECT id FROM po WHERE starts_with(term, 'ci'))
+        AND id IN (SELECT a.id FROM tk a JOIN tk b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'de' AND b.term = 'la')""",
     "rank_all": f"WITH {_C}, {_one_query(['en', 'de'])} SELECT * FROM sc",
     "rank_batch": f"WITH {_C}, {_TITLES}, {_MATCHED}, {_RANKED} SELECT * FROM rk WHERE rank <= 20",
     "rank_passages": f"""WITH {_C}, {_queries_sql('benchmark', 'item_id', 'text')}, {_MATCHED}, {_RANKED}

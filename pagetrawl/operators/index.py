@@ -81,25 +81,34 @@ def _by_term(table: DataFrame) -> DataFrame:
     return table.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
 
 
-def write_index(pages: DataFrame, path: str, fields=TEXT_FIELDS, phrases: bool = True) -> None:
+def write_index(pages: DataFrame, path: str, fields=TEXT_FIELDS) -> None:
     """The index as Parquet, one folder per table, for a new ``path``.
 
-    Statistics are counted from the written tables and stored, so that a search
-    reads one row of them; terms are sorted over the files here as well.
+    Texts are cut into terms twice, for the occurrences and for the lengths; postings
+    and all statistics are counted from what is written. Every table of terms is sorted
+    over its files, so that a lookup reads few of them, and a search reads one row of
+    the corpus statistics.
     """
     spark = pages.sparkSession
-    _by_term(postings(pages, fields)).write.partitionBy("field").parquet(f"{path}/postings")
-    doc_lengths(pages, fields).write.partitionBy("field").parquet(f"{path}/doc_len")
-    written = spark.read.parquet(f"{path}/postings")
-    stats = term_stats(written).repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-    stats.write.partitionBy("field").parquet(f"{path}/term_stats")
+    lengths = f"{path}/doc_len"
+    doc_lengths(pages, fields).write.partitionBy("field").parquet(lengths)
+    _by_term(positions(pages, fields)).write.partitionBy("field").parquet(f"{path}/positions")
+    occurrences = spark.read.parquet(f"{path}/positions")
+    counted = occurrences.groupBy("field", "term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    written = counted.join(spark.read.parquet(lengths), ["field", "id"]).select("field", "term", "id", "dl", "tf")
+    _by_term(written).write.partitionBy("field").parquet(f"{path}/postings")
+    _write_stats(spark, path)
+
+
+def _write_stats(spark: SparkSession, path: str) -> None:
+    """Statistics of terms and corpus, counted from the written tables."""
+    stats = term_stats(spark.read.parquet(f"{path}/postings"))
+    stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/term_stats")
     corpus_stats(spark.read.parquet(f"{path}/doc_len")).write.parquet(f"{path}/corpus")
-    if phrases:
-        _by_term(positions(pages, fields)).write.partitionBy("field").parquet(f"{path}/positions")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """An index written by :func:`write_index` with phrases."""
+    """An index written by :func:`write_index` or :func:`compact_index`."""
     tables = ("postings", "doc_len", "term_stats", "positions", "corpus")
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in tables))
 
@@ -149,6 +158,4 @@ def compact_index(spark: SparkSession, path: str, to: str) -> None:
     _by_term(live.postings).write.partitionBy("field").parquet(f"{to}/postings")
     live.doc_len.write.partitionBy("field").parquet(f"{to}/doc_len")
     _by_term(live.positions).write.partitionBy("field").parquet(f"{to}/positions")
-    stats = term_stats(spark.read.parquet(f"{to}/postings"))
-    stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{to}/term_stats")
-    corpus_stats(spark.read.parquet(f"{to}/doc_len")).write.parquet(f"{to}/corpus")
+    _write_stats(spark, to)

@@ -37,12 +37,16 @@ def match_none(docs: DataFrame, postings: DataFrame, terms: list[str], field: st
     return docs.select("id").join(match_any(postings, terms, field), "id", "left_anti")
 
 
-def match_phrase(positions: DataFrame, terms: list[str], field: str = "content") -> DataFrame:
+def match_phrase(positions: DataFrame, terms: list[str], field: str = "content",
+                 postings: DataFrame | None = None) -> DataFrame:
     """Documents with the terms next to each other in this order.
 
     Every occurrence votes for the place where the phrase would start; a start
-    with a vote for each place of the phrase is a match.
+    with a vote for each place of the phrase is a match. With ``postings`` only
+    occurrences in documents that hold all the terms are looked at.
     """
+    if postings is not None:
+        positions = positions.join(match_all(postings, terms, field), "id", "left_semi")
     places = F.create_map(*(
         x for t in sorted(set(terms))
         for x in (F.lit(t), F.array(*(F.lit(i) for i, u in enumerate(terms) if u == t)))))
@@ -55,16 +59,27 @@ def match_phrase(positions: DataFrame, terms: list[str], field: str = "content")
     return votes.filter(F.col("_n") == len(terms)).select("id").distinct()
 
 
-def match_prefix(postings: DataFrame, prefix: str, field: str = "content") -> DataFrame:
-    """Documents with a term that starts with ``prefix``; the test reaches the scan."""
-    return _field(postings, field).filter(F.col("term").startswith(prefix.lower())).select("id").distinct()
+def _with_terms(postings: DataFrame, field: str, test: Column, dictionary: DataFrame | None) -> DataFrame:
+    """Documents with a term that passes ``test``; with a dictionary its terms are tested, not the postings."""
+    rows = _field(postings, field)
+    if dictionary is None:
+        return rows.filter(test).select("id").distinct()
+    terms = _field(dictionary, field).filter(test).select("term")
+    return rows.join(terms, "term", "left_semi").select("id").distinct()
 
 
-def match_wildcard(postings: DataFrame, pattern: str, field: str = "content") -> DataFrame:
+def match_prefix(postings: DataFrame, prefix: str, field: str = "content",
+                 dictionary: DataFrame | None = None) -> DataFrame:
+    """Documents with a term that starts with ``prefix``; ``dictionary`` is the index's ``term_stats``."""
+    return _with_terms(postings, field, F.col("term").startswith(prefix.lower()), dictionary)
+
+
+def match_wildcard(postings: DataFrame, pattern: str, field: str = "content",
+                   dictionary: DataFrame | None = None) -> DataFrame:
     """Documents with a term like ``pattern``, where ``*`` is any text and ``?`` any character."""
     quoted = pattern.lower().replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
     like = quoted.replace("*", "%").replace("?", "_")
-    return _field(postings, field).filter(F.col("term").like(like)).select("id").distinct()
+    return _with_terms(postings, field, F.col("term").like(like), dictionary)
 
 
 def number_between(df: DataFrame, column: str, low=None, high=None) -> DataFrame:
@@ -109,6 +124,39 @@ def rank(index: Index, terms: list[str], k: int | None = None, field: str = "con
     return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
 
 
+def rank_structured(index: Index, must: list[str] = (), should: list[str] = (), must_not: list[str] = (),
+                    phrases: list[list[str]] = (), prefixes: list[str] = (), k: int | None = None,
+                    field: str = "content") -> DataFrame:
+    """``id, score`` of documents by a structured query, best first with ``k``.
+
+    A document needs all ``must`` terms, all ``phrases`` and a term for each prefix,
+    and none of ``must_not``; with neither of the first three, one of ``should``. The
+    score is the BM25 sum over the terms of ``must``, ``should`` and the phrases that it
+    holds; a document that only a prefix matched has score 0.
+    """
+    needed = sorted({*must, *(t for p in phrases for t in p)})
+    scoring = sorted({*needed, *should})
+    stats = _field(index.term_stats, field).filter(F.col("term").isin(scoring)).select("term", "df")
+    rows = _field(index.postings, field).filter(F.col("term").isin(scoring))
+    docs, average = _corpus(index, field)
+    found = rows.join(F.broadcast(stats), "term").groupBy("id").agg(
+        F.count_if(F.col("term").isin(needed)).alias("_needed"), F.sum(_bm25(docs, average)).alias("score"))
+    if needed:
+        found = found.filter(F.col("_needed") == len(needed))
+    elif prefixes:
+        # with prefixes alone every document with one is a candidate
+        every = match_prefix(index.postings, prefixes[0], field, index.term_stats)
+        found = every.join(found, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    for phrase in phrases:
+        found = found.join(match_phrase(index.positions, phrase, field, index.postings), "id", "left_semi")
+    for prefix in prefixes:
+        found = found.join(match_prefix(index.postings, prefix, field, index.term_stats), "id", "left_semi")
+    if must_not:
+        found = found.join(match_any(index.postings, must_not, field), "id", "left_anti")
+    scored = found.select("id", F.round("score", 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(k) if k else scored
+
+
 def rank_batch(queries: DataFrame, index: Index, k: int | None = None,
                field: str = "content") -> DataFrame:
     """``query_id, id, score, rank`` for a table of queries ``query_id, q``.
