@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.shared import stored
+
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
 #: Words of a hashed k-gram; the least of WINDOW - GRAM + 1 consecutive ones is kept.
@@ -54,9 +56,11 @@ def _fingerprints(hashes: Column, short: list[int]) -> Column:
     """Array of (kind, pos, hash): winnowed k-grams have kind 0, windows of n < WINDOW words kind n."""
     grams = F.col("grams")
     kept = F.transform(_least(grams), lambda p: _entry(F.lit(0), p, F.get(grams, p)))
-    for n in short:
-        kept = F.concat(kept, F.transform(_grams(hashes, n), lambda h, p, n=n: _entry(F.lit(n), p, h)))
-    return kept
+    return F.concat(kept, *(_whole(hashes, n) for n in short)) if short else kept
+
+
+def _whole(hashes: Column, n: int) -> Column:
+    return F.transform(_grams(hashes, n), lambda h, p: _entry(F.lit(n), p, h))
 
 
 def _entry(kind: Column, pos: Column, value: Column) -> Column:
@@ -144,9 +148,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     left out of the ids; null doc_ids and repeated rows stay, each with its own row; further columns are
     ignored. Without items nothing is hit; without documents there are no rows.
     """
-    found = hits(docs, items)
+    found = hits(docs, items)  # read twice below, so kept: one narrow row per document
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
-    found = found.withColumn("n_hit", covered.cast("long")).drop("spans")
+    found = stored(found.withColumn("n_hit", covered.cast("long")).drop("spans"))
     ids = item_classes(items).select("item_class", F.col("item_id").cast("string").alias("item")).where("item is not null")
     key = ["doc_id", "text_hash", "n_words"]
     named = found.where("n_hit > 0").select(*key, F.explode("classes").alias("item_class")).join(
