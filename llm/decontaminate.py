@@ -11,7 +11,7 @@ from llm.shared import stored
 WINDOW = 10
 #: Words of a hashed k-gram; the least of WINDOW - GRAM + 1 consecutive ones is kept.
 GRAM = 5
-#: Fingerprints of the test items that may be broadcast (about 24 bytes each); more are joined by shuffle.
+#: Fingerprints of the test items that may be broadcast (about 200 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,18 +96,20 @@ def hits(docs: DataFrame, items: DataFrame, limit: int = BROADCAST_ROWS) -> Data
     their hash, compared word by word, and extended both ways; a stretch of a window's length or more is
     a hit. Items shorter than a window are looked up whole, by length.
 
-    The test items' fingerprints are counted first. Up to ``limit`` rows are broadcast; more are split by hash
+    The test items' fingerprints, each with the words that a window around it can reach, are counted first.
+    Up to ``limit`` rows are broadcast; more are split by hash
     into blocks of at most about that size, each broadcast for its own pass over the documents, so no
     k-gram of a document is ever shuffled and a frequent one burdens no task.
     """
     classes = item_classes(items).select("item_class", F.col("words")).distinct()
     sized = classes.withColumn("n", F.size("words"))
     short = sorted(r["n"] for r in sized.where(F.col("n") < WINDOW).select("n").distinct().collect())
+    reach = WINDOW - GRAM
+    around = F.transform(F.sequence(F.lit(-reach), F.lit(WINDOW - 1)), lambda step: F.get("words", F.col("f.pos") + step))
     tests = _hashed(sized).select(
-        "item_class", F.col("words").alias("item_words"), "n",
-        F.explode(_fingerprints(F.col("hashes"), short)).alias("f"),
+        "item_class", "words", "n", F.explode(_fingerprints(F.col("hashes"), short)).alias("f"),
     ).where((F.col("f.kind") == 0) | (F.col("f.kind") == F.col("n"))).select(
-        "item_class", "item_words", "f.kind", F.col("f.pos").alias("item_pos"), "f.hash")
+        "item_class", around.alias("item_words"), "f.kind", F.lit(reach).alias("item_pos"), "f.hash")
     blocks = -(-tests.count() // limit) or 1
 
     read = _hashed(docs.select(
@@ -121,7 +123,6 @@ def hits(docs: DataFrame, items: DataFrame, limit: int = BROADCAST_ROWS) -> Data
         side = tests if blocks == 1 else tests.where(F.pmod("hash", F.lit(blocks)) == block)
         met = dealt.join(F.broadcast(side), ["kind", "hash"], "left").where(
             F.col("item_class").isNotNull() | (F.col("kind") == -1))
-        reach = WINDOW - GRAM
         left = _equal_run(F.col("pos") - 1, F.col("item_pos") - 1, -1, reach)
         right = _equal_run(F.col("pos"), F.col("item_pos"), 1, GRAM + reach)
         whole = _equal_run(F.col("pos"), F.col("item_pos"), 1, WINDOW - 1)
