@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.pretokens import chunks, words
+from llm.pretokens import words
 from llm.shared import stored
 
 #: Bins that a packer keeps open.
@@ -30,20 +30,21 @@ def token_pieces(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words(path)
         for batch in batches:
-            rows, piece, start, size, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = b"".join([*map(table.__getitem__, chunks(text.as_py() or "")), stop])
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at:at + step]
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    size.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
-                 *(pa.array(x, pa.int64()) for x in (start, size, crc))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part, texts in table.ids(batch):
+                rows, piece, start, size, crc = [], [], [], [], []
+                for i, text in enumerate(texts):
+                    ids = b"".join([*text, stop])
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        some = ids[at:at + step]
+                        rows.append(i)
+                        piece.append(k)
+                        start.append(at // 4)
+                        size.append(len(some) // 4)
+                        crc.append(zlib.crc32(some))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
+                     *(pa.array(x, pa.int64()) for x in (start, size, crc))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 
-#: Entries that a worker keeps of words it has met; when full, it starts again.
-CACHE = 300_000
+from llm.shared import slices
+
+#: Words and pre-tokens that a worker keeps in each of two generations.
+CACHE = 450_000
 #: Longer chunks are not kept.
 LONGEST = 64
 
 
 @cache
 def library(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -44,6 +50,11 @@ def whole_tokens(path: str) -> dict[str, int]:
     return {s: e.ids[0] for s, e in zip(texts, found, strict=True) if len(e.ids) == 1}
 
 
+def ascii_pattern(path: str) -> re.Pattern:
+    """The same pattern for lower-case ASCII."""
+    return re.compile(pattern(path).pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+
+
 #: Characters that lower-case and normalise one by one, alike in every Unicode version; no white space.
 _PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-įı-ž]+")
 #: White space to str.split, but not to the tokenizer.
@@ -59,39 +70,72 @@ class Words(dict):
     """Ids of a chunk, as little-endian 32-bit bytes.
 
     Pre-tokens that are whole tokens take their id from the proven table; the library merges only the
-    rest. Chunks with unusual characters or special strings go to the library as they are.
+    rest, many at a time: every pre-token ends in exactly one token with a word end, which parts them again.
+    Chunks with unusual characters or special strings go to the library as they are. A full table becomes
+    the older generation, from which chunks that come again are taken over.
     """
 
     def __init__(self, path: str):
-        self.library, self.single = library(path), pattern(path)
+        self.library, self.single, self.plain = library(path), pattern(path), ascii_pattern(path)
         self.whole = {s: i.to_bytes(4, "little") for s, i in whole_tokens(path).items()}
+        names = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for s, i in names.items() if s.endswith("</w>")]] = True
         self.merged: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = {}, {}
+
+    def meet(self, texts: list[list[str]]) -> None:
+        """Learn the chunks of a batch that are not known yet."""
+        if len(self) >= CACHE:
+            self.older = dict(self), self.older[1]
+            self.clear()
+        if len(self.merged) >= CACHE:
+            self.older, self.merged = (self.older[0], self.merged), {}
+        chunk_before, merged_before = self.older
+        new, parts = set().union(*texts).difference(self), {}
+        for chunk in new:
+            if known := chunk_before.get(chunk):
+                self[chunk] = known
+            elif len(chunk) > LONGEST or "<|" in chunk:
+                continue
+            elif chunk.isascii() and chunk.isprintable():
+                parts[chunk] = [chunk.lower()] if chunk.isalpha() else self.plain.findall(chunk.lower())
+            elif _PLAIN.fullmatch(chunk):
+                parts[chunk] = self.single.findall(chunk.lower())
+        whole, merged = self.whole, self.merged
+        rest = {p for found in parts.values() for p in found if p not in whole and p not in merged}
+        for p in [p for p in rest if p in merged_before]:
+            merged[p] = merged_before[p]
+            rest.remove(p)
+        self._merge(list(rest))
+        for chunk, found in parts.items():
+            self[chunk] = b"".join([whole.get(p) or merged[p] for p in found])
+
+    def _merge(self, pretokens: list[str], step: int = 4096) -> None:
+        for i in range(0, len(pretokens), step):
+            some = pretokens[i:i + step]
+            ids = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            packed = ids.tobytes()
+            if len(at) != len(some):
+                raise ValueError("a pre-token does not end in one word-end token")
+            for p, a, b in zip(some, [0, *at], at):
+                self.merged[p] = packed[a:b]
 
     def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            whole = self.whole
-            ids = b"".join([whole.get(p) or self._merge(p) for p in self.single.findall(chunk.lower())])
-        else:
-            ids = self._encode(chunk)
+        ids = self.library.encode(chunk, add_special_tokens=False).ids
+        found = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(chunk) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def _merge(self, pretoken: str) -> bytes:
-        ids = self.merged.get(pretoken)
-        if ids is None:
-            ids = self._encode(pretoken)
-            if len(pretoken) <= LONGEST:
-                if len(self.merged) >= CACHE:
-                    self.merged.clear()
-                self.merged[pretoken] = ids
-        return ids
-
-    def _encode(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+            self[chunk] = found
+        return found
+
+    def ids(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+        """Slices of a batch with the ids of each text's chunks."""
+        for part in slices(batch):
+            texts = [chunks(t or "") for t in part.column("text").to_pylist()]
+            self.meet(texts)
+            yield part, [list(map(self.__getitem__, text)) for text in texts]
 
 
 @cache

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.pretokens import chunks, words
+from llm.pretokens import words
 from llm.shared import byte_lengths
 
 
@@ -25,10 +25,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words(path)
         for batch in batches:
-            texts = batch.column("text")
-            n = [sum(map(len, map(table.__getitem__, chunks(t.as_py() or "")))) // 4 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), byte_lengths(texts), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    found = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+            for part, ids in table.ids(batch):
+                n = [sum(map(len, text)) // 4 for text in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), byte_lengths(part.column("text")), pa.array(n, pa.int64())],
+                    ["doc_id", "n_bytes", "n_tokens"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
