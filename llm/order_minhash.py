@@ -97,7 +97,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
             forward, F.xxhash64(_hash(x), _hash(after))).otherwise(F.xxhash64(_hash(after), _hash(x)))
         return F.when(starts, F.shiftleft(_tuple(x), 32).bitwiseOR(F.shiftrightunsigned(value, 32)))
 
-    return df.withColumn(name, F.filter(F.transform("m_", entry), lambda x: x.isNotNull())).select(*keep, name)
+    entries = F.filter(F.transform("m_", entry), lambda x: x.isNotNull())
+    return df.withColumn(name, F.sort_array(entries)).select(*keep, name)
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -112,6 +113,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(tuples == 0, 1.0).otherwise(F.pow(same / tuples, F.lit(1 / TUPLE)))
 
 
+def _narrow(fingerprint: Column) -> Column:
+    """A fingerprint for the way: tuple numbers, which compress, apart from the 32 bits of each."""
+    return F.struct(
+        F.transform(fingerprint, lambda x: F.shiftright(x, 32).cast("tinyint")).alias("tuples"),
+        F.transform(fingerprint, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("values"))
+
+
+def _wide(narrow: str) -> Column:
+    return F.zip_with(f"{narrow}.tuples", f"{narrow}.values", lambda t, v: F.shiftleft(t.cast("long"), 32).bitwiseOR(
+        v.cast("long").bitwiseAND(F.lit((1 << 32) - 1))))
+
+
 def _chain(keys: DataFrame) -> DataFrame:
     """For every (doc_id, text_hash): the next one by falling doc_id, and the first after the last.
 
@@ -156,17 +169,27 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     keyed = lambda df: df.withColumn("id_", F.coalesce("doc_id", F.lit(0))).withColumn("null_", F.isnull("doc_id"))
     own = keyed(read).join(keyed(before).drop("doc_id"), ["id_", "null_", "text_hash"])
     own = with_fingerprint(own, "text", "print")
-    kept = own.select(
-        "doc_id", "id_", "null_", "text_hash", "print", F.char_length("text").cast("long").alias("n_chars"),
-        F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))").alias("kept"))
-    given = own.select(
+    # a row goes once to its own key and once to the key of the document before it
+    own = own.withColumn("print", _narrow(F.col("print")))
+    narrow = own.schema["print"].dataType
+    kept = F.struct(
+        "id_", "null_", "text_hash", F.lit(1).alias("copy"), F.char_length("text").cast("long").alias("n_chars"), "print",
+        F.lit(None).cast(narrow).alias("next_print"),
+        F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))").alias("kept"),
+        F.lit(None).cast("string").alias("given"))
+    given = F.struct(
         F.coalesce("before.doc_id", F.lit(0)).alias("id_"), F.isnull("before.doc_id").alias("null_"),
-        F.col("before.text_hash").alias("text_hash"), F.col("print").alias("next_print"),
-        F.expr("left(text, before.half)").alias("given")).dropDuplicates(["id_", "null_", "text_hash"])
-    both = kept.join(given, ["id_", "null_", "text_hash"]).select(
-        "doc_id", "n_chars", "print", "next_print", F.concat("kept", "given").alias("edited"))
+        F.col("before.text_hash").alias("text_hash"), F.lit(None).cast("int").alias("copy"), F.lit(None).cast("long").alias("n_chars"),
+        F.lit(None).cast(narrow).alias("print"), F.col("print").alias("next_print"),
+        F.lit(None).cast("string").alias("kept"), F.expr("left(text, before.half)").alias("given"))
+    sent = own.select(F.explode(F.array(kept, given)).alias("part")).select("part.*")
+    both = sent.groupBy("id_", "null_", "text_hash").agg(
+        F.count("copy").cast("int").alias("copies"), *(F.max(c).alias(c) for c in ("n_chars", "print", "next_print", "kept", "given")))
+    both = both.select(
+        F.when(~F.col("null_"), F.col("id_")).alias("doc_id"), "n_chars", _wide("print").alias("print"), _wide("next_print").alias("next_print"), "copies",
+        F.concat("kept", "given").alias("edited"))
     both = with_fingerprint(both, "edited", "edited_print")
-    return both.select(
+    return both.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"),
         as_text(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
