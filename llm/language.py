@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from llm.windows import mix
+
 #: Longest piece, in characters.
 PIECE = 6
 #: Characters of a word that are scored; the rest of a longer word is scored as further words.
@@ -24,43 +26,75 @@ ROUNDS = 4
 #: Expected uses that every piece has before any is seen.
 PRIOR = 0.1
 #: Words whose scores a worker keeps.
-CACHE = 300_000
+CACHE = 500_000
 UNKNOWN = "und"
 
+#: Bits of the slot that a piece's hash leads to, and the odd multiplier of those hashes.
+_SLOTS, _BASE = 20, np.uint64(0x9E3779B97F4A7C15)
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class Vocabulary(dict):
+    """Piece numbers from 1, and a hash table in arrays that finds the numbers of many pieces at once."""
+
+    def __init__(self, found: set[str]):
+        super().__init__((p, i) for i, p in enumerate(sorted(found), 1))
+        codes = np.array(sorted(found) or [""], f"<U{PIECE}").view(np.uint32).reshape(-1, PIECE).astype(np.uint64)
+        keys = np.zeros(len(codes), np.uint64)
+        for column in codes.T[::-1]:
+            keys = np.where(column > 0, column + _BASE * keys, keys)
+        keys = mix(keys)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.uint64(0))
+        self.numbers = np.append(order + 1, 0).astype(np.int32)
+        slots = self.keys[:-1] >> np.uint64(64 - _SLOTS)
+        self.starts = np.searchsorted(slots, np.arange(1 << _SLOTS, dtype=np.uint64)).astype(np.int32)
+        self.deepest = int(np.unique(slots, return_counts=True)[1].max())
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; 0 for none."""
+        keys = mix(hashes)
+        at = self.starts[keys >> np.uint64(64 - _SLOTS)]
+        out = np.zeros(keys.shape, np.int32)
+        for step in range(self.deepest):
+            near = np.minimum(at + step, len(self.keys) - 1)
+            out = np.where(self.keys[near] == keys, self.numbers[near], out)
+        return out
+
+
 @cache
-def pieces(path: str) -> dict[str, int]:
+def pieces(path: str) -> Vocabulary:
     """The public vocabulary's pieces of letters (a word starts with the mark of a space), numbered from 1."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
     found = {p for p in found if 0 < len(p) <= PIECE and (p == "▁" or _LETTERS.fullmatch(p.removeprefix("▁")))}
-    return {p: i for i, p in enumerate(sorted(found), 1)}
+    return Vocabulary(found)
 
 
 def words_of(text: str) -> list[str]:
     return [w[i:i + WORD] for w in _LETTERS.findall(text.lower()) for i in range(0, len(w), WORD)]
 
 
-def lattice(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+def lattice(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     """[word, end, length - 1]: the piece that ends there, 0 for none, -1 past the word's end.
 
     A single character outside the vocabulary is the unknown piece, the last number, so that every word
     has a segmentation.
     """
-    unknown, get = len(vocabulary) + 1, vocabulary.get
     longest = max(map(len, words), default=0) + 1
+    codes = np.array(["▁" + w for w in words], f"<U{longest}").view(np.uint32).reshape(len(words), longest).astype(np.uint64)
     out = np.zeros((len(words), longest, PIECE), np.int32)
-    for row, word in zip(out, words, strict=True):
-        marked = "▁" + word
-        ids = [get(marked[max(0, e - n):e], 0) if n <= e else 0
-               for e in range(1, len(marked) + 1) for n in range(1, PIECE + 1)]
-        row[:len(marked)] = np.reshape(ids, (-1, PIECE))
-        row[:len(marked), 0][row[:len(marked), 0] == 0] = unknown
-        row[len(marked):] = -1
+    hashes = np.zeros_like(codes)
+    for n in range(1, min(PIECE, longest) + 1):
+        # the n characters up to each end: the first one, then the hash of the n - 1 up to the same end
+        hashes = codes[:, :longest - n + 1] + _BASE * hashes[:, 1 if n > 1 else 0:]
+        out[:, n - 1:, n - 1] = vocabulary.find(hashes)
+    single = out[:, :, 0]
+    single[single == 0] = len(vocabulary) + 1
+    out[codes == 0] = -1
     return out
 
 
@@ -81,7 +115,7 @@ class Model:
     #: [piece, language]; row 0 and the last row but one stand for no piece and the unknown piece.
     chance: np.ndarray
 
-    def scores(self, words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+    def scores(self, words: list[str], vocabulary: Vocabulary) -> np.ndarray:
         """[word, language]: log-probability of each word."""
         edges = lattice(words, vocabulary)
         alpha = forward(edges, self.chance)
@@ -97,7 +131,7 @@ def _table(counts: np.ndarray) -> np.ndarray:
     return np.append(chance, 0.0)
 
 
-def learn(samples: dict[str, Counter], vocabulary: dict[str, int]) -> Model:
+def learn(samples: dict[str, Counter], vocabulary: Vocabulary) -> Model:
     """Piece probabilities of each language by expectation maximisation over all segmentations."""
     size, columns = len(vocabulary) + 2, []
     for lang in sorted(samples):
@@ -109,7 +143,7 @@ def learn(samples: dict[str, Counter], vocabulary: dict[str, int]) -> Model:
             chance = _table(used)[:, None]
             used = _expected(edges, weight, chance, size)
         columns.append(_table(used))
-    return Model(tuple(sorted(samples)), np.stack(columns, axis=1))
+    return Model(tuple(sorted(samples)), np.stack(columns, axis=1) if columns else np.zeros((size + 1, 0)))
 
 
 def _expected(edges: np.ndarray, weight: np.ndarray, chance: np.ndarray, size: int) -> np.ndarray:
@@ -134,15 +168,17 @@ def _expected(edges: np.ndarray, weight: np.ndarray, chance: np.ndarray, size: i
 
 
 def fit(labelled: DataFrame, path: str, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Model:
-    """Learn from (text, lang), at most ``docs`` documents of each language, those of least hash.
+    """Learn from (doc_id, text, lang), from about ``docs`` documents of each language.
 
-    Of these the ``words`` most frequent of each language count. Rows without text or lang are left out;
-    what reaches the driver is bounded by ``words`` times the number of languages.
+    The languages are counted first; a document is taken if its hash lies in the share that gives ``docs``
+    of its language, so the sample is the same each time and no text is shuffled. Of these the ``words`` most
+    frequent of each language count. Rows without text or lang are left out; what reaches the driver is
+    bounded by ``words`` times the number of languages.
     """
-    sample = labelled.select("text", "lang").where("text is not null and lang is not null")
-    sample = sample.withColumn("hash", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("hash")
-    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs)
+    known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("documents"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    sample = known.join(F.broadcast(counts), "lang").where(place * F.col("documents") < docs)  # one row per language
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
