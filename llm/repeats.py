@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import stored
-from llm.windows import anchor_of, contexts, mix, prefix, spans
+from llm.shared import slices, stored
+from llm.windows import anchor_of, contexts_of, mix, prefix, spans
 
 #: Distinct contexts of one anchor that an index takes.
 CROWD = 1000
@@ -62,18 +63,17 @@ def _signed(values: np.ndarray) -> pa.Array:
 def _anchors(docs: DataFrame, method: Method) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, mark = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
-            parts, count = [], []
-            for text in batch.column("text"):
-                found = contexts(method.tokens(text.as_buffer().to_pybytes()), method.size, method.k)
-                again = np.ones(len(found[0]), bool)
-                again[np.unique(found[0] ^ (found[1] * np.uint64(3)), return_index=True)[1]] = False
-                parts.append((*found, again))
-                count.append(len(again))
-            if sum(count):
-                anchor, context, first, last, again = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for part in slices(batch):
+                texts = [method.tokens(text.as_buffer().to_pybytes()) for text in part.column("text")]
+                of, anchor, context, first, last = contexts_of(texts, method.size, method.k)
+                if not len(of):
+                    continue
+                again = np.ones(len(of), bool)
+                same = mix(of.astype(np.uint64)) ^ anchor ^ (context * np.uint64(3))
+                again[np.unique(same, return_index=True)[1]] = False
+                doc, mark = part.column("doc").to_numpy(), part.column("mark").to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(anchor), _signed(context), pa.array(np.repeat(doc, count)), pa.array(np.repeat(mark, count)),
+                    [_signed(anchor), _signed(context), pa.array(doc[of]), pa.array(mark[of]),
                      pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)],
                     ["anchor", "context", "doc", "mark", "first", "last", "again"])
 
@@ -144,6 +144,9 @@ def _indexed(texts: DataFrame, method: Method) -> DataFrame:
         shard: list[pa.RecordBatch] = []
         held, anchor = 0, None
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("crowded")))
+            if not batch.num_rows:
+                continue
             anchors = batch.column("anchor").to_numpy()
             cuts = np.flatnonzero(np.diff(anchors)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
@@ -158,7 +161,7 @@ def _indexed(texts: DataFrame, method: Method) -> DataFrame:
         if shard:
             yield from mark(shard)
 
-    return texts.repartition("anchor").sortWithinPartitions("anchor", "doc", "first").mapInArrow(shards, _FOUND)
+    return texts.sortWithinPartitions("crowded", "anchor", "doc", "first").mapInArrow(shards, _FOUND)
 
 
 def _blocks(texts: DataFrame, method: Method, windows: int) -> DataFrame:
@@ -172,6 +175,7 @@ def _blocks(texts: DataFrame, method: Method, windows: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("crowded"))
             which, anchors, hashes, first, bodies = [], [], [], [], []
             for i, body in enumerate(batch.column("tokens")):
                 tokens = np.frombuffer(body.as_buffer(), kind)
@@ -201,7 +205,8 @@ def _blocks(texts: DataFrame, method: Method, windows: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
     """doc, mark, first, last: starts of windows that repeat. ``docs`` has doc, mark (its key) and text."""
     rows = _anchors(docs, method)
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # stored, so that the join deals both sides out anew and Spark can split the rows of a frequent anchor
+    often = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     kept = stored(rows.join(often, "anchor", "left_semi").withColumn("n", F.lit(1).cast("long")))
     known = _decide(kept, method.ordered)
     out = known.where("direct").select("doc", "mark", "first", "last")
@@ -211,9 +216,12 @@ def repeated_windows(docs: DataFrame, method: Method) -> DataFrame:
 
 def _settle(texts: DataFrame, method: Method, level: int) -> DataFrame:
     """Index the contexts of ordinary anchors; split those of crowded ones and settle the blocks."""
-    out = _indexed(texts.where("not crowded"), method)
+    # dealt once for both: by anchor for the indexes, crowded contexts over all tasks; the tasks tell them apart
+    deal = F.when(F.col("crowded"), F.xxhash64("doc", "first")).otherwise(F.col("anchor"))
+    texts = texts.withColumn("deal", deal).repartition("deal").drop("deal")
+    out = _indexed(texts, method)
     windows = method.levels[level]
-    blocks = _blocks(texts.where("crowded"), method, windows)
+    blocks = _blocks(texts, method, windows)
     if windows == 1:
         return out.unionByName(_counted(blocks, method))
     known = _decide(blocks, method.ordered)

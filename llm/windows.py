@@ -88,6 +88,54 @@ def contexts(tokens: np.ndarray, size: int, k: int):
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
+#: Tokens of short texts that are hashed in one go.
+TOGETHER = 1 << 17
+
+
+def contexts_of(texts: list[np.ndarray], size: int, k: int):
+    """(text number, anchor hash, context hash, first window, last window) of all texts, as arrays in order."""
+    parts, some, total = [], [], 0
+    for i, tokens in enumerate(texts):
+        if some and total + len(tokens) > TOGETHER:
+            parts.append(_together(texts, some, size, k))
+            some, total = [], 0
+        if len(tokens) > TOGETHER:
+            found = contexts(tokens, size, k)
+            parts.append((np.full(len(found[0]), i), *found))
+        elif len(tokens) >= size:
+            some.append(i)
+            total += len(tokens)
+    if some:
+        parts.append(_together(texts, some, size, k))
+    if not parts:
+        return (np.zeros(0, np.int64), *_contexts(np.zeros(0, np.uint64), size, k, 0))
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
+def _together(texts: list[np.ndarray], some: list[int], size: int, k: int):
+    """Contexts of several texts from one joined array; windows across two texts are left out."""
+    lengths = np.array([len(texts[i]) for i in some])
+    starts = np.cumsum(lengths) - lengths
+    tokens = np.concatenate([texts[i] for i in some])
+    n = len(tokens) - size + 1
+    sums = prefix(tokens)
+    grams = _grams(sums, k)
+    anchor = (_POSITION - (_least(_keys(grams), size - k + 1) & _POSITION)).astype(np.int64)
+    inside = np.ones(n + size - 1, bool)
+    for end in (starts + lengths).tolist():
+        inside[end - size + 1:end] = False
+    inside = inside[:n]
+    begins = inside.copy()
+    begins[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
+    begins[starts] = True  # an anchor of one text may be that of the last window before it
+    first = np.flatnonzero(begins)
+    stops = np.append(first[1:], n)
+    text = np.searchsorted(starts, first, "right") - 1
+    last = np.minimum(stops, (starts + lengths - size + 1)[text]) - 1
+    return (np.array(some)[text], grams[anchor[first]], spans(sums, first, last + size),
+            first - starts[text], last - starts[text])
+
+
 def _contexts(tokens: np.ndarray, size: int, k: int, offset: int):
     n = len(tokens) - size + 1
     if n < 1:
