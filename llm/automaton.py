@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.repeats import RUNS, Method, covered, keyed, repeated_windows, runs, with_starts
+from llm.shared import held
 
 #: Words of a repeated window.
 SIZE = 20
@@ -104,9 +104,8 @@ class _Hashes(dict):
         return found
 
 
-@cache
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return held("hashes", _Hashes)
 
 
 def tokens(text: bytes) -> np.ndarray:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from llm.shared import held
 from llm.windows import mix
 
 #: Longest piece, in characters.
@@ -26,7 +27,7 @@ ROUNDS = 4
 #: Expected uses that every piece has before any is seen.
 PRIOR = 0.1
 #: Words whose scores a worker keeps.
-CACHE = 500_000
+CACHE = 300_000
 UNKNOWN = "und"
 
 #: Bits of the slot that a piece's hash leads to, and the odd multiplier of those hashes.
@@ -219,9 +220,6 @@ class _Scores(dict):
         self.table = np.concatenate(parts)
 
 
-_workers: dict[int, _Scores] = {}
-
-
 def identify(docs: DataFrame, model: Model, path: str, keep: list[str] | None = None) -> DataFrame:
     """row, lang_pred, score for every row of ``docs`` (text and others); ``row`` has the columns ``keep``, or all.
 
@@ -238,10 +236,7 @@ def identify(docs: DataFrame, model: Model, path: str, keep: list[str] | None =
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _workers:
-            _workers.clear()
-            _workers[number] = _Scores(shipped.value, path)
-        scores, langs = _workers[number], shipped.value.langs
+        scores, langs = held(("scores", number), lambda: _Scores(shipped.value, path)), shipped.value.langs
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from llm.shared import slices
+from llm.shared import held, slices
 
 #: Words and pre-tokens that a worker keeps in each of two generations.
-CACHE = 450_000
+CACHE = 300_000
 #: Longer chunks are not kept.
 LONGEST = 64
 
@@ -138,7 +138,6 @@ class Words(dict):
             yield part, [list(map(self.__getitem__, text)) for text in texts]
 
 
-@cache
 def words(path: str) -> Words:
     """The table of this worker process."""
-    return Words(path)
+    return held(("words", path), lambda: Words(path))
