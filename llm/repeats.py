@@ -98,8 +98,9 @@ def _decide(rows: DataFrame, ordered: bool) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFrame:
-    """The tokens of the wanted contexts, read from their documents."""
-    lists = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct(
+    """The tokens of the wanted contexts, read from their documents; once for each of several equal rows."""
+    # a set: equal rows want the same contexts, and each of them meets the whole list
+    lists = wanted.groupBy("doc", "mark").agg(F.collect_set(F.struct(
         "anchor", "context", "first", "last", "total", "crowded")).alias("wanted"))
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +120,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, method: Method) -> DataFrame:
 
 
 def _indexed(texts: DataFrame, method: Method) -> DataFrame:
-    """Windows that repeat, found by an index over each shard of whole anchors."""
+    """Windows that repeat, found by an index over each shard of whole anchors.
+
+    Rows of one doc and mark are equal and share what is found, so their contexts enter an index once:
+    a second one would find the first there and both rows would lose the words.
+    """
     kind = np.dtype(method.kind)
 
     def mark(shard: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +147,17 @@ def _indexed(texts: DataFrame, method: Method) -> DataFrame:
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[pa.RecordBatch] = []
-        held, anchor = 0, None
+        held, anchor, last = 0, None, None
         for batch in batches:
             batch = batch.filter(pc.invert(batch.column("crowded")))
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("anchor", "doc", "mark", "first")])
+            fresh = np.ones(batch.num_rows, bool)
+            fresh[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+            fresh[0] = last is None or bool((keys[:, 0] != last).any())
+            last = keys[:, -1]
+            batch = batch.filter(pa.array(fresh))
             if not batch.num_rows:
                 continue
             anchors = batch.column("anchor").to_numpy()
@@ -161,7 +174,7 @@ def _indexed(texts: DataFrame, method: Method) -> DataFrame:
         if shard:
             yield from mark(shard)
 
-    return texts.sortWithinPartitions("crowded", "anchor", "doc", "first").mapInArrow(shards, _FOUND)
+    return texts.sortWithinPartitions("crowded", "anchor", "doc", "mark", "first").mapInArrow(shards, _FOUND)
 
 
 def _blocks(texts: DataFrame, method: Method, windows: int) -> DataFrame:

@@ -66,6 +66,43 @@ def test_hard_rows_and_empty_tables(hard_docs, module):
     assert module.digests(module.remove_repeats(hard_docs.limit(0))).collect() == []
 
 
+def brute_rows(rows, size=automaton.SIZE):
+    """(doc_id, words, removed words, hash of the rest) of rows with null and repeated ids: earlier is a smaller id, or a start before in the row."""
+    order = lambda r: float("inf") if r.doc_id is None else r.doc_id
+    least, out = {}, []
+    split = [(r.text or "").encode().split() for r in rows]
+    for r, words in zip(rows, split, strict=True):
+        for i in range(len(words) - size + 1):
+            window = tuple(words[i:i + size])
+            least[window] = min(least.get(window, order(r)), order(r))
+    for r, words in zip(rows, split, strict=True):
+        gone, seen = np.zeros(len(words), bool), set()
+        for i in range(len(words) - size + 1):
+            window = tuple(words[i:i + size])
+            if window in seen or least[window] < order(r):
+                gone[i:i + size] = True
+            seen.add(window)
+        out.append((r.doc_id, len(words), int(gone.sum()), hashlib.sha256(b" ".join(_cut(words, gone))).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_repeated_rows_keep_what_no_earlier_document_has(monkeypatch, hard_docs, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    for docs in (hard_docs, hard_docs.unionByName(hard_docs)):
+        found = sorted((tuple(r) for r in automaton.digests(automaton.remove_repeats(docs)).collect()), key=str)
+        assert found == brute_rows(docs.select("doc_id", "text").collect())
+
+
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_repeated_bytes_of_repeated_rows(monkeypatch, hard_docs, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    rows = hard_docs.select("doc_id", "text").collect()
+    found = sorted((tuple(r) for r in run_index.digests(run_index.remove_repeats(hard_docs)).collect()), key=str)
+    expected = zip([r.doc_id for r in rows], brute_bytes([r.text or "" for r in rows]), strict=True)
+    assert found == sorted(((i, *x) for i, x in expected), key=str)
+
+
 def test_copies(spark):
     text = " ".join(f"word{i}" for i in range(100))
     docs = spark.createDataFrame([(1, text), (2, text), (3, text + " more"), (None, text), (4, text), (4, text)], "doc_id long, text string")
