@@ -109,7 +109,7 @@ def _corpus(index: Index, field: str) -> tuple[Column, Column]:
 def rank(index: Index, terms: list[str], k: int | None = None, field: str = "content") -> DataFrame:
     """``id, score`` of the documents with all terms, the best ``k`` by BM25.
 
-    Ties go to the smaller id. Without ``k`` every match is returned.
+    Ties go to the smaller id. Without ``k`` every match is returned, in no order.
     """
     wanted = sorted(set(terms))
     # One row per distinct term of the request, so always small enough to broadcast.

@@ -61,7 +61,8 @@ def test_analyser(spark):
 
 
 def test_rank(index):
-    assert rows(S.rank(index, ["red", "fox"])) == bm25(["red", "fox"])
+    assert rows(S.rank(index, ["red", "fox"], 10)) == bm25(["red", "fox"])
+    assert sorted(rows(S.rank(index, ["red", "fox"]))) == sorted(bm25(["red", "fox"]))
     assert rows(S.rank(index, ["red", "fox"], 1)) == bm25(["red", "fox"])[:1]
     assert rows(S.rank(index, ["absent", "fox"])) == []
 
@@ -70,7 +71,7 @@ def test_rank_batch(spark, heat, index):
     asked = {1: "Red fox", 2: "fox RED red", 3: "absent fox", 4: "", 5: "fox", 6: "the"}
     queries = spark.createDataFrame(list(asked.items()), "query_id long, q string")
     got = {}
-    for query, doc, score, rank in sorted(rows(S.rank_batch(queries, index))):
+    for query, doc, score, rank in sorted(rows(S.rank_batch(queries, index, 200))):
         got.setdefault(query, []).append((rank, doc, score))
     expected = {q: [(n + 1, *hit) for n, hit in enumerate(bm25(t))] for q, t in {
         1: ["red", "fox"], 2: ["red", "fox"], 5: ["fox"]}.items()}
@@ -94,11 +95,11 @@ def test_written_index(spark, corpus, index):
     path = new_folder(spark, "index")
     X.write_index(corpus, path, ("content",))
     stored = X.read_index(spark, path)
-    assert rows(S.rank(stored, ["red", "fox"])) == bm25(["red", "fox"])
+    assert rows(S.rank(stored, ["red", "fox"], 10)) == bm25(["red", "fox"])
     assert sorted(rows(S.match_phrase(stored.positions, ["red", "fox"]))) == [(0,), (2,), (5,)]
     for batch in (0, 1, 1):
         X.append_index(corpus.filter(F.col("id") % 2 == batch), path + "-b", batch, ("content",))
-    assert rows(S.rank(X.read_appended_index(spark, path + "-b"), ["red", "fox"])) == bm25(["red", "fox"])
+    assert rows(S.rank(X.read_appended_index(spark, path + "-b"), ["red", "fox"], 10)) == bm25(["red", "fox"])
 
 
 @pytest.fixture(scope="module")
@@ -150,7 +151,7 @@ def test_pages_make_up_the_whole(many):
     assert len(seen) == len(set(seen)) == 125 == S.hits(index, pages, "word", domain="h1").count()
     assert S.search(index, pages, "word", 9, 60).count() == 0
     by_date = [r.id for r in S.search(index, pages, "word", sort_by="date_desc").collect()]
-    assert by_date == list(range(199, 189, -1))
+    assert by_date == list(range(249, 239, -1))
     plain = rows(S.search(index, pages, "word"))
     assert rows(S.search(index, pages, "word", sort_by="what")) == plain
 
@@ -263,7 +264,7 @@ def test_image_search_scans_only_the_first(spark):
     images = spark.range(150).select(
         "id", F.concat(F.lit("http://i/"), "id").alias("url"), F.lit("").alias("alt_text"), F.lit("").alias("title"),
         F.lit("").alias("source_url"), F.when(F.col("id") > 99, "red").alias("dominant_color"))
-    assert I.image_search(images, "http", 200).count() == 100
+    assert I.image_search(images, "http", 200, cap=100).count() == 100
     first = I.image_search(images, "http").collect()
     assert len(first) == 12 and first[0].title == first[0].alt_text == "Indexed Image"
     facets = {r.facet: r.images for r in I.colour_facets(images).collect()}
