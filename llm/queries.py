@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import automaton, chat, decontaminate, run_index
+from llm import alignment, automaton, chat, decontaminate, lexical_search, run_index, url_filter
 from llm.block_labeller import extract
 from llm.language import predict
 from llm.order_minhash import fingerprint_edits
@@ -61,6 +61,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.digests(automaton.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignments(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_chat_formatting": op1_chat_formatting,
@@ -73,8 +86,13 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_url_filters": op13_url_filters,
 }
 SQL: dict[str, str] = {
     "op1_chat_formatting": chat.DIGEST_SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op11_ranked_lexical_search": lexical_search.SQL,
+    "op13_url_filters": url_filter.SQL,
 }
