@@ -2,14 +2,22 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetrawl.functions.text import analyse
+from pagetrawl.plans.deltas import Counts
 from pagetrawl.sources.tables import write_batch
 
 TEXT_FIELDS = ("title", "content", "snippet")
 
+_TERM_COUNTS = T.StructType([
+    T.StructField("field", T.StringType()), T.StructField("term", T.StringType()),
+    T.StructField("df", T.LongType()), T.StructField("cf", T.LongType())])
+_FIELD_COUNTS = T.StructType([
+    T.StructField("field", T.StringType()), T.StructField("docs", T.LongType()), T.StructField("length", T.LongType())])
+
 
 @dataclass(frozen=True)
 class Index:
@@ -113,31 +121,67 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{t}") for t in tables))
 
 
+def _term_counts(path: str) -> Counts:
+    """Documents and occurrences per term of an appended index, kept by batch."""
+    return Counts(f"{path}/term_counts", _TERM_COUNTS, ["field", "term"])
+
+
+def _field_counts(path: str) -> Counts:
+    """Documents and their total length per field of an appended index, kept by batch."""
+    return Counts(f"{path}/field_counts", _FIELD_COUNTS, ["field"])
+
+
 def append_index(pages: DataFrame, path: str, batch: int, fields=TEXT_FIELDS) -> None:
     """The index tables of a batch of pages, one row per id, new or refreshed.
 
-    A page that an earlier batch holds is replaced: its id goes to the narrow
-    table of dead entries, and readers leave those out. Only earlier batches are
-    looked at and writing a batch again replaces it, so a repeated batch changes
-    nothing. Statistics of an appended index are counted when it is read; see
-    :func:`compact_index` for a copy that has them stored.
+    A page that an earlier batch holds is replaced: its entry goes to the narrow
+    table of dead entries, and readers leave it out. Statistics are kept as changes
+    per batch: the terms of its pages count up, those of the entries that
+    it replaces count down, for which only the batches with such entries are read.
+    Only earlier batches are looked at and writing a batch again replaces it, so a
+    repeated batch changes nothing.
     """
     spark = pages.sparkSession
 
-    def write(df: DataFrame, table: str) -> None:
+    def write(df: DataFrame, table: str) -> DataFrame:
         write_batch(df, f"{path}/{table}", batch)
+        return spark.read.parquet(f"{path}/{table}/batch_id={batch}")
 
-    write(_by_term(postings(pages, fields)), "postings")
-    write(doc_lengths(pages, fields), "doc_len")
+    new = write(_by_term(postings(pages, fields)), "postings")
+    lengths = write(doc_lengths(pages, fields), "doc_len")
     write(_by_term(positions(pages, fields)), "positions")
-    write(pages.select("id"), "entries")
-    ids = spark.read.parquet(f"{path}/entries/batch_id={batch}")
+    ids = write(pages.select("id"), "entries")
     entries = spark.read.parquet(f"{path}/entries").filter(F.col("batch_id") < batch)
-    write(entries.join(ids, "id", "left_semi").select("id", F.col("batch_id").alias("old_batch")), "dead")
+    replaced = entries.join(ids, "id", "left_semi").groupBy("id").agg(F.max("batch_id").alias("old_batch"))
+    dead = write(replaced, "dead")
+    batches = [r.old_batch for r in dead.select("old_batch").distinct().collect()]  # at most as many as there are folders
+
+    def gone(table: str) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{table}").filter(F.col("batch_id").isin(batches))
+        return rows.join(dead.withColumnRenamed("old_batch", "batch_id"), ["id", "batch_id"], "left_semi")
+
+    def changes(rows: DataFrame, old: str, keys: list[str], **values: Column) -> DataFrame:
+        up = rows.select(*keys, *(v.cast("bigint").alias(n) for n, v in values.items()))
+        if not batches:
+            return up
+        return up.unionByName(gone(old).select(*keys, *((-v.cast("bigint")).alias(n) for n, v in values.items())))
+
+    one = F.lit(1)
+    _term_counts(path).write(changes(new, "postings", ["field", "term"], df=one, cf=F.col("tf")), batch)
+    _field_counts(path).write(changes(lengths, "doc_len", ["field"], docs=one, length=F.col("dl")), batch)
+
+
+def fold_index_statistics(spark: SparkSession, path: str, upto: int) -> None:
+    """The statistics of all batches up to ``upto`` added up once, so that readers add up fewer tables."""
+    _term_counts(path).fold(spark, upto)
+    _field_counts(path).fold(spark, upto)
 
 
 def read_appended_index(spark: SparkSession, path: str) -> Index:
-    """An index written batch by batch, with the newest entry of every page."""
+    """An index written batch by batch, with the newest entry of every page.
+
+    Statistics are the added-up changes of the batches: no posting is read for them.
+    """
     dead = spark.read.parquet(f"{path}/dead").select("id", "old_batch").distinct()
 
     def live(table: str) -> DataFrame:
@@ -145,8 +189,9 @@ def read_appended_index(spark: SparkSession, path: str) -> Index:
         gone = (rows["id"] == dead["id"]) & (rows["batch_id"] == dead["old_batch"])
         return rows.join(dead, gone, "left_anti").drop("batch_id")
 
-    table, lengths = live("postings"), live("doc_len")
-    return Index(table, lengths, term_stats(table), live("positions"), corpus_stats(lengths))
+    corpus = _field_counts(path).read(spark).filter("docs > 0").select(
+        "field", "docs", (F.col("length") / F.col("docs")).alias("average"))
+    return Index(live("postings"), live("doc_len"), _term_counts(path).read(spark), live("positions"), corpus)
 
 
 def compact_index(spark: SparkSession, path: str, to: str) -> None:

@@ -45,6 +45,16 @@ def write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
 
 
+def read_if_there(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
+    """The table at ``path``, None if it does not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_batches(spark: SparkSession, schema: T.StructType, path: str, before: int | None = None,
                  keep_batch: bool = False) -> DataFrame:
     """A table written batch by batch, or its batches before ``before``.
@@ -52,11 +62,8 @@ def read_batches(spark: SparkSession, schema: T.StructType, path: str, before: i
     A table that does not exist yet is empty. The batch condition prunes folders.
     """
     batched = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
-    try:
-        df = spark.read.schema(batched).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    df = read_if_there(spark, batched, path)
+    if df is None:
         return spark.createDataFrame([], batched if keep_batch else schema)
     if before is not None:
         df = df.filter(F.col("batch_id") < before)
