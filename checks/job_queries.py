@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from checks import bindings as B
 from pagetrawl import schemas
+from pagetrawl.operators.current import current_rows, lookup, write_keyed
 from pagetrawl.operators.history import recent_history
-from pagetrawl.plans.ingest import ingest_batch, stored_images, stored_links, stored_pages
+from pagetrawl.operators.known import absent, fold_keys, keys_read, write_keys
+from pagetrawl.plans.ingest import fold_tables, ingest_batch, link_counts, stored_images, stored_links, stored_pages
 from pagetrawl.plans.lineage import new_folder
 from pagetrawl.sources import tables
 from pagetrawl.sources.tables import read_batches, stream_raw
@@ -80,8 +82,79 @@ def stream_history(spark, sf):
     return newest.select("session_id", "query", "timestamp")
 
 
+def _thirds(spark, sf):
+    """All pages ingested in three batches, the first two folded, the last one repeated."""
+    def run(to):
+        for batch in (0, 1, 2, 2):
+            if batch == 2:
+                fold_tables(spark, to, 1, index=False)
+            ingest_batch(B.raw(spark, sf).filter(F.col("page_id") % 3 <= batch), to, batch, index=False, now=float(batch))
+
+    return B.stored(spark, sf, "thirds", run)
+
+
+def ingest_link_counts(spark, sf):
+    """Backlinks per target, as the batches left them."""
+    return link_counts(_thirds(spark, sf)).read(spark)
+
+
+def ingest_in_batches(spark, sf):
+    """Every page once, at the time of the first batch that had it."""
+    return stored_pages(spark, _thirds(spark, sf)).select("id", "title", "content", "indexed_time")
+
+
+def _versions(spark, sf):
+    """Three batches of a keyed log: all pages, every other one newer, every fifth one older."""
+    pages = B.pages(spark, sf).withColumns({
+        "indexed_at": F.lit(""), "backlinks": F.lit(0).cast("long")})
+    numbered = pages.join(B.raw(spark, sf).select("url", "page_id"), "url")
+
+    def run(to):
+        for batch, step, time in ((0, 1, 5.0), (1, 2, 9.0), (1, 2, 9.0), (2, 5, 1.0)):
+            some = numbered.filter(F.col("page_id") % step == 0).withColumns({
+                "title": F.lit(f"batch {batch}"), "indexed_time": F.lit(time)})
+            write_keyed(some, to, batch, schemas.PAGES)
+
+    return B.stored(spark, sf, "keyed", run)
+
+
+def pages_keyed(spark, sf):
+    """The newest version of every page, read from its bucket."""
+    return current_rows(spark, _versions(spark, sf), schemas.PAGES).select("id", "url", "title", "content", "indexed_time")
+
+
+def page_lookup(spark, sf):
+    """Pages by id, from the buckets of these ids alone."""
+    ids = [r.id for r in B.page_keys(spark, sf).filter("page_id in (1, 2, 10)").select("id").collect()]
+    return lookup(spark, _versions(spark, sf), schemas.PAGES, ids).select("id", "title", "indexed_time")
+
+
+def _known(spark, sf):
+    """Keys of the pages with a number that two or three divides, in three batches, of which two are folded."""
+    keys = B.page_keys(spark, sf)
+
+    def run(to):
+        for batch, step in enumerate((2, 3, 6)):
+            write_keys(keys.filter(F.col("page_id") % step == 0), to, batch)
+        fold_keys(spark, to, 1)
+
+    return B.stored(spark, sf, "known", run)
+
+
+def pages_absent(spark, sf):
+    """Pages whose key is not stored, told by the Bloom filters and an exact look at what these show."""
+    return absent(B.page_keys(spark, sf), _known(spark, sf)).select("page_id", "id")
+
+
+def keys_compared(spark, sf):
+    """How many stored keys a look for keys that are all stored has to compare: all of them."""
+    asked = B.page_keys(spark, sf).filter("page_id % 2 = 0 or page_id % 3 = 0")
+    return keys_read(asked, _known(spark, sf))
+
+
 QUERIES = {f.__name__: f for f in (
-    stream_ingest, stream_links, read_pages, read_backlinks, stream_runs, ingest_replayed, ingest_images, stream_history)}
+    stream_ingest, stream_links, read_pages, read_backlinks, stream_runs, ingest_replayed, ingest_images, stream_history,
+    ingest_link_counts, ingest_in_batches, pages_keyed, page_lookup, pages_absent, keys_compared)}
 
 SQL = {
     "stream_ingest": f"""WITH {B.PAGES_SQL} SELECT id, url, title, content, snippet, CAST(0 AS BIGINT) AS backlinks FROM p""",
@@ -98,4 +171,15 @@ SQL = {
     "stream_history": f"""WITH {B.HISTORY_SQL}, r AS (SELECT *, row_number() OVER (
         PARTITION BY session_id ORDER BY "timestamp" DESC, id) AS k FROM hi)
         SELECT session_id, query, "timestamp" FROM r WHERE k <= 20""",
+    "ingest_link_counts": f"""WITH {B.REAL_LINKS_SQL} SELECT target_url, count(*) AS backlinks FROM r
+        WHERE source_url <> target_url GROUP BY target_url""",
+    "ingest_in_batches": f"""WITH {B.PAGES_SQL} SELECT id, title, content, CAST(page_id % 3 AS DOUBLE) AS indexed_time FROM p""",
+    "pages_keyed": f"""WITH {B.PAGES_SQL} SELECT id, url, CASE page_id % 2 WHEN 0 THEN 'batch 1' ELSE 'batch 0' END AS title,
+        content, CASE page_id % 2 WHEN 0 THEN 9.0::DOUBLE ELSE 5.0::DOUBLE END AS indexed_time FROM p""",
+    "page_lookup": """SELECT sha256(url) AS id, CASE page_id WHEN 1 THEN 'batch 0' ELSE 'batch 1' END AS title,
+        CASE page_id WHEN 1 THEN 5.0::DOUBLE ELSE 9.0::DOUBLE END AS indexed_time FROM pages WHERE page_id IN (1, 2, 10)""",
+    "pages_absent": "SELECT page_id, sha256(url) AS id FROM pages WHERE page_id % 2 <> 0 AND page_id % 3 <> 0",
+    "keys_compared": """WITH k AS (SELECT count(DISTINCT page_id) AS n FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0),
+        s AS (SELECT count(*) AS n FROM pages WHERE page_id % 6 = 0)
+        SELECT k.n + s.n AS keys_read, k.n + s.n AS keys_stored FROM k, s""",
 }

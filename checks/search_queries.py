@@ -143,6 +143,13 @@ def index_refreshed(spark, sf):
         "id", "tf", "df", "score")
 
 
+def index_statistics(spark, sf):
+    """Statistics of every term after half the pages were replaced, added up from the batches' changes."""
+    index = I.read_appended_index(spark, _refreshed(spark, sf))
+    corpus = index.corpus.select("field", "docs", F.round("average", 9).alias("average"))
+    return index.term_stats.join(F.broadcast(corpus), "field").select("term", "df", "cf", "docs", "average")
+
+
 def index_compacted(spark, sf):
     path = B.stored(spark, sf, "compacted-index", lambda to: I.compact_index(spark, _refreshed(spark, sf), to))
     return S.rank(I.read_index(spark, path), ["was", "ther"])
@@ -296,7 +303,7 @@ def prefix_suggest(spark, sf):
 QUERIES = {f.__name__: f for f in (
     term_stats, doc_len, postings, positions, field_terms, match_all, match_any, match_none, match_phrase,
     match_phrase_repeated, match_prefix, match_wildcard, match_field, number_range, rank_bm25, rank_all, rank_batch,
-    rank_structured, rank_passages, index_appended, index_refreshed, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
+    rank_structured, rank_passages, index_appended, index_refreshed, index_statistics, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
     substring_search, refine, sort_date_desc, sort_date_asc, sort_backlinks_desc, sort_likes_desc, sort_unknown,
     sort_local, top_liked, paginate, highlight, project_hits, suggest, spell_correct, spell_correct_always,
@@ -380,6 +387,8 @@ SQL = {
     "number_range": f"WITH {B.SCORED_SQL} SELECT id, backlinks FROM s WHERE backlinks BETWEEN 2 AND 4",
     "rank_bm25": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc",
     "index_appended": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc",
+    "index_statistics": f"""WITH {_C} SELECT term, df, cf, (SELECT count(*) FROM dl) AS docs,
+        round((SELECT avg(dl) FROM dl), 9) AS average FROM ts""",
     "index_refreshed": f"""WITH {_C}, {_one_query(['was', 'ther'])}
         SELECT po.id, tf, df, score FROM po JOIN ts USING (term) LEFT JOIN sc ON sc.id = po.id WHERE term = 'was'""",
     "index_compacted": f"WITH {_C}, {_one_query(['was', 'ther'])} SELECT * FROM sc",

@@ -26,6 +26,11 @@ BACKLINKS = T.StructType([
     T.StructField("created_at", T.DoubleType()),
 ])
 
+LINK_COUNTS = T.StructType([
+    T.StructField("target_url", T.StringType()),
+    T.StructField("backlinks", T.LongType()),
+])
+
 IMAGES = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("url", T.StringType()),
