@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import bindings as B
 from pagetrawl import schemas
 from pagetrawl.operators.current import current_rows, lookup, write_keyed
-from pagetrawl.operators.history import recent_history
+from pagetrawl.operators.history import append_history, clear_sessions, read_history, recent_history
 from pagetrawl.operators.known import absent, fold_keys, keys_read, write_keys
 from pagetrawl.plans.ingest import fold_tables, ingest_batch, link_counts, stored_images, stored_links, stored_pages
 from pagetrawl.plans.lineage import new_folder
@@ -82,6 +82,21 @@ def stream_history(spark, sf):
     return newest.select("session_id", "query", "timestamp")
 
 
+def history_without_cleared(spark, sf):
+    """Every other event as searches, some sessions cleared twice over, then the rest of the events."""
+    history = B.history(spark, sf)
+    sessions = history.filter(F.col("session_id").cast("long") % 3 == 0)
+
+    def run(to):
+        for batch in (0, 1):
+            append_history(history.filter(F.col("id").cast("long") % 2 == batch), to, batch)
+            if batch == 0:
+                for _ in range(2):
+                    clear_sessions(sessions, to, 0, upto=0)
+
+    return read_history(spark, B.stored(spark, sf, "cleared-later", run)).select("session_id", "query", "timestamp")
+
+
 def _thirds(spark, sf):
     """All pages ingested in three batches, the first two folded, the last one repeated."""
     def run(to):
@@ -154,7 +169,7 @@ def keys_compared(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     stream_ingest, stream_links, read_pages, read_backlinks, stream_runs, ingest_replayed, ingest_images, stream_history,
-    ingest_link_counts, ingest_in_batches, pages_keyed, page_lookup, pages_absent, keys_compared)}
+    history_without_cleared, ingest_link_counts, ingest_in_batches, pages_keyed, page_lookup, pages_absent, keys_compared)}
 
 SQL = {
     "stream_ingest": f"""WITH {B.PAGES_SQL} SELECT id, url, title, content, snippet, CAST(0 AS BIGINT) AS backlinks FROM p""",
@@ -171,6 +186,8 @@ SQL = {
     "stream_history": f"""WITH {B.HISTORY_SQL}, r AS (SELECT *, row_number() OVER (
         PARTITION BY session_id ORDER BY "timestamp" DESC, id) AS k FROM hi)
         SELECT session_id, query, "timestamp" FROM r WHERE k <= 20""",
+    "history_without_cleared": f"""WITH {B.HISTORY_SQL} SELECT session_id, query, "timestamp" FROM hi
+        WHERE NOT (CAST(session_id AS BIGINT) % 3 = 0 AND CAST(id AS BIGINT) % 2 = 0)""",
     "ingest_link_counts": f"""WITH {B.REAL_LINKS_SQL} SELECT target_url, count(*) AS backlinks FROM r
         WHERE source_url <> target_url GROUP BY target_url""",
     "ingest_in_batches": f"""WITH {B.PAGES_SQL} SELECT id, title, content, CAST(page_id % 3 AS DOUBLE) AS indexed_time FROM p""",

@@ -258,6 +258,15 @@ def paginate(spark, sf):
     return S.paginate(S.sort_hits(B.page_keys(spark, sf)), 3, 10).select("id", "url")
 
 
+def page_after(spark, sf):
+    """The third page of the most linked pages, found from the last row of the second."""
+    pages = B.scored_pages(spark, sf)
+    cursor = None
+    for _ in range(2):
+        cursor = S.cursor_of(S.page_after(pages, cursor, "backlinks_desc").collect()[-1], "backlinks_desc")
+    return S.page_after(pages, cursor, "backlinks_desc").select("id", "backlinks")
+
+
 def highlight(spark, sf):
     cut = B.corpus(spark, sf).select("id", S.highlight("content", ["ther", "de"]).alias("snippet"))
     return cut.filter("snippet <> ''")
@@ -306,7 +315,7 @@ QUERIES = {f.__name__: f for f in (
     rank_structured, rank_passages, index_appended, index_refreshed, index_statistics, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
     substring_search, refine, sort_date_desc, sort_date_asc, sort_backlinks_desc, sort_likes_desc, sort_unknown,
-    sort_local, top_liked, paginate, highlight, project_hits, suggest, spell_correct, spell_correct_always,
+    sort_local, top_liked, paginate, page_after, highlight, project_hits, suggest, spell_correct, spell_correct_always,
     prefix_suggest)}
 
 _C = B.CORPUS_SQL
@@ -443,6 +452,7 @@ SQL = {
     "sort_unknown": _sorted("id"),
     "sort_local": f"""WITH {B.SCORED_SQL} SELECT id, likes FROM s ORDER BY coalesce(likes, 0) DESC, id LIMIT 10""",
     "top_liked": f"""WITH {B.SCORED_SQL} SELECT id, likes FROM s ORDER BY coalesce(likes, 0) DESC, id LIMIT 10""",
+    "page_after": f"""WITH {B.SCORED_SQL} SELECT id, backlinks FROM s ORDER BY backlinks DESC, id LIMIT 10 OFFSET 20""",
     "paginate": f"WITH {B.KEYS_SQL} SELECT id, url FROM p ORDER BY id LIMIT 10 OFFSET 20",
     "highlight": r"""WITH c AS (SELECT doc_id AS id, regexp_extract(text,
         '(?is)((?:.{0,79}[^\p{L}\p{N}]|^)(?:ther|de)(?:[^\p{L}\p{N}].{0,79}|$))', 1) AS cut FROM documents)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pagetrawl.functions.text import falsy
 from pagetrawl.functions.times import calendar_text, epoch_now, next_run
 from pagetrawl.operators.store import without_keys
-from pagetrawl.plans.skew import top_n
+from pagetrawl.plans.skew import salted_join, top_n
 from pagetrawl.schemas import (
-    DEFAULT_INTERVAL, DEFAULT_START_URL, HISTORY, HISTORY_LIMIT, MRU_LIMIT, RUNS_LIMIT,
+    CLEARED, DEFAULT_INTERVAL, DEFAULT_START_URL, HISTORY, HISTORY_LIMIT, MRU_LIMIT, RUNS_LIMIT,
 )
 from pagetrawl.sources.tables import read_batches, write_batch
 
@@ -31,6 +31,29 @@ def write_cleared(spark: SparkSession, path: str, sessions: DataFrame, to: str)
     write_batch(kept.select(*HISTORY.fieldNames()), to, 0)
 
 
+def clear_sessions(sessions: DataFrame, path: str, batch: int, upto: int) -> None:
+    """Deletes the searches of the listed sessions in batches up to ``upto`` of the history at ``path``.
+
+    Only a narrow table of cleared sessions is written, as its batch ``batch``; :func:`read_history` leaves
+    their searches out. Searches of later batches stay, and a repeated batch replaces itself.
+    """
+    rows = sessions.select("session_id").filter("session_id is not null").distinct().withColumn("upto", F.lit(upto).cast("long"))
+    write_batch(rows, f"{path}-cleared", batch)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history at ``path`` without what was cleared."""
+    searches = read_batches(spark, HISTORY, path, keep_batch=True)
+    cleared = read_batches(spark, CLEARED, f"{path}-cleared").groupBy("session_id").agg(F.max("upto").alias("upto"))
+    known = salted_join(searches, cleared, "session_id", "left", salt_by="id")
+    return known.filter("upto is null or batch_id > upto").select(*HISTORY.fieldNames())
+
+
+def compact_history(spark: SparkSession, path: str, to: str, batch: int = 0) -> None:
+    """The history at ``path`` as batch ``batch`` of a new one at ``to``, without what was cleared; later batches go there."""
+    write_batch(read_history(spark, path), to, batch)
+
+
 def recent_history(history: DataFrame, n: int = HISTORY_LIMIT) -> DataFrame:
     """The newest ``n`` searches of every session; a missing time counts as 0."""
     timed = history.withColumn("timestamp", F.coalesce("timestamp", F.lit(0.0)))

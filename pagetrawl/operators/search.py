@@ -304,6 +304,55 @@ def paginate(df: DataFrame, page: int = 1, limit: int = PAGE_SIZE) -> DataFrame:
     return df.offset((page - 1) * limit).limit(limit)
 
 
+#: The value that a sort name orders by, where a row has none.
+_SORT_FIELDS = {"date_desc": ("indexed_time", 0.0), "date_asc": ("indexed_time", 0.0), "backlinks_desc": ("backlinks", 0), "likes_desc": ("likes", 0)}
+
+
+def cursor_of(row, by: str | None = None) -> dict:
+    """Where a row stands in the order of a sort name: what :func:`page_after` continues after."""
+    fields = row.asDict()
+    place = {n: fields[n] for n in ("score", "id") if n in fields}
+    if by in _SORT_FIELDS:
+        name, missing = _SORT_FIELDS[by]
+        place["key"] = missing if fields[name] is None else fields[name]
+    return place
+
+
+def _later(value: Column, place, descending: bool) -> Column:
+    """Rows behind a place in one sort key: nulls come last if it descends, else first, as Spark sorts them."""
+    if place is None:
+        return F.lit(False) if descending else value.isNotNull()
+    return ((value < place) | value.isNull()) if descending else F.coalesce(value > place, F.lit(False))
+
+
+def page_after(df: DataFrame, cursor: dict | None = None, by: str | None = None, limit: int = PAGE_SIZE) -> DataFrame:
+    """The ``limit`` rows that follow ``cursor`` in the order of a sort name; the first ones without a cursor.
+
+    Rows up to the cursor are left out by a condition, so that a page far behind costs no more than
+    the first: each task keeps its own best ``limit`` rows and nothing is sorted as a whole. Ids are
+    distinct; equal keys and scores go by id, so no row is shown twice or missed.
+    """
+    if cursor is not None:
+        keys = [("id", F.col("id"), False)]
+        if "score" in df.columns:
+            keys.insert(0, ("score", F.col("score"), True))
+        if by in _SORT_FIELDS:
+            name, missing = _SORT_FIELDS[by]
+            keys.insert(0, ("key", F.coalesce(F.col(name), F.lit(missing)), by != "date_asc"))
+        after, level = F.lit(False), F.lit(True)
+        for name, value, descending in keys:
+            after = after | (level & _later(value, cursor[name], descending))
+            level = level & value.eqNullSafe(F.lit(cursor[name]))
+        df = df.filter(after)
+    return sort_hits(df, by).limit(limit)
+
+
+def search_after(index: Index, pages: DataFrame, q: str, cursor: dict | None = None, limit: int = PAGE_SIZE,
+                 sort_by: str | None = None, **filters) -> DataFrame:
+    """The rows of the answer to a query that follow ``cursor``, unprojected; see :func:`cursor_of`."""
+    return page_after(hits(index, pages, q, **filters), cursor, sort_by, limit)
+
+
 def top_liked(pages: DataFrame, n: int = PAGE_SIZE) -> DataFrame:
     """The most liked pages."""
     return sort_hits(pages, "likes_desc").limit(n)

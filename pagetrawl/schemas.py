@@ -48,6 +48,11 @@ HISTORY = T.StructType([
     T.StructField("timestamp", T.DoubleType()),
 ])
 
+CLEARED = T.StructType([
+    T.StructField("session_id", T.StringType()),
+    T.StructField("upto", T.LongType()),
+])
+
 SEEDS = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("url", T.StringType()),

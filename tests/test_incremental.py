@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetrawl.operators import current as C
+from pagetrawl.operators import history as H
 from pagetrawl.operators import index as X
 from pagetrawl.operators import known as K
+from pagetrawl.operators import search as S
 from pagetrawl.operators.graph import backlink_counts, backlinks_as_of
 from pagetrawl.operators.store import latest_pages, new_pages, page_detail
 from pagetrawl.plans import ingest as I
@@ -225,3 +227,47 @@ def test_backlinks_follow_the_batches(spark):
     assert links.count() == links.select("id").distinct().count() and pages.count() == len({p[0] for some in batches for p in some})
     one = pages.first()
     assert rows(I.stored_page_detail(spark, root, [one.id])) == [tuple(one)]
+
+
+# --- Cleared sessions and paging by key -----------------------------------------------------
+
+
+def test_cleared_sessions(spark):
+    path, to = new_folder(spark, "history"), new_folder(spark, "compacted")
+
+    def append(batch, *found, at=None):
+        H.append_history(spark.createDataFrame([(s, f"q{i}", float(i)) for i, s in enumerate(found)], "session_id string, query string, timestamp double"), at or path, batch)
+
+    def left(at=None):
+        return sorted((r.session_id or "", r.query) for r in H.read_history(spark, at or path).collect())
+
+    append(0, "a", "b", None, "a")
+    assert len(left()) == 4
+    for _ in range(2):
+        H.clear_sessions(spark.createDataFrame([("a",), ("z",), (None,), ("a",)], "session_id string"), path, 0, upto=0)
+        assert left() == [("", "q2"), ("b", "q1")]
+    append(1, "a", "b")
+    append(0, "a", "b", None, "a")
+    assert left() == [("", "q2"), ("a", "q0"), ("b", "q1"), ("b", "q1")]
+    H.clear_sessions(spark.createDataFrame([("b",)], "session_id string"), path, 1, upto=1)
+    assert left() == [("", "q2"), ("a", "q0")]
+    H.compact_history(spark, path, to, 1)
+    append(2, "b", at=to)
+    assert left(to) == [("", "q2"), ("a", "q0"), ("b", "q0")]
+
+
+@pytest.mark.parametrize("by", [None, "date_desc", "date_asc", "backlinks_desc", "likes_desc"])
+@pytest.mark.parametrize("scored", [True, False])
+def test_pages_after_cursors_are_the_whole_order(spark, by, scored):
+    draw = random.Random(9)
+    data = [(f"p{i}", draw.choice([None, 0.0, 1.0, 2.5]), draw.choice([None, 0, 3]), draw.choice([None, 0, 7]), draw.choice([0.5, 1.5, None]))
+            for i in range(47)]
+    df = spark.createDataFrame(data, "id string, indexed_time double, backlinks long, likes long, score double")
+    df = df if scored else df.drop("score")
+    whole = [r.id for r in S.sort_hits(df, by).collect()]
+    seen, cursor = [], None
+    while page := S.page_after(df, cursor, by, 10).collect():
+        seen += [r.id for r in page]
+        cursor = S.cursor_of(page[-1], by)
+    assert seen == whole and len(set(seen)) == 47
+    assert "TakeOrderedAndProject" in plan(S.page_after(df, cursor, by, 10))
