@@ -69,6 +69,13 @@ def match_wildcard(spark, sf):
     return S.match_wildcard(index.postings, "th?a*tion", dictionary=index.term_stats)
 
 
+def match_wildcard_infix(spark, sf):
+    """A wildcard at both ends, through the pieces of the terms."""
+    index = B.index(spark, sf)
+    path = B.stored(spark, sf, "grams", lambda to: I.write_term_grams(index.term_stats, to))
+    return S.match_wildcard(index.postings, "*heati*n*", grams=spark.read.parquet(path))
+
+
 def match_field(spark, sf):
     table = I.postings(B.pages(spark, sf), ("title", "snippet", "content"))
     return S.match_all(table, ["th"], field="title")
@@ -311,7 +318,7 @@ def prefix_suggest(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     term_stats, doc_len, postings, positions, field_terms, match_all, match_any, match_none, match_phrase,
-    match_phrase_repeated, match_prefix, match_wildcard, match_field, number_range, rank_bm25, rank_all, rank_batch,
+    match_phrase_repeated, match_prefix, match_wildcard, match_wildcard_infix, match_field, number_range, rank_bm25, rank_all, rank_batch,
     rank_structured, rank_passages, index_appended, index_refreshed, index_statistics, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
     substring_search, refine, sort_date_desc, sort_date_asc, sort_backlinks_desc, sort_likes_desc, sort_unknown,
@@ -391,6 +398,7 @@ SQL = {
         JOIN tk b ON a.id = b.id AND b.pos = a.pos + 1 JOIN tk c ON a.id = c.id AND c.pos = a.pos + 2
         WHERE a.term = 'de' AND b.term = 'la' AND c.term = 'de'""",
     "match_prefix": f"WITH {_C} SELECT DISTINCT id FROM po WHERE starts_with(term, 'theat')",
+    "match_wildcard_infix": f"WITH {_C} SELECT DISTINCT id FROM po WHERE term LIKE '%heati%n%'",
     "match_wildcard": f"WITH {_C} SELECT DISTINCT id FROM po WHERE term LIKE 'th_a%tion'",
     "match_field": f"WITH {B.PAGES_SQL} SELECT id FROM p WHERE list_contains({B.terms_sql('title')}, 'th')",
     "number_range": f"WITH {B.SCORED_SQL} SELECT id, backlinks FROM s WHERE backlinks BETWEEN 2 AND 4",

@@ -115,6 +115,24 @@ def _write_stats(spark: SparkSession, path: str) -> None:
     corpus_stats(spark.read.parquet(f"{path}/doc_len")).write.parquet(f"{path}/corpus")
 
 
+#: Letters of a piece of a term.
+GRAM = 3
+
+
+def term_grams(stats: DataFrame) -> DataFrame:
+    """``field, gram, term``: the three-letter pieces of every term, which begins with ``^`` and ends with ``$``."""
+    marked = F.concat(F.lit("^"), "term", F.lit("$"))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("term") + 3 - GRAM, F.lit(1)))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(marked, i, F.lit(GRAM))))
+    return stats.select("field", "term", F.explode(pieces).alias("gram")).select("field", "gram", "term")
+
+
+def write_term_grams(stats: DataFrame, path: str) -> None:
+    """The pieces of all terms as Parquet at ``path``, sorted over its files so that a piece lies in few of them."""
+    grams = term_grams(stats)
+    grams.repartitionByRange("field", "gram", "term").sortWithinPartitions("field", "gram", "term").write.parquet(path)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     """An index written by :func:`write_index` or :func:`compact_index`."""
     tables = ("postings", "doc_len", "term_stats", "positions", "corpus")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagetrawl.functions.text import analyse, analyse_literal, contains_text, falsy
 from pagetrawl.functions.times import parse_time, preset_bounds
 from pagetrawl.functions.urls import netloc
-from pagetrawl.operators.index import Index
+from pagetrawl.operators.index import GRAM, Index
 from pagetrawl.plans.skew import hot_of, salted_join, top_n
 from pagetrawl.schemas import BM25_B, BM25_K1, CANDIDATE_CAP, PAGE_SIZE
 
@@ -74,12 +74,33 @@ def match_prefix(postings: DataFrame, prefix: str, field: str = "content",
     return _with_terms(postings, field, F.col("term").startswith(prefix.lower()), dictionary)
 
 
-def match_wildcard(postings: DataFrame, pattern: str, field: str = "content",
-                   dictionary: DataFrame | None = None) -> DataFrame:
-    """Documents with a term like ``pattern``, where ``*`` is any text and ``?`` any character."""
+def _like(pattern: str) -> str:
+    """A SQL pattern for a wildcard."""
     quoted = pattern.lower().replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    like = quoted.replace("*", "%").replace("?", "_")
-    return _with_terms(postings, field, F.col("term").like(like), dictionary)
+    return quoted.replace("*", "%").replace("?", "_")
+
+
+def match_wildcard(postings: DataFrame, pattern: str, field: str = "content",
+                   dictionary: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+    """Documents with a term like ``pattern``, where ``*`` is any text and ``?`` any character.
+
+    With ``grams`` (see :func:`pagetrawl.operators.index.term_grams`) only terms that hold the rarest
+    three-letter piece of the pattern are tested; a pattern without one tests the whole dictionary.
+    """
+    test = F.col("term").like(_like(pattern))
+    if grams is not None and (pieces := wildcard_grams(pattern)):
+        # one row for each piece of the pattern
+        asked = _field(grams, field).filter(F.col("gram").isin(pieces))
+        counts = {r.gram: r["count"] for r in asked.groupBy("gram").count().collect()}
+        rarest = min(pieces, key=lambda g: (counts.get(g, 0), g))
+        dictionary = _field(grams, field).filter(F.col("gram") == rarest)
+    return _with_terms(postings, field, test, dictionary)
+
+
+def wildcard_grams(pattern: str) -> list[str]:
+    """The three-letter pieces that every term like ``pattern`` has, its ends marked with ``^`` and ``$``."""
+    stretches = f"^{pattern.lower()}$".replace("?", "*").split("*")
+    return sorted({s[i:i + GRAM] for s in stretches for i in range(len(s) - GRAM + 1)})
 
 
 def number_between(df: DataFrame, column: str, low=None, high=None) -> DataFrame:

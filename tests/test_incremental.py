@@ -271,3 +271,19 @@ def test_pages_after_cursors_are_the_whole_order(spark, by, scored):
         cursor = S.cursor_of(page[-1], by)
     assert seen == whole and len(set(seen)) == 47
     assert "TakeOrderedAndProject" in plan(S.page_after(df, cursor, by, 10))
+
+
+# --- Wildcards through pieces ---------------------------------------------------------------
+
+
+def test_wildcards_through_pieces_are_like(spark):
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abé9", k=draw.randint(1, 7))) for _ in range(120)]
+    postings = spark.createDataFrame([("content", w, i % 30) for i, w in enumerate(words)] + [("title", "abab", 99)], "field string, term string, id long")
+    grams = X.term_grams(postings.select("field", "term").distinct())
+    for pattern in ["*aba*", "a*b", "*", "ab*", "*é9", "?b?", "*a?b*9*", "aba", "ABA*", "*zzz*", "a", "", "*bab?", "??????", "*a%b*", "*a_b*"]:
+        assert rows(S.match_wildcard(postings, pattern, grams=grams)) == rows(S.match_wildcard(postings, pattern))
+    path = new_folder(spark, "grams")
+    X.write_term_grams(postings, path)
+    found = S.match_wildcard(postings, "*bab*", grams=spark.read.parquet(path))
+    assert "EqualTo(gram,bab)" in found._jdf.queryExecution().toString()
