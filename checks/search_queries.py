@@ -7,8 +7,10 @@ from pagetrawl.functions.html import extract_title
 from pagetrawl.functions.text import words
 from pagetrawl.functions.times import asctime
 from pagetrawl.operators import index as I
+from pagetrawl.operators import pairs as N
 from pagetrawl.operators import search as S
 from pagetrawl.operators import spell as P
+from pagetrawl.operators import topk as K
 
 
 def _index(spark, sf):
@@ -59,6 +61,13 @@ def match_phrase_repeated(spark, sf):
     return S.match_phrase(index.positions, ["de", "la", "de"], postings=index.postings)
 
 
+def match_phrase_frequent(spark, sf):
+    """A phrase of frequent terms, found among stored pairs of neighbours."""
+    index = B.index(spark, sf)
+    path = B.stored(spark, sf, "pairs", lambda to: N.write_pairs(index, to))
+    return N.match_phrase_pairs(index, N.read_pairs(index, path), ["de", "la", "de"])
+
+
 def match_prefix(spark, sf):
     index = B.index(spark, sf)
     return S.match_prefix(index.postings, "theat", dictionary=index.term_stats)
@@ -104,6 +113,22 @@ def rank_batch(spark, sf):
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _blocks(spark, sf):
+    index = B.index(spark, sf)
+    return K.read_blocks(index, B.stored(spark, sf, "blocks", lambda to: K.write_blocks(index.postings, to, 4)))
+
+
+def rank_top(spark, sf):
+    """The best 50 documents with two frequent terms; blocks of documents below the 50th score are not read."""
+    return K.rank_top(B.index(spark, sf), _blocks(spark, sf), ["en", "de"], 50)
+
+
+def rank_batch_top(spark, sf):
+    """The best 20 documents of every page title, by bounds of blocks."""
+    ranked = K.rank_batch_top(B.title_queries(spark, sf), B.index(spark, sf), _blocks(spark, sf), 20)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def rank_passages(spark, sf):
     """Documents that hold every term of a benchmark passage."""
     asked = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
@@ -318,8 +343,8 @@ def prefix_suggest(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     term_stats, doc_len, postings, positions, field_terms, match_all, match_any, match_none, match_phrase,
-    match_phrase_repeated, match_prefix, match_wildcard, match_wildcard_infix, match_field, number_range, rank_bm25, rank_all, rank_batch,
-    rank_structured, rank_passages, index_appended, index_refreshed, index_statistics, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
+    match_phrase_repeated, match_phrase_frequent, match_prefix, match_wildcard, match_wildcard_infix, match_field, number_range, rank_bm25, rank_all, rank_batch,
+    rank_structured, rank_passages, rank_top, rank_batch_top, index_appended, index_refreshed, index_statistics, index_compacted, search_batch, totals_batch, search, search_capped, total_hits, domain_filter,
     domain_filter_whole_url, date_filter, date_preset, display_date_filter, display_date_custom, min_backlinks,
     substring_search, refine, sort_date_desc, sort_date_asc, sort_backlinks_desc, sort_likes_desc, sort_unknown,
     sort_local, top_liked, paginate, page_after, highlight, project_hits, suggest, spell_correct, spell_correct_always,
@@ -397,6 +422,9 @@ SQL = {
     "match_phrase_repeated": f"""WITH {_C} SELECT DISTINCT a.id FROM tk a
         JOIN tk b ON a.id = b.id AND b.pos = a.pos + 1 JOIN tk c ON a.id = c.id AND c.pos = a.pos + 2
         WHERE a.term = 'de' AND b.term = 'la' AND c.term = 'de'""",
+    "match_phrase_frequent": f"""WITH {_C} SELECT DISTINCT a.id FROM tk a
+        JOIN tk b ON a.id = b.id AND b.pos = a.pos + 1 JOIN tk c ON a.id = c.id AND c.pos = a.pos + 2
+        WHERE a.term = 'de' AND b.term = 'la' AND c.term = 'de'""",
     "match_prefix": f"WITH {_C} SELECT DISTINCT id FROM po WHERE starts_with(term, 'theat')",
     "match_wildcard_infix": f"WITH {_C} SELECT DISTINCT id FROM po WHERE term LIKE '%heati%n%'",
     "match_wildcard": f"WITH {_C} SELECT DISTINCT id FROM po WHERE term LIKE 'th_a%tion'",
@@ -417,6 +445,8 @@ SQL = {
         AND id IN (SELECT a.id FROM tk a JOIN tk b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'de' AND b.term = 'la')""",
     "rank_all": f"WITH {_C}, {_one_query(['en', 'de'])} SELECT * FROM sc",
     "rank_batch": f"WITH {_C}, {_TITLES}, {_MATCHED}, {_RANKED} SELECT * FROM rk WHERE rank <= 20",
+    "rank_top": f"WITH {_C}, {_one_query(['en', 'de'])} SELECT * FROM sc ORDER BY score DESC, id LIMIT 50",
+    "rank_batch_top": f"WITH {_C}, {_TITLES}, {_MATCHED}, {_RANKED} SELECT * FROM rk WHERE rank <= 20",
     "rank_passages": f"""WITH {_C}, {_queries_sql('benchmark', 'item_id', 'text')}, {_MATCHED}, {_RANKED}
         SELECT query_id, id, score FROM rk""",
     "search_batch": f"""WITH {_PC}, {_SCORED}, {_TITLES}, {_MATCHED}, {_RANKED},
