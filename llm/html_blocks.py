@@ -22,9 +22,18 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Fixed sets of element names.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr br object".split())
+#: Formulas and drawings stand in the line of text around them; elements of both names are fixed sets as well.
+_MATH = frozenset(
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts "
+    "mprescripts mtable mtr mtd mstyle merror mpadded mphantom menclose maction".split())
+_DRAWN = frozenset(
+    "svg g path rect circle ellipse line polyline polygon text tspan textpath defs symbol use marker mask pattern clippath "
+    "lineargradient radialgradient stop filter image foreignobject".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("script style noscript template title textarea select button iframe object svg math head".split())
+_HIDDEN = frozenset("script style noscript template title textarea select button iframe head annotation annotation-xml desc metadata".split())
+#: Elements without shown text that do not end the line they stand in.
+_QUIET = frozenset("annotation annotation-xml desc metadata title param".split())
 _RAW = frozenset("script style title textarea noscript iframe".split())
 #: Elements that end an open element of the named kinds.
 _CLOSES = {
@@ -77,7 +86,9 @@ def _described(name: str, attributes: str) -> tuple[int, int]:
 def leaf_blocks(page: str) -> list[Block]:
     """Texts between block-level tags, in page order, without scripts, styles, comments and controls.
 
-    Character references are decoded and white space is one space. Missing end tags are implied, a tag or
+    Character references are decoded and white space is one space. Formulas, the text of drawings and the fallback
+    of objects belong to the line they stand in; their titles, descriptions and source annotations are not shown
+    and left out, as is ``noscript``, a notice to readers without scripts. Missing end tags are implied, a tag or
     comment that the page's end cuts off is dropped. The work grows with the page's length alone.
     """
     blocks: list[Block] = []
@@ -122,22 +133,21 @@ def leaf_blocks(page: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
-        if name in _INLINE:
+        if name in _INLINE or name in _MATH or name in _DRAWN:
             if name == "a":
                 link = 0 if end else 1
             elif name == "br":
                 pieces.append(" ")
             continue
-        flush()
+        quiet = name in _QUIET
+        if not quiet and (not hidden or end and depth.get(name)):
+            flush()
         if end:
             close(name)
             continue
-        for other in _CLOSES.get(name, ()):
-            close(other)
-        if depth.get("p") and name != "p":
-            close("p")
-        elif name == "p":
-            close("p")
+        if not quiet:
+            for other in (*_CLOSES.get(name, ()), "p"):
+                close(other)
         if name in _VOID:
             continue
         link = 0

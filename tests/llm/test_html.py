@@ -28,6 +28,14 @@ def test_blocks():
     assert texts("<form>ask <textarea>no</textarea><select><option>no</select>more</form>") == ["ask", "more"]
 
 
+def test_formulas_drawings_and_fallbacks_stay_in_their_line():
+    formula = "<math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>n</mi></msup><annotation>x=2^n</annotation></math>"
+    assert texts(f"<p>where {formula} holds</p><p>next</p>") == ["where x=2n holds", "next"]
+    assert texts("<p>see <svg><title>no</title><desc>no</desc><g><text>axis <tspan>y</tspan></text><path d='M0'/></g></svg> here</p>") == ["see axis y here"]
+    assert texts("<p>a <object data='/x'><param name='q'>fallback</object> b</p><noscript>turn on</noscript>") == ["a fallback b"]
+    assert texts("<p>x<annotation>q</p>y") == ["x", "y"]
+
+
 def test_hard_pages_take_linear_time():
     for page in ("<p " + 'a="b" ' * 20_000 + ">x", "<div>" * 20_000 + "x", "<" * 50_000, '<a title="' * 5_000 + "x", "<!--" * 20_000, "<b>" * 20_000 + "x", "&" * 50_000):
         leaf_blocks(page)
