@@ -64,7 +64,7 @@ def match_phrase_repeated(spark, sf):
 def match_phrase_frequent(spark, sf):
     """A phrase of frequent terms, found among stored pairs of neighbours."""
     index = B.index(spark, sf)
-    path = B.stored(spark, sf, "pairs", lambda to: N.write_pairs(index, to))
+    path = B.stored(spark, sf, "pairs", lambda to: N.write_pairs(B.corpus(spark, sf), index, to))
     return N.match_phrase_pairs(index, N.read_pairs(index, path), ["de", "la", "de"])
 
 

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrawl.operators.index import Index
+from pagetrawl.operators.index import Index, _analysed
 
 #: Share of a field's documents from which a term counts as frequent.
 FREQUENT = 0.01
@@ -19,32 +19,35 @@ class Pairs:
     frequent: DataFrame
 
 
-def write_pairs(index: Index, path: str, share: float = FREQUENT) -> None:
-    """The frequent terms of an index and their neighbouring occurrences, at the new path ``path``.
+def write_pairs(pages: DataFrame, index: Index, path: str, share: float = FREQUENT, fields=("content",)) -> None:
+    """The frequent terms of an index and their neighbouring occurrences in its pages, at the new path ``path``.
 
-    Occurrences meet by document and place, of which each has one row, so no
-    frequent term or long document gathers in one task.
+    Neighbours are read off the text's own row: only pairs of frequent terms are moved, to be sorted.
     """
-    spark = index.positions.sparkSession
+    spark = pages.sparkSession
     docs = index.corpus.select("field", "docs")
     frequent = index.term_stats.join(docs, "field").filter(F.col("df") >= share * F.col("docs")).select("field", "term")
     frequent.write.parquet(f"{path}/frequent")
-    listed = spark.read.parquet(f"{path}/frequent")
-    both = _neighbours(index.positions.join(listed, ["field", "term"], "left_semi"))
+    listed = spark.read.schema("field string, term string").parquet(f"{path}/frequent")
+    after = listed.withColumnRenamed("term", "next")
+    both = _neighbours(pages, fields).join(listed, ["field", "term"], "left_semi").join(after, ["field", "next"], "left_semi")
     order = ["field", "term", "next", "id", "position"]
-    both.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("field").parquet(f"{path}/pairs")
+    both.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("field").parquet(f"{path}/pairs")
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    after = rows.select("field", "id", (F.col("position") - 1).alias("position"), F.col("term").alias("next"))
-    return rows.join(after, ["field", "id", "position"]).select("field", "term", "next", "id", "position")
+def _neighbours(pages: DataFrame, fields) -> DataFrame:
+    """``field, id, position, term, next`` of every occurrence but a text's last."""
+    near = F.arrays_zip("terms", F.slice("terms", 2, F.greatest(F.size("terms"), F.lit(1))).alias("next"))
+    rows = _analysed(pages, fields).select("field", "id", F.posexplode(near).alias("position", "_pair"))
+    return rows.select("field", "id", "position", F.col("_pair.terms").alias("term"), F.col("_pair.next").alias("next")).filter("next is not null")
 
 
 def read_pairs(index: Index, path: str) -> Pairs:
-    """What :func:`write_pairs` wrote from ``index``."""
+    """What :func:`write_pairs` wrote for ``index``."""
     read = index.positions.sparkSession.read
+    pairs = index.positions.select("field", "term", F.col("term").alias("next"), "id", "position")
     return Pairs(
-        read.schema(_neighbours(index.positions).schema).parquet(f"{path}/pairs"),
+        read.schema(pairs.schema).parquet(f"{path}/pairs"),
         read.schema("field string, term string").parquet(f"{path}/frequent"))
 
 
