@@ -39,7 +39,8 @@ def suggest(asked: DataFrame, vocabulary: DataFrame, n: int = SUGGESTIONS) -> Da
     """
     wanted = asked.select("word").filter("word <> ''").distinct()
     terms = _deletions(vocabulary.select("term", "df"), "term")
-    pairs = terms.join(_deletions(wanted, "word"), "_key").filter(
+    # Spark takes both sides for as small as the words before they are multiplied, so it must not broadcast one.
+    pairs = terms.hint("merge").join(_deletions(wanted, "word"), "_key").filter(
         F.abs(F.length("word") - F.length("term")) <= MAX_EDITS).select("word", "term", "df")
     # Any two texts of at most two letters are close, and those of one length that
     # share no letter are equally far. Of these the n most frequent are enough, one
@@ -68,7 +69,7 @@ def spell_correct(queries: DataFrame, vocabulary: DataFrame, keep_known: bool =
     placed = queries.select("query_id", F.posexplode(words("q")).alias("_pos", "word"))
     asked = placed.select("word").distinct()
     if keep_known:
-        asked = asked.join(vocabulary.select(F.col("term").alias("word")), "word", "left_anti")
+        asked = asked.join(vocabulary.select(F.col("term").alias("word")).hint("merge"), "word", "left_anti")
     best = suggest(asked, vocabulary, 1).select("word", F.col("term").alias("_best"))
     replaced = salted_join(placed, best, "word", "left", "query_id")
     word_list = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_best", "word").alias("w"))))
