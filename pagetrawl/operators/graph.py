@@ -69,13 +69,16 @@ def graph_stats(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def backlinks_as_of(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, backlinks``: links to each page that existed when it was indexed."""
-    when = pages.select("id", F.col("url").alias("target_url"), "indexed_time")
+    """``id, backlinks``: links to each page that existed when it was indexed.
+
+    Of a page that is stored in several versions, each is counted at its own time.
+    """
+    when = pages.select("id", F.col("url").alias("target_url"), "indexed_time").distinct()
     facts = links.select("target_url", "source_url", "created_at")
     earlier = salted_join(facts, when, "target_url", salt_by="source_url").filter(
         F.col("created_at") < F.col("indexed_time"))
-    counted = earlier.groupBy("id").agg(F.count(F.lit(1)).alias("backlinks"))
-    return pages.select("id").join(counted, "id", "left").select(
+    counted = earlier.groupBy("id", "indexed_time").agg(F.count(F.lit(1)).alias("backlinks"))
+    return pages.select("id", "indexed_time").join(counted, ["id", "indexed_time"], "left").select(
         "id", F.coalesce("backlinks", F.lit(0)).alias("backlinks"))
 
 
