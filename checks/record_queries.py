@@ -336,7 +336,7 @@ SQL = {
     "filter_collections": f"WITH {B.SAVED_SQL}, {_filtered('th')} SELECT * FROM fc",
     "filter_collections_by_page": f"WITH {B.SAVED_SQL}, {_filtered('ref=x')} SELECT * FROM fc",
     "collection_add": f"""WITH {B.SAVED_SQL}, {B.LINKS_SQL}, {_LINKED}
-        SELECT collection_id, page_id, url FROM sv WHERE url NOT IN (SELECT url FROM lk)""",
+        SELECT DISTINCT collection_id, page_id, url FROM sv WHERE url NOT IN (SELECT url FROM lk)""",
     "collection_create": f"""SELECT DISTINCT {_HOST} AS id, upper({_HOST}) AS name, '' AS description FROM pages
         WHERE {_HOST} NOT IN (SELECT {_HOST} FROM pages WHERE url LIKE 'https:%')""",
     "collection_delete": f"""WITH {B.LINKS_SQL}, {_LINKED} SELECT DISTINCT {_HOST} AS id, {_HOST} AS name FROM pages
