@@ -272,6 +272,9 @@ _HITS = f"""ht AS (SELECT DISTINCT q AS query_id, id FROM ky JOIN im ON contains
 _NESTED = f"""{B.REAL_LINKS_SQL}, ne AS (SELECT sha256(source_url) AS collection_id, position,
     sha256(target_url) AS page_id, target_url AS url, name FROM r
     JOIN (SELECT url AS u, {B.TITLE} AS name FROM pages) ON u = source_url)"""
+# Every stored page as a collection of its own.
+_NESTED_BY_PAGE = f"""{B.PAGE_LINKS_SQL}, ne AS (SELECT page_id AS stored, sha256(source_url) AS collection_id,
+    sha256(target_url) AS page_id, target_url AS url FROM r)"""
 _LINKED = "lk AS (SELECT DISTINCT target_url AS url FROM l)"
 _HOST = "regexp_extract(url, '//([^/?#]*)', 1)"
 _FAILED = "fs AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id FROM events WHERE event_type = 'error' AND value > 50)"
@@ -328,9 +331,10 @@ SQL = {
     "filter_collections_nested": f"""WITH {_NESTED}, m AS (
         SELECT *, contains(lower(url), 'the') AS m, bool_or(contains(lower(url), 'the')) OVER (PARTITION BY collection_id) AS a
         FROM ne) SELECT collection_id, url FROM m WHERE m OR (NOT a AND contains(lower(name), 'the'))""",
-    "collection_add_nested": f"""WITH {_NESTED} SELECT collection_id, url FROM ne
-        UNION ALL SELECT min(sha256(url)), 'http://new/' FROM pages""",
-    "collection_remove_nested": f"""WITH {_NESTED} SELECT collection_id, url FROM ne
+    "collection_add_nested": f"""WITH {_NESTED_BY_PAGE} SELECT collection_id, url FROM ne
+        UNION ALL SELECT sha256(url), 'http://new/' FROM pages WHERE sha256(url) = (SELECT min(sha256(url)) FROM pages)
+        AND page_id NOT IN (SELECT stored FROM ne WHERE url = 'http://new/')""",
+    "collection_remove_nested": f"""WITH {_NESTED_BY_PAGE} SELECT collection_id, url FROM ne
         WHERE NOT (collection_id = (SELECT max(sha256(url)) FROM pages) AND page_id = (SELECT min(page_id) FROM ne))""",
     "collection_total_nested": f"WITH {_NESTED} SELECT count(*) AS pages FROM ne",
     "filter_collections": f"WITH {B.SAVED_SQL}, {_filtered('th')} SELECT * FROM fc",
