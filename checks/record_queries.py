@@ -336,7 +336,7 @@ SQL = {
         AND page_id NOT IN (SELECT stored FROM ne WHERE url = 'http://new/')""",
     "collection_remove_nested": f"""WITH {_NESTED_BY_PAGE} SELECT collection_id, url FROM ne
         WHERE NOT (collection_id = (SELECT max(sha256(url)) FROM pages) AND page_id = (SELECT min(page_id) FROM ne))""",
-    "collection_total_nested": f"WITH {_NESTED} SELECT count(*) AS pages FROM ne",
+    "collection_total_nested": f"WITH {_NESTED_BY_PAGE} SELECT count(*) AS pages FROM ne",
     "filter_collections": f"WITH {B.SAVED_SQL}, {_filtered('th')} SELECT * FROM fc",
     "filter_collections_by_page": f"WITH {B.SAVED_SQL}, {_filtered('ref=x')} SELECT * FROM fc",
     "collection_add": f"""WITH {B.SAVED_SQL}, {B.LINKS_SQL}, {_LINKED}
