@@ -39,8 +39,11 @@ def pages_with_backlinks(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def resolve_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Links between stored pages as ``source, target`` ids; others are dropped."""
-    ids = pages.select("url", "id")
+    """Links between stored pages as ``source, target`` ids; others are dropped.
+
+    A page that is stored in several versions is one end all the same.
+    """
+    ids = pages.select("url", "id").distinct()
     sources = ids.toDF("source_url", "source")
     targets = ids.toDF("target_url", "target")
     edges = links.select("source_url", "target_url")
@@ -125,9 +128,9 @@ def graph_search(nodes: DataFrame, q: str) -> DataFrame:
 def edge_match(edges: DataFrame, nodes: DataFrame, q: str) -> DataFrame:
     """Edges between known nodes with a class: ``both``, ``one`` or ``none`` match.
 
-    Without a search text the class is ``idle``.
+    Without a search text the class is ``idle``. A node that is stored in several versions matches if one does.
     """
-    flags = nodes.select("id", node_matches(q).alias("_m"))
+    flags = nodes.select("id", node_matches(q).alias("_m")).groupBy("id").agg(F.max("_m").alias("_m"))
     step = salted_join(
         edges.select("source", "target"), flags.toDF("source", "_s"), "source", salt_by="target")
     step = salted_join(
