@@ -62,7 +62,7 @@ def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, i
                  buckets: int = BUCKETS) -> None:
     """One batch of raw pages appended to the tables below ``root``.
 
-    Repeats within the batch give one page. Known pages are dropped by their keys
+    Repeats of a URL within the batch give one page, the one whose HTML has the least SHA-256. Known pages are dropped by their keys
     before their HTML is moved or parsed; with ``refresh`` they are stored again
     as a newer row, also in the index. Known pages and links are found through Bloom
     filters, and the backlinks of a page are the counts of its URL that earlier batches
@@ -75,10 +75,11 @@ def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, i
     spark = raw.sparkSession
     parsed = f"{root}/parsed/batch_id={batch}"
     time = epoch_now() if now is None else F.lit(float(now))
-    keyed = require_url(raw).select("url", url_id("url").alias("id"), F.xxhash64("html").alias("hash"))
+    version = F.coalesce(F.sha2("html", 256), F.lit(""))
+    keyed = require_url(raw).select("url", url_id("url").alias("id"), version.alias("hash"))
     fresh = keyed if refresh else absent(keyed, f"{root}/known/pages", before=batch)
     once = latest(fresh, "id", [F.asc("hash")]).select("url", "hash")
-    rows = require_url(raw).withColumn("hash", F.xxhash64("html")).join(once, ["url", "hash"], "left_semi")
+    rows = require_url(raw).withColumn("hash", version).join(once, ["url", "hash"], "left_semi")
     extract_pages(rows, same_host=same_host, max_links=max_links, max_images=max_images).dropDuplicates(["url"]).write.mode(
         "overwrite").parquet(parsed)
     extracted = spark.read.parquet(parsed)
