@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from pagetrawl.operators import index as X
 from pagetrawl.operators import spell as P
 from test_registered import tidy
 
@@ -78,3 +79,18 @@ def test_streams_of_folders(spark, sf, in_folders, name):
 def test_products_are_dealt_out(spark, sf, name):
     """One row group is one task unless it is dealt out before its pages are parsed."""
     assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_postings_move_once(spark, tmp_path):
+    """Counting stays in the text's row; a stored posting carries its positions, and readers of the rest skip them."""
+    pages = spark.createDataFrame([(1, "red fox red"), (2, ""), (3, None), (4, "fox")], "id long, content string")
+    plan = X.postings(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    X.write_index(pages, f"{tmp_path}/index", ("content",))
+    stored = X.read_index(spark, f"{tmp_path}/index")
+    counted = stored.postings.select("term", "id", "dl", "tf")
+    assert sorted(map(tuple, counted.collect())) == [("fox", 1, 3, 1), ("fox", 4, 1, 1), ("red", 1, 3, 2)]
+    assert "positions" not in counted._jdf.queryExecution().executedPlan().toString()
+    places = stored.positions.select("term", "id", "position")
+    assert sorted(map(tuple, places.collect())) == [("fox", 1, 1), ("fox", 4, 0), ("red", 1, 0), ("red", 1, 2)]
+    assert sorted((r.id, r.dl) for r in stored.doc_len.collect()) == [(1, 3), (2, 0), (3, 0), (4, 1)]
