@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from pagetrawl.operators import index as X
+from pagetrawl.operators import search as S
 from pagetrawl.operators import spell as P
 from test_registered import tidy
 
@@ -94,3 +95,20 @@ def test_postings_move_once(spark, tmp_path):
     places = stored.positions.select("term", "id", "position")
     assert sorted(map(tuple, places.collect())) == [("fox", 1, 1), ("fox", 4, 0), ("red", 1, 0), ("red", 1, 2)]
     assert sorted((r.id, r.dl) for r in stored.doc_len.collect()) == [(1, 3), (2, 0), (3, 0), (4, 1)]
+
+
+def test_sets_of_terms_go_to_the_texts(spark, tmp_path, monkeypatch):
+    """No posting and no candidate is moved by its term, in however many passes the sets are taken."""
+    texts = [(1, "red fox red"), (2, "fox dog"), (3, None), (4, "dog red fox hen"), (5, "hen fox dog red owl")]
+    X.write_index(spark.createDataFrame(texts, "id long, content string"), f"{tmp_path}/sets", ("content",))
+    index = X.read_index(spark, f"{tmp_path}/sets")
+    asked = ["fox", "red fox", "fox red", "dog fox hen red", "hen owl dog red fox", "absent fox", ""]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, q string")
+    found = S.rank_batch(queries, index, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning" in line and "term#" in line for line in plan.splitlines())
+    whole = sorted(map(tuple, found.collect()))
+    single = sorted((i, r.id, r.score) for i, q in enumerate(asked) if q for r in S.rank(index, q.split(), 3).collect())
+    assert [r[:3] for r in whole] == single
+    monkeypatch.setattr(S, "PASS_TERMS", 2)
+    assert sorted(map(tuple, S.rank_batch(queries, index, 3).collect())) == whole
