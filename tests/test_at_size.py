@@ -112,3 +112,18 @@ def test_sets_of_terms_go_to_the_texts(spark, tmp_path, monkeypatch):
     assert [r[:3] for r in whole] == single
     monkeypatch.setattr(S, "PASS_TERMS", 2)
     assert sorted(map(tuple, S.rank_batch(queries, index, 3).collect())) == whole
+
+
+def test_highlight_steps_back_only_near_the_match(spark):
+    """The same text as one pattern over the whole text gives, from a substring."""
+    around, terms = 5, ["de", "ther", "a😀b"]
+    odd = ["", "de", "xde de", "aaaaaaxde de, DE der", "😀" * 9 + " de " + "😀" * 9, "wide open side", "no\nthe\nDE\nlast line",
+           "de de de de de de", "1234567890 ther", "aether a😀b A😀B", "ünde. Ther-de", None, "de" * 40, "x" * 5000 + " de " + "y" * 5000]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, content string")
+    either = "|".join(rf"\Q{t}\E" for t in sorted(terms, key=lambda t: (-len(t), t)))
+    either = rf"(?<![\p{{L}}\p{{N}}])(?:{either})(?![\p{{L}}\p{{N}}])"
+    whole = F.regexp_extract("content", rf"(?ius)(.{{0,{around}}}(?:{either}).{{0,{around}}})", 1)
+    out = df.select("id", S.highlight("content", terms, around).alias("a"), F.regexp_replace(whole, rf"(?iu)({either})", "<b>$1</b>").alias("b"))
+    assert all(r.a == r.b for r in out.collect())
+    plan = df.select(S.highlight("content", terms, around).alias("a"))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract(substring(" in plan
