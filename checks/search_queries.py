@@ -53,12 +53,12 @@ def match_none(spark, sf):
 
 
 def match_phrase(spark, sf):
-    return S.match_phrase(B.index(spark, sf).positions, ["de", "la"])
+    return S.match_phrase(B.index(spark, sf).places, ["de", "la"])
 
 
 def match_phrase_repeated(spark, sf):
     index = B.index(spark, sf)
-    return S.match_phrase(index.positions, ["de", "la", "de"], postings=index.postings)
+    return S.match_phrase(index.places, ["de", "la", "de"], postings=index.postings)
 
 
 def match_phrase_frequent(spark, sf):

@@ -46,16 +46,24 @@ def match_phrase(positions: DataFrame, terms: list[str], field: str = "content",
 
     Every occurrence votes for the place where the phrase would start; a start
     with a vote for each place of the phrase is a match. With ``postings`` only
-    occurrences in documents that hold all the terms are looked at.
+    occurrences in documents that hold all the terms are looked at. From the ``places`` of an index
+    votes stay in arrays: a document's meet in one row, and a task holds numbers instead of groups.
     """
     if postings is not None:
         positions = positions.join(match_all(postings, terms, field), "id", "left_semi")
     places = F.create_map(*(
         x for t in sorted(set(terms))
         for x in (F.lit(t), F.array(*(F.lit(i) for i, u in enumerate(terms) if u == t)))))
+    found = _field(positions, field).filter(F.col("term").isin(sorted(set(terms))))
+    if "positions" in positions.columns:
+        starts = F.flatten(F.transform(places[F.col("term")], lambda i: F.transform("positions", lambda at: at - i)))
+        cast = found.select("id", starts.alias("_starts")).repartition("id").groupBy("id").agg(
+            F.sort_array(F.flatten(F.collect_list("_starts"))).alias("_s"))
+        n = F.greatest(F.size("_s") - (len(terms) - 1), F.lit(0))
+        agreed = F.zip_with(F.slice("_s", 1, n), F.slice("_s", len(terms), n), lambda a, b: a == b)
+        return cast.filter(F.exists(agreed, lambda same: same)).select("id")
     votes = (
-        _field(positions, field).filter(F.col("term").isin(sorted(set(terms))))
-        .select("id", "position", F.explode(places[F.col("term")]).alias("_place"))
+        found.select("id", "position", F.explode(places[F.col("term")]).alias("_place"))
         .groupBy("id", (F.col("position") - F.col("_place")).alias("_start"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )

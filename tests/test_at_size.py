@@ -127,3 +127,15 @@ def test_highlight_steps_back_only_near_the_match(spark):
     assert all(r.a == r.b for r in out.collect())
     plan = df.select(S.highlight("content", terms, around).alias("a"))._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract(substring(" in plan
+
+
+def test_phrase_votes_stay_in_arrays(spark):
+    """No row for each occurrence: the places of a term in a text stay together."""
+    texts = ["de la de", "la de", "de la", "de xx la", "la de la de", "de de de", "", None, "de la xx de la de"]
+    index = X.build_index(spark.createDataFrame(list(enumerate(texts)), "id long, content string"))
+    for phrase in (["de", "la"], ["de", "la", "de"], ["de", "de"], ["la"], ["de", "none"]):
+        found = S.match_phrase(index.places, phrase)
+        assert "_place" not in found._jdf.queryExecution().executedPlan().toString()
+        expected = sorted(i for i, t in enumerate(texts) if f" {' '.join(phrase)} " in f" {(t or '')} ")
+        assert sorted(r.id for r in found.collect()) == expected
+        assert sorted(r.id for r in S.match_phrase(index.positions, phrase).collect()) == expected
