@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrawl.operators.index import Index, _analysed
+from pagetrawl.plans.lineage import stored_once
 
 #: Share of a field's documents from which a term counts as frequent.
 FREQUENT = 0.01
@@ -32,7 +33,9 @@ def write_pairs(pages: DataFrame, index: Index, path: str, share: float = FREQUE
     after = listed.withColumnRenamed("term", "next")
     both = _neighbours(pages, fields).join(listed, ["field", "term"], "left_semi").join(after, ["field", "next"], "left_semi")
     order = ["field", "term", "next", "id", "position"]
-    both.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("field").parquet(f"{path}/pairs")
+    # stored before they are sorted: the sort looks at its rows twice, and would cut all texts into terms again
+    found = stored_once(both.select(*order), "neighbours")
+    found.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("field").parquet(f"{path}/pairs")
 
 
 def _neighbours(pages: DataFrame, fields) -> DataFrame:

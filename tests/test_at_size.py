@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from pagetrawl.operators import index as X
+from pagetrawl.operators import pairs as N
 from pagetrawl.operators import search as S
 from pagetrawl.operators import spell as P
 from test_registered import tidy
@@ -139,3 +140,20 @@ def test_phrase_votes_stay_in_arrays(spark):
         expected = sorted(i for i, t in enumerate(texts) if f" {' '.join(phrase)} " in f" {(t or '')} ")
         assert sorted(r.id for r in found.collect()) == expected
         assert sorted(r.id for r in S.match_phrase(index.positions, phrase).collect()) == expected
+
+
+def test_texts_are_cut_once_for_their_pairs(spark, tmp_path):
+    """A sort over ranges runs its input twice: once to see it, once to move it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pages = spark.createDataFrame([(1, "de la de"), (2, "de la"), (3, "owl de")], "id long, content string")
+    index = X.build_index(pages)
+    N.write_pairs(pages.mapInArrow(count, pages.schema), index, f"{tmp_path}/pairs", 0.5)
+    stored = spark.read.parquet(f"{tmp_path}/pairs/pairs").select("term", "next", "id", "position")
+    assert sorted(map(tuple, stored.collect())) == [("de", "la", 1, 0), ("de", "la", 2, 0), ("la", "de", 1, 1)]
+    assert seen.value == 3
