@@ -184,3 +184,23 @@ def test_long_ids_are_stored_once(spark, tmp_path):
     assert tables(X.read_index(spark, f"{tmp_path}/compact")) == whole
     for name in ("once", "batches", "compact"):
         assert "id" not in spark.read.parquet(f"{tmp_path}/{name}/postings").columns
+
+
+def test_total_hits_moves_no_long_ids(spark, tmp_path):
+    """More hashes than a Parquet file's dictionary takes: the postings stay as small as those of numbers, the total is right."""
+    n = 24_000
+    numbered = spark.range(n).select("id", F.concat_ws(
+        " ", F.lit("red"), F.expr("IF(id % 3 = 0, 'fox', 'hen')"), *(F.concat(F.lit(f"w{k}x"), F.col("id") % (50 + k)) for k in range(8))).alias("content"))
+    hashed = numbered.withColumn("id", F.sha2(F.col("id").cast("string"), 256))
+    pages = hashed.select("id", F.lit("http://a.example/").alias("url"), F.lit(0.0).alias("indexed_time"),
+                          F.when(F.col("content").contains("hen"), 3).otherwise(F.char_length("content") % 4).alias("backlinks"))
+    size = {}
+    for name, texts in (("numbered", numbered), ("hashed", hashed)):
+        path = f"{tmp_path}/{name}"
+        X.write_index(texts, path, ("content",))
+        size[name] = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(f"{path}/postings") for f in files)
+    assert size["hashed"] < 1.5 * size["numbered"]
+    wanted = hashed.join(pages.filter("backlinks >= 2"), "id").filter("content LIKE '% fox %'").count()
+    found = S.hits(X.read_index(spark, f"{tmp_path}/hashed"), pages, "red fox", min_links=2)
+    assert 0 < wanted < n // 3 and S.total_hits(found).collect()[0].total == wanted
+    assert S.total_hits(S.hits(X.read_index(spark, f"{tmp_path}/hashed"), pages, "red")).collect()[0].total == n
