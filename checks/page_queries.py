@@ -49,7 +49,7 @@ def extract_hrefs(spark, sf):
 
 
 def page_links(spark, sf):
-    return B.real_links(spark, sf).withColumn("position", F.col("position").cast("bigint"))
+    return B.merged_links(spark, sf).withColumn("position", F.col("position").cast("bigint"))
 
 
 def resolve_url(spark, sf):

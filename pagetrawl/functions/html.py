@@ -129,6 +129,12 @@ def extract_hrefs(html: str) -> Column:
     return F.expr(_hrefs(_without(html, _COMMENT_OR_SCRIPT)))
 
 
+def resolved_hrefs(url: str, html: str) -> Column:
+    """:func:`extract_hrefs` resolved against the page, whatever they lead to."""
+    hrefs = _hrefs(_without(html, _COMMENT_OR_SCRIPT))
+    return F.expr(let(split_base_sql(url), "b", resolve_in_sql("b", hrefs)))
+
+
 def cap_links(links, n: int = MAX_LINKS) -> Column:
     """The first ``n`` distinct links of a page."""
     return F.slice(F.array_distinct(col(links)), 1, n)

@@ -1,11 +1,11 @@
 """Raw pages to structured pages, links and images in one scan."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetrawl.functions import html as H
 from pagetrawl.functions.text import strip
-from pagetrawl.functions.urls import link_id
+from pagetrawl.functions.urls import is_page_link, link_id
 
 
 def require_url(df: DataFrame, url: str = "url") -> DataFrame:
@@ -48,6 +48,18 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
+def url_links(raw: DataFrame) -> DataFrame:
+    """One row per page link of a URL, ``source_url, position, target_url``, over all its versions in ``raw``.
+
+    A target counts once, at the first place that it has among the hrefs of any version; equal places go by target.
+    """
+    placed = require_url(raw).select(
+        F.col("url").alias("source_url"), F.posexplode(H.resolved_hrefs("url", "html")).alias("place", "target_url"))
+    first = placed.filter(is_page_link("target_url")).groupBy("source_url", "target_url").agg(F.min("place").alias("place"))
+    order = Window.partitionBy("source_url").orderBy("place", "target_url")
+    return first.select("source_url", (F.row_number().over(order) - 1).alias("position"), "target_url")
+
+
 def links_from_lists(lists: DataFrame) -> DataFrame:
     """Links from comma-separated lists ``source_url, links``."""
     return lists.select("source_url", F.explode(H.split_links("links")).alias("target_url"))
