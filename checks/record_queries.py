@@ -74,7 +74,7 @@ def image_terms(spark, sf):
 
 
 def flatten_collections(spark, sf):
-    return L.flatten(B.nested_collections(spark, sf)).select(
+    return L.flatten(B.nested_by_url(spark, sf)).select(
         "collection_id", F.col("position").cast("bigint"), "page_id", "url")
 
 

@@ -12,6 +12,7 @@ QUERIES, SQL = contract.queries(), contract.oracle_sql()
 #: Queries as their SQL, and the columns to compare where an order that the SQL leaves open decides another.
 AS_SQL = {
     "page_links": ["source_url", "target_url"],
+    "flatten_collections": ["collection_id", "page_id", "url"],
 }
 
 
