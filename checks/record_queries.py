@@ -83,7 +83,7 @@ def _flat(nested):
 
 
 def filter_collections_nested(spark, sf):
-    return _flat(L.filter_collections_nested(B.nested_collections(spark, sf), " THE "))
+    return _flat(L.filter_collections_nested(B.nested_by_url(spark, sf), " THE "))
 
 
 def collection_add_nested(spark, sf):

@@ -13,6 +13,7 @@ QUERIES, SQL = contract.queries(), contract.oracle_sql()
 AS_SQL = {
     "page_links": ["source_url", "target_url"],
     "flatten_collections": ["collection_id", "page_id", "url"],
+    "filter_collections_nested": None,
 }
 
 
