@@ -57,18 +57,20 @@ def graph_stats(pages: DataFrame, links: DataFrame) -> DataFrame:
     """One row ``total_pages, total_links, isolated_pages``.
 
     Links count if both ends are stored; a page is isolated if no link at all
-    points at it. Links are summed up per target before they meet the pages.
+    points at it. Links are summed up per target before they meet the pages. Every version
+    of a page is a page, but one end of a link.
     """
-    sources = pages.select(F.col("url").alias("source_url"), F.lit(1).alias("_known"))
+    versions = pages.groupBy(F.col("url").alias("target_url")).agg(F.count(F.lit(1)).alias("_versions"))
+    sources = versions.select(F.col("target_url").alias("source_url"), F.lit(1).alias("_known"))
     flagged = salted_join(
         links.select("source_url", "target_url"), sources, "source_url", "left", "target_url")
     per_target = flagged.groupBy("target_url").agg(
         F.count(F.lit(1)).alias("_all"), F.count("_known").alias("_resolved"))
-    joined = pages.select(F.col("url").alias("target_url")).join(per_target, "target_url", "left")
-    return joined.agg(
-        F.count(F.lit(1)).alias("total_pages"),
+    isolated = F.when(F.col("_all").isNull(), F.col("_versions"))
+    return versions.join(per_target, "target_url", "left").agg(
+        F.coalesce(F.sum("_versions"), F.lit(0)).alias("total_pages"),
         F.coalesce(F.sum("_resolved"), F.lit(0)).alias("total_links"),
-        F.count_if(F.col("_all").isNull()).alias("isolated_pages"))
+        F.coalesce(F.sum(isolated), F.lit(0)).alias("isolated_pages"))
 
 
 def backlinks_as_of(pages: DataFrame, links: DataFrame) -> DataFrame:

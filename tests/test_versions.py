@@ -14,6 +14,7 @@ AS_SQL = {
     "page_links": ["source_url", "target_url"],
     "flatten_collections": ["collection_id", "page_id", "url"],
     "filter_collections_nested": None,
+    "graph_stats": None,
 }
 
 
