@@ -34,9 +34,8 @@ def positions(spark, sf):
 
 
 def field_terms(spark, sf):
-    """Terms per field of the pages, as a fielded index counts them."""
-    fields = I.build_index(B.pages(spark, sf), fields=("title", "snippet"))
-    return fields.term_stats
+    """Terms per field of the pages, as a fielded index counts them; the versions of a URL are one document."""
+    return I.term_stats(I.postings(B.pages(spark, sf), ("title", "snippet")), versions=True)
 
 
 def match_all(spark, sf):

@@ -17,6 +17,7 @@ AS_SQL = {
     "graph_stats": None,
     "likes": None,
     "top_liked": None,
+    "field_terms": None,
 }
 
 
