@@ -85,8 +85,9 @@ def match_wildcard_infix(spark, sf):
 
 
 def match_field(spark, sf):
-    table = I.postings(B.pages(spark, sf), ("title", "snippet", "content"))
-    return S.match_all(table, ["th"], field="title")
+    """Pages with a term in the title; each version of a URL has its own title."""
+    table = I.postings(B.versions(spark, sf), ("title", "snippet", "content"))
+    return S.match_all(table, ["th"], field="title").select("id.id")
 
 
 def number_range(spark, sf):

@@ -14,24 +14,25 @@ def require_url(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def extract_pages(raw: DataFrame, drop_script_style: bool = False, same_host: bool = False,
-                  max_links: int | None = None, max_images: int | None = None) -> DataFrame:
+                  max_links: int | None = None, max_images: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``url, title, content, snippet, links, images`` of raw pages ``url, html``.
 
-    All links and images are kept unless a limit is given.
+    All links and images are kept unless a limit is given. ``keep`` names more columns of the raw pages that
+    go along, behind the URL.
     """
     read = require_url(raw).select(
-        "url",
+        "url", *keep,
         H.extract_content("html", drop_script_style).alias("content"),
         H.markup("html").alias("_markup"),
     ).withColumn("_title", H.title_in("_markup"))
     parsed = read.select(
-        "url", "_title", "content",
+        "url", *keep, "_title", "content",
         H.description_in("_markup").alias("_description"),
         H.links_in("url", "_markup", same_host, max_links).alias("links"),
         H.images_in("url", "_markup", "_title").alias("images"),
     )
     return parsed.select(
-        "url",
+        "url", *keep,
         F.when(F.col("_title") != "", F.col("_title")).otherwise(F.col("url")).alias("title"),
         "content",
         H.snippet_of("_description", "content").alias("snippet"),

@@ -1,5 +1,6 @@
 """URLs that are stored in several versions, with other HTML."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as contract
@@ -18,6 +19,7 @@ AS_SQL = {
     "likes": None,
     "top_liked": None,
     "field_terms": None,
+    "match_field": None,
 }
 
 
@@ -41,3 +43,14 @@ def test_links_of_a_url_are_those_of_all_versions(spark):
     found = sorted((r.source_url, r.position, r.target_url) for r in E.url_links(raw).collect())
     assert found == [("http://h/1", 0, "http://h/y"), ("http://h/1", 1, "http://h/b"), ("http://h/1", 2, "http://h/x"),
                      ("http://h/2", 0, "http://h/x")]
+
+
+def test_match_field_takes_each_version(spark, tmp_path):
+    """A URL with the term in the titles of two versions is found twice, not left out."""
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT * FROM (VALUES (0, 'http://h/1', '<title>Th one</title>'), (1, 'http://h/1', '<title>th th</title>'),
+        (2, 'http://h/1', '<title>two</title>'), (3, 'http://h/2', '<title>th</title>')) p(page_id, url, html))
+        TO '{tmp_path}/pages.parquet' (FORMAT parquet)""")
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    found = sorted(r.id for r in QUERIES["match_field"](spark, str(tmp_path)).collect())
+    assert len(found) == 3 and found == sorted(r[0] for r in con.sql(SQL["match_field"]).fetchall())
