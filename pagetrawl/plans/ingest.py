@@ -59,10 +59,11 @@ def fold_tables(spark: SparkSession, root: str, upto: int, index: bool = True) -
 def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, index: bool = True,
                  same_host: bool = False, max_links: int | None = None, max_images: int | None = None,
                  start_url: str = "N/A", triggered_by: str = "batch", now: float | None = None,
-                 buckets: int = BUCKETS) -> None:
+                 buckets: int = BUCKETS, all_links: bool = False) -> None:
     """One batch of raw pages appended to the tables below ``root``.
 
-    Repeats of a URL within the batch give one page, the one whose HTML has the least SHA-256. Known pages are dropped by their keys
+    Repeats of a URL within the batch give one page, the one whose HTML has the least SHA-256; with ``all_links``
+    the links of the others are stored as well. Known pages are dropped by their keys
     before their HTML is moved or parsed; with ``refresh`` they are stored again
     as a newer row, also in the index. Known pages and links are found through Bloom
     filters, and the backlinks of a page are the counts of its URL that earlier batches
@@ -79,10 +80,15 @@ def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, i
     keyed = require_url(raw).select("url", url_id("url").alias("id"), version.alias("hash"))
     fresh = keyed if refresh else absent(keyed, f"{root}/known/pages", before=batch)
     once = latest(fresh, "id", [F.asc("hash")]).select("url", "hash")
-    rows = require_url(raw).withColumn("hash", version).join(once, ["url", "hash"], "left_semi")
-    extract_pages(rows, same_host=same_host, max_links=max_links, max_images=max_images).dropDuplicates(["url"]).write.mode(
-        "overwrite").parquet(parsed)
-    extracted = spark.read.parquet(parsed)
+    rows = require_url(raw).withColumn("hash", version)
+    if all_links:
+        rows = rows.join(once.withColumnRenamed("hash", "least"), "url").withColumn("kept", F.col("hash") == F.col("least"))
+    else:
+        rows = rows.join(once, ["url", "hash"], "left_semi").withColumn("kept", F.lit(True))
+    read = extract_pages(rows, same_host=same_host, max_links=max_links, max_images=max_images, keep=("hash", "kept"))
+    read.dropDuplicates(["url", "hash"]).write.mode("overwrite").parquet(parsed)
+    versions = spark.read.parquet(parsed)
+    extracted = versions.filter("kept")
 
     counts = link_counts(root)
     stamped = extracted.select(
@@ -94,7 +100,7 @@ def ingest_batch(raw: DataFrame, root: str, batch: int, refresh: bool = False, i
     written = spark.read.schema(PAGES).parquet(f"{root}/pages/batch_id={batch}")
     write_keys(written, f"{root}/known/pages", batch)
 
-    found = as_link_rows(page_links(extracted)).dropDuplicates(["id"])
+    found = as_link_rows(page_links(versions)).dropDuplicates(["id"])
     links = absent(found, f"{root}/known/backlinks", before=batch).withColumn("created_at", time)
     write_batch(links.select(*BACKLINKS.fieldNames()), f"{root}/backlinks", batch)
     added = spark.read.schema(BACKLINKS).parquet(f"{root}/backlinks/batch_id={batch}")

@@ -25,6 +25,7 @@ AS_SQL = {
     "pages_absent": None,
     "pages_keyed": None,
     "page_lookup": None,
+    "stream_links": None,
 }
 
 
