@@ -163,3 +163,13 @@ def test_url_parts(spark):
 def test_text_stats(spark):
     df = spark.createDataFrame([("a", " x  yy\nz "), ("b", None), ("c", "")], "id string, content string")
     assert rows(E.text_stats(df)) == [("a", 9, 3), ("b", 0, 0), ("c", 0, 0)]
+
+
+def test_a_tag_is_read_once_for_an_attribute(spark):
+    """A long tag is scanned up to the value, and not at all for a name that is not in it."""
+    tags = ["src=a", 'x="src=1" SRC = "b c" src=d', "src='q\"r'", 'src="open', "src", "src=", "data-src=x", "title", 'alt="src"  src=" "',
+            'src=\n"l1\nl2"', "src==e", "/src=f", "", "src=&amp;x", "=src=g", None]
+    df = spark.createDataFrame(list(enumerate(tags)), "n int, a string")
+    found = [r.v for r in df.select("n", F.expr(H._attribute("a", "src")).alias("v")).orderBy("n").collect()]
+    assert found == ["a", "b c", 'q"r', '"open', None, "", None, None, " ", "l1\nl2", "=e", "f", None, "&x", "g", None]
+    assert H._attribute("a", "src").count("regexp_extract(a,") == 1 and "a RLIKE" not in H._attribute("a", "src")
