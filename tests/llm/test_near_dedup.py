@@ -99,3 +99,22 @@ def test_edited_copies_settle_at_their_original(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_shared", counted)
     assert [r.doc_id for r in keep_one(docs, crowd=8).collect()] == [0]
     assert sum(dealt[1:]) <= dealt[0]
+
+
+def test_a_text_beside_a_settled_one_keeps_its_link(spark):
+    """In a crowded block one text is linked to the hub and settles; a third one is like it, not like the hub."""
+    words = [f"w{i}" for i in range(140)]
+    texts = {0: words[:100], 1: words[10:110], 2: words[20:120], 3: [f"z{i}" for i in range(100)]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    made = sketches(docs, 1).collect()
+    # all share the first block, the hub one more with a stranger; prints too far apart to meet
+    rows = []
+    for r in made:
+        keys = [10 ** 6 * (r.id_ + 1) + i for i in range(near_dedup.BLOCKS)]
+        keys[0] = 7 if r.id_ < 3 else keys[0]
+        keys[5] = 8 if r.id_ in (0, 3) else keys[5]
+        rows.append((*r[:5], (0, 0xFFFF, 0xFFFF0000, 0xFFFF00000000)[r.id_], keys))
+    found = spark.createDataFrame(rows, "null_ boolean, id_ long, mark long, node long, n long, print long, keys array<long>")
+    doc = {r.node: r.id_ for r in made}
+    pairs = {tuple(sorted((doc[r.a], doc[r.b]))) for r in links(found, docs, 1, crowd=2).collect()}
+    assert pairs == {(0, 1), (1, 2)}
